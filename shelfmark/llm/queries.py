@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import licenses, mixing, packing, secrets
+from shelfmark.llm import licenses, mixing, packing, secrets, vector_dedup
 from shelfmark.llm.common import table
 
 
@@ -24,5 +24,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op4_mixing, op7_licenses, op8_packing)}
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op4_mixing, op7_licenses, op8_packing, op9_near_vectors)}
 ORACLES = {"op4_mixing": mixing.ORACLE}
