@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import licenses, mixing, packing, secrets, vector_dedup
+from shelfmark.llm import jaccard, licenses, mixing, packing, secrets, vector_dedup
 from shelfmark.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op4_mixing, op7_licenses, op8_packing, op9_near_vectors)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op4_mixing, op5_jaccard, op7_licenses, op8_packing, op9_near_vectors)}
 ORACLES = {"op4_mixing": mixing.ORACLE}
