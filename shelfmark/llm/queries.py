@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import jaccard, licenses, mixing, packing, secrets, vector_dedup
+from shelfmark.llm import jaccard, licenses, mixing, packing, pii, secrets, toxicity, vector_dedup
 from shelfmark.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,9 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op4_mixing, op5_jaccard, op7_licenses, op8_packing, op9_near_vectors)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op4_mixing, op5_jaccard, op7_licenses, op8_packing, op9_near_vectors, op10_toxicity)}
 ORACLES = {"op4_mixing": mixing.ORACLE}
