@@ -107,20 +107,33 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(PATTERNS)]))
 
 
+#: Characters on either side of a token that its patterns are taken from.
+CONTEXT = 200
+
+
+def tokens(text: Column) -> Column:
+    """An array of (start, end, before, text, after) of the identifier-like tokens of a text, before and after at most CONTEXT long."""
+    near = F.transform(
+        located(text, IDENTIFIER),
+        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.right(m["before"], F.lit(CONTEXT)).alias("before"), m["text"].alias("text"), F.left(m["after"], F.lit(CONTEXT)).alias("after")),
+    )
+    has_digits = F.coalesce(text.rlike(r"(?:[^\x20\x09-\x0D0-9]*+[0-9]){4}"), F.lit(False))
+    return F.when(has_digits, near)
+
+
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(row, start, end, instance, seed, patterns) of every identifier-like token, from (row, text, spans). seed: a fixed pattern's match covers part of it."""
-    some = rows.filter(F.coalesce(F.col("text").rlike(r"(?:[^\x20\x09-\x0D0-9]*+[0-9]){4}"), F.lit(False)))
-    m = some.select("row", "spans", F.explode(located(F.col("text"), IDENTIFIER)).alias("m"))
+    """(row, start, end, instance, seed, patterns) of every identifier-like token, from (row, spans, tokens). seed: a fixed pattern's match covers part of it."""
+    covered = lambda m: F.exists("spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
+    m = rows.select("row", F.explode(F.transform("tokens", lambda m: m.withField("seed", covered(m)))).alias("m"))
     core = m.withColumn("core", F.regexp_extract("m.text", r"[A-Za-z0-9](?:.*[A-Za-z0-9])?", 0)).withColumn("start", F.col("m.start") + F.length(F.regexp_extract("m.text", r"^[^A-Za-z0-9]*", 0)))
     core = core.withColumn("end", F.col("start") + F.length("core")).filter("core <> ''")
-    left = F.lower(F.regexp_extract("m.before", rf"({_TOKEN}+){_SPACE}*$", 1))
-    second = F.lower(F.regexp_extract("m.before", rf"({_TOKEN}+){_SPACE}+{_TOKEN}+{_SPACE}*$", 1))
+    left = F.lower(F.regexp_extract("m.before", rf"({_TOKEN}++){_SPACE}*+$", 1))
+    second = F.lower(F.regexp_extract("m.before", rf"({_TOKEN}++){_SPACE}++{_TOKEN}++{_SPACE}*+$", 1))
     right = F.lower(F.regexp_extract("m.after", rf"^{_SPACE}*({_TOKEN}+)", 1))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("core", "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "9")
     patterns = F.array(F.concat_ws(" ", second, left, F.lit("*"), shape), F.concat_ws(" ", left, F.lit("*"), right, shape))
     patterns = F.when(left == "", F.array().cast("array<string>")).otherwise(patterns)
-    seed = F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    return core.select("row", "start", "end", F.col("core").alias("instance"), seed.alias("seed"), patterns.alias("patterns"))
+    return core.select("row", "start", "end", F.col("core").alias("instance"), F.col("m.seed").alias("seed"), patterns.alias("patterns"))
 
 
 def pattern_scores(links: DataFrame, known: DataFrame) -> DataFrame:
@@ -145,17 +158,17 @@ def bootstrap(found: DataFrame, rounds: int = 2, threshold: float = 0.8, support
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """For each row: doc_id and spans, an array of (start, end, kind) by start and then kind."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("row"))
-    based = rows.withColumn("spans", base_spans(F.col("text")))
+    plain = F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    based = cut(rows.select("doc_id", "row", plain.alias("spans"), tokens(F.col("text")).alias("tokens")), "based")
     found = cut(occurrences(based), "occurrences")
     patterns, instances = bootstrap(found, **options)
     free = found.filter("not seed").select("row", "start", "end", "instance", F.explode_outer("patterns").alias("pattern"))
     by_pattern = free.join(patterns, "pattern", "left_semi").select("row", "start", "end")
     by_instance = free.join(instances, "instance", "left_semi").select("row", "start", "end")
     added = by_pattern.union(by_instance).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit(len(KINDS) - 1).alias("kind"))).alias("more"))
-    plain = based.select("doc_id", "row", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
     spans = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:int,end:int,kind:int>>"))), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
     name = F.array(*map(F.lit, KINDS))
-    return plain.join(added, "row", "left").select("doc_id", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(name, s["kind"]).alias("kind"))).alias("spans"))
+    return based.join(added, "row", "left").select("doc_id", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(name, s["kind"]).alias("kind"))).alias("spans"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
