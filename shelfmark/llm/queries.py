@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import jaccard, licenses, mixing, packing, pii, secrets, toxicity, vector_dedup
+from shelfmark.llm import jaccard, licenses, mixing, neighbours, packing, pii, secrets, toxicity, vector_dedup
 from shelfmark.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op4_mixing, op5_jaccard, op7_licenses, op8_packing, op9_near_vectors, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_neighbours, op4_mixing, op5_jaccard, op7_licenses, op8_packing, op9_near_vectors, op10_toxicity)}
 ORACLES = {"op4_mixing": mixing.ORACLE}
