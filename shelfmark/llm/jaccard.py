@@ -34,7 +34,7 @@ from shelfmark.llm.components import components
 from shelfmark.llm.shingles import mix, shingle_sets
 
 #: Hash ranges of the suffix filter.
-RANGES = 64
+RANGES = 256
 
 
 def signed(h: np.ndarray) -> np.ndarray:
@@ -93,7 +93,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, shingles: np.ndarray, se
                 count = np.where(shingles[np.minimum(at, len(shingles) - 1)] == s, seen[np.minimum(at, len(seen) - 1)], 0) if len(shingles) else np.zeros(len(s), np.int64)
                 take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 prefix.append(signed(s[np.lexsort((s, count))[:take]]))
-                ranges.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                ranges.append(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES).astype(np.int32))
             keys = [set_key(s) for s in sets]
             out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "prefix": prefix, "ranges": ranges})
             yield out[out["n"] > 0]
@@ -130,7 +130,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, slots:
         return pd.Series(shared.value[slots.to_numpy()].astype(bool))
 
     texts = docs.withColumn("slot", F.expr(f"pmod(xxhash64(doc_id), {slots}L)")).filter("doc_id is not null").filter(wanted("slot")).select("doc_id", "text")
-    texts = cut(texts.repartition("doc_id"), "texts")
+    texts = cut(texts, "texts")
     both = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def check(batches):
