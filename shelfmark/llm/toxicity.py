@@ -46,9 +46,12 @@ def terms(text: str) -> set[str]:
     return found | {w[:n] + "*" for w in found for n in PREFIXES if len(w) > n}
 
 
-@F.pandas_udf("long")
-def smallest_shingle(texts: pd.Series) -> pd.Series:
-    return pd.Series([int(s[0].astype(np.int64)) if len(s) else 0 for s in shingle_sets(texts.tolist())])
+def smallest_shingle(text: Column) -> Column:
+    @F.pandas_udf("long")
+    def smallest(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(s[0].astype(np.int64)) if len(s) else 0 for s in shingle_sets(texts.tolist())])
+
+    return smallest(text)
 
 
 class Lexicon:
@@ -114,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
     # copies would lend the words of one text the weight of many: one document stays of those with one smallest shingle
     row = F.struct("id", "text", "y")
-    sample = sample.groupBy(smallest_shingle("text").alias("key"), "y").agg(F.min_by(row, "id").alias("row")).select("row.*")
+    sample = sample.groupBy(smallest_shingle(F.col("text")).alias("key"), "y").agg(F.min_by(row, "id").alias("row")).select("row.*")
 
     def count(batches):
         seen = {0: Counter(), 1: Counter()}
