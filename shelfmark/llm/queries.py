@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import jaccard, licenses, mixing, neighbours, packing, pii, secrets, toxicity, vector_dedup
+from shelfmark.llm import jaccard, language_model, licenses, mixing, neighbours, packing, pii, secrets, toxicity, vector_dedup
 from shelfmark.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_neighbours, op4_mixing, op5_jaccard, op7_licenses, op8_packing, op9_near_vectors, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_neighbours, op4_mixing, op5_jaccard, op6_language_model, op7_licenses, op8_packing, op9_near_vectors, op10_toxicity)}
 ORACLES = {"op4_mixing": mixing.ORACLE}
