@@ -1,8 +1,58 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
-STAGES = []
+1. toxicity: documents that the model rejects go.
+2. dedup: of each group of similar documents the one with the smallest id stays.
+3. secrets: every secret in a text is replaced by a mark, and n_chars follows; no document goes.
+4. mix: each document appears as many times as the source mix draws it (a draw of less than half of it is not one).
+5. pack: the tokens of every document that is left, in sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfmark.llm import jaccard, mixing, packing, secrets, toxicity
+from shelfmark.llm.common import cut, table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = secrets.redact_secrets(docs.withColumn("whole_text", F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col("whole_text"))
+    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(docs).select(*docs.columns)
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("dedup", dedup_stage),
+    ("secrets", secrets_stage),
+    ("mix", mix_stage),
+    ("pack", pack_stage),
+]
+
+#: A learned model and a tokenizer's vocabulary are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
