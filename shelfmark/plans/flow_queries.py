@@ -1,3 +1,258 @@
-from shelfmark.plans.book import Book
+"""Queries of sources and sinks, joins, harvest and annotation, and the composed pages and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfmark.functions import columns as C
+from shelfmark.operators import annotate, compliance, dedup, filters, graph, harvest, stats
+from shelfmark.plans import sinks
+from shelfmark.plans.book import Book, scratch, table
+from shelfmark.plans.graph_queries import _EDGES, _graph
+from shelfmark.plans.stat_queries import _APP, _app_scores
+from shelfmark.plans.text_queries import _LEVEL, _NOTE
+from shelfmark.sources import tables as S
 
 HERE = Book()
+
+
+def _landed(df, sep="\t"):
+    path = scratch(df.sparkSession)
+    df.write.option("header", True).option("sep", sep).option("quoteAll", True).option("escape", '"').csv(path)
+    return path
+
+
+@HERE.add("SELECT p_partkey::VARCHAR AS key, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END AS name, p_brand AS brand FROM part")
+def tsv_load(spark, sf_dir):
+    raw = table(spark, sf_dir, "part").selectExpr("p_partkey AS ` key `", "CASE WHEN p_size % 5 = 0 THEN 'N/A' ELSE p_name END AS name", "p_brand AS brand")
+    return S.read_table(spark, _landed(raw), ["key", "name", "brand"])
+
+
+@HERE.add("SELECT 'part' AS kind, count(*) AS n FROM part")
+def latest_file(spark, sf_dir):
+    path = scratch(spark)
+    table(spark, sf_dir, "part").select("p_partkey").coalesce(1).write.option("header", True).option("sep", "\t").csv(f"{path}/files")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{path}/files")
+    newest = files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
+    return S.read_table(spark, newest, ["key"]).agg(F.count("*").alias("n")).select(F.lit("part").alias("kind"), "n")
+
+
+@HERE.add("SELECT n_nationkey::VARCHAR AS key, n_name AS name, '' AS extra FROM nation UNION ALL SELECT r_regionkey::VARCHAR, '', r_name FROM region")
+def multi_file_union(spark, sf_dir):
+    a = S.read_table(spark, _landed(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))), ["key", "name"])
+    b = S.read_table(spark, _landed(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("extra"))), ["key", "extra"])
+    return S.union_all([a, b]).na.fill("")
+
+
+@HERE.add("SELECT p_name, '' AS absent, p_partkey FROM part")
+def conform_columns(spark, sf_dir):
+    return S.conform(table(spark, sf_dir, "part"), ["p_name", "absent", "p_partkey"])
+
+
+@HERE.add("SELECT p_name AS \"Resource Name\", array_to_string(list_sort(list_distinct([p_brand, p_type])), ';') AS \"Diseases Included\" FROM part")
+def load_resources(spark, sf_dir):
+    raw = table(spark, sf_dir, "part").select(F.col("p_name").alias("Resource Name"), F.expr("p_type || '; ' || p_brand || ', ' || lower(p_brand)").alias("Diseases Included"), F.lit("x").alias("Notes"), F.lit("").alias("Remove"))
+    return S.load_resources(S.read_table(spark, _landed(raw), raw.columns))
+
+
+@HERE.add("SELECT p_name AS \"Repository Link\", array_to_string(list_sort([p_brand, p_type]), ';') AS \"Languages\" FROM part")
+def load_code_repos(spark, sf_dir):
+    raw = table(spark, sf_dir, "part").select(F.col("p_name").alias("Repository Link"), F.expr("p_type || '; ' || p_brand || ';' || lower(p_type)").alias("Languages"), F.lit("text").alias("Content_For_Analysis"))
+    return S.load_code_repos(raw)
+
+
+@HERE.add("SELECT doc_id, 'PMC' || doc_id AS \"PubMed Central Link\", 'Z ' || source AS \"Authors\", lang AS \"Keywords\", text AS \"Abstract\", 80.0::DOUBLE AS \"Data Completeness\" FROM documents")
+def load_publications(spark, sf_dir):
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("PMCPMC"), F.col("doc_id").cast("string")).alias("PubMed Central Link"), F.concat(F.col("source"), F.lit(" Z")).alias("Authors"), F.col("lang").alias("Keywords"), F.col("text").alias("Abstract"))
+    return S.load_publications(raw)
+
+
+@HERE.add("SELECT user_id::VARCHAR AS \"Repository\", event_type AS \"Issue Type\", max(ts)::VARCHAR AS \"Timestamp\" FROM events GROUP BY ALL")
+def load_compliance_log(spark, sf_dir):
+    raw = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("Repository"), F.col("event_type").alias("Issue Type"), F.col("props").alias("Details"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Timestamp"))
+    return S.load_compliance_log(raw).select("Repository", "Issue Type", F.regexp_replace("Timestamp", r"\.?0+$", "").alias("Timestamp"))
+
+
+HERE.oracles["load_compliance_log"] = "SELECT user_id::VARCHAR AS \"Repository\", event_type AS \"Issue Type\", regexp_replace(strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f'), '\\.?0+$', '') AS \"Timestamp\" FROM events GROUP BY ALL"
+
+
+@HERE.add("SELECT c_custkey::VARCHAR AS product, c_mktsegment AS gene, CASE WHEN c_nationkey = 0 THEN 'Control/Wildtype' ELSE c_nationkey::VARCHAR END AS condition FROM customer")
+def load_cell_lines(spark, sf_dir):
+    raw = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("product"), F.col("c_mktsegment").alias("gene"), F.col("c_nationkey").alias("condition"))
+    return S.read_table(spark, _landed(raw), raw.columns).withColumn("condition", C.condition(F.col("condition")))
+
+
+@HERE.add("SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+def export_roundtrip(spark, sf_dir):
+    path = scratch(spark)
+    part = table(spark, sf_dir, "part")
+    for fmt in ("csv", "tsv", "json"):
+        sinks.export(part, f"{path}/{fmt}", fmt)
+    by = [spark.read.option("header", True).schema(part.schema).csv(f"{path}/csv"), spark.read.option("header", True).option("sep", "\t").schema(part.schema).csv(f"{path}/tsv"), spark.read.schema(part.schema).json(f"{path}/json")]
+    return by[0].intersectAll(by[1]).intersectAll(by[2])
+
+
+@HERE.add(f"SELECT src, dst, weight, shared FROM ({_EDGES})")
+def export_edges(spark, sf_dir):
+    path = scratch(spark)
+    sinks.export(graph.edge_details(_graph(spark, sf_dir)[1]), path, "csv")
+    return spark.read.option("header", True).schema("src string, dst string, weight long, shared string").csv(path)
+
+
+@HERE.add("SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS \"column\", unnest(['bigint', 'string', 'string', 'string', 'int', 'double']) AS type, 0::BIGINT AS nulls, (SELECT count(*) FROM part) AS row_count")
+def profile(spark, sf_dir):
+    return sinks.profile(table(spark, sf_dir, "part"))
+
+
+@HERE.add("SELECT doc_id, source || '. ' || substr(text, 1, 40) || '.' || CASE WHEN doc_id % 2 = 0 THEN ' http://x/' || doc_id ELSE '' END AS citation FROM documents")
+def citations(spark, sf_dir):
+    link = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("http://x/"), F.col("doc_id").cast("string"))).otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", sinks.citation(F.col("source"), F.substring("text", 1, 40), link).alias("citation"))
+
+
+@HERE.add("SELECT p_partkey AS \"row\", 'Record ' || p_partkey || E'\\np_name: ' || p_name || E'\\np_brand: ' || p_brand || E'\\nnote: a\\n  b' AS value FROM part")
+def text_records(spark, sf_dir):
+    return sinks.text_records(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.lit("").alias("blank"), F.lit("a\nb").alias("note")), "p_partkey")
+
+
+@HERE.add("SELECT doc_id::VARCHAR AS \"PMID\", 'https://www.ncbi.nlm.nih.gov/pmc/articles/PMC' || doc_id AS \"PubMed Central Link\", source || ' ' || lang AS \"Authors\", 'Inst ' || source AS \"Affiliations\", 'Title ' || doc_id AS \"Title\", 'AIM: n' || n_chars || ' end' AS \"Abstract\", lang || '; ' || source AS \"Keywords\" FROM documents WHERE doc_id % 10 <> 0")
+def xml_articles(spark, sf_dir):
+    xml = F.format_string(
+        "<PubmedArticle><MedlineCitation><PMID>%d</PMID><Article><ArticleTitle>%s<i>x</i> y</ArticleTitle><Abstract><AbstractText Label=\"AIM\">n%d</AbstractText><AbstractText>end</AbstractText></Abstract><AuthorList><Author><LastName>%s</LastName><ForeName>%s</ForeName><AffiliationInfo><Affiliation>Inst  %s</Affiliation></AffiliationInfo></Author></AuthorList></Article><KeywordList><Keyword>%s</Keyword><Keyword>%s</Keyword></KeywordList></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType=\"doi\">d</ArticleId><ArticleId IdType=\"pmc\">PMC%d</ArticleId></ArticleIdList></PubmedData></PubmedArticle>",
+        "doc_id", F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.concat(F.lit("Title "), F.col("doc_id").cast("string"))), "n_chars", "source", "lang", "source", "lang", "source", "doc_id",
+    )
+    return S.article_texts(table(spark, sf_dir, "documents").select(xml.alias("xml")), "xml")
+
+
+_LINES = "SELECT user_id % 4 || '' AS file, event_id AS n, CASE WHEN event_type = 'signup' THEN '[1/2] Searching GitHub for repositories related to Study ' || user_id || ' (S' || user_id || ')...' ELSE '  Skipping https://g/' || event_id % 50 || ' - insufficient content' END AS line FROM events"
+
+
+@HERE.add(f"WITH l AS ({_LINES}), s AS (SELECT *, last_value(CASE WHEN line LIKE '[1/2]%' THEN regexp_extract(line, 'related to (.+) \\(', 1) END IGNORE NULLS) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS study FROM l) SELECT regexp_extract(line, 'https://\\S+') AS url, arg_max(study, struct_pack(f := file, n := n)) AS study, replace(arg_max(study, struct_pack(f := file, n := n)), 'Study ', 'S') AS abbreviation FROM s WHERE line LIKE '  Skip%' AND study IS NOT NULL GROUP BY 1")
+def log_carry_forward(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").selectExpr("string(user_id % 4) AS file", "event_id AS n", "CASE WHEN event_type = 'signup' THEN '[1/2] Searching GitHub for repositories related to Study ' || user_id || ' (S' || user_id || ')...' ELSE '  Skipping https://g/' || event_id % 50 || ' - insufficient content' END AS line")
+    return S.skipped_urls(lines)
+
+
+@HERE.add("SELECT conv_id || '_' || turn AS key, 'YES a: b' AS biomedical_relevance, 's' || turn AS summary, 'MRI' AS data_types, 'Python ' || conv_id AS tools FROM conversations")
+def parse_sections(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id || '_' || turn AS key", "concat('Biomedical Relevance: YES\\na: b\\nnote CODE SUMMARY: s', turn, '\\n\\nData Types: MRI\\nTooling: R\\ntooling: Python ', conv_id) AS text")
+    return annotate.parse_sections(rows, "key", "text")
+
+
+_IDENT = "substr(regexp_replace('repo_' || conv_id || '_' || turn, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 64)"
+
+
+@HERE.add(f"SELECT {_IDENT} AS custom_id, 'm' AS model, 1000 AS max_tokens, 'user' AS role, 'Repository ' || turn || ': ' || substr(text, 1, 8000) AS content FROM conversations WHERE length(trim(text)) >= 50")
+def request_table(spark, sf_dir):
+    r = annotate.requests(table(spark, sf_dir, "conversations"), "conv_id", F.col("turn").cast("string"), "text", "Repository %s: %s", "m")
+    return r.select("custom_id", "params.model", "params.max_tokens", F.get("params.messages", 0)["role"].alias("role"), F.get("params.messages", 0)["content"].alias("content"))
+
+
+@HERE.add("SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'new ' || c_custkey ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def merge_results(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    results = customer.filter("c_custkey % 3 = 0").select("c_custkey", F.concat(F.lit("new "), F.col("c_custkey").cast("string")).alias("c_mktsegment"))
+    return annotate.merge_results(customer, results, "c_custkey", ["c_mktsegment"])
+
+
+@HERE.add("SELECT conv_id || '_' || turn AS custom_id, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN 'ERROR - errored: bad ' || role ELSE 'ERROR - expired' END AS response FROM conversations")
+def batch_errors(spark, sf_dir):
+    result = F.expr("named_struct('type', CASE turn % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'errored' ELSE 'expired' END, 'message', CASE WHEN turn % 3 = 0 THEN named_struct('content', array(named_struct('text', text))) END, 'error', CASE WHEN turn % 3 = 1 THEN named_struct('type', 'x', 'message', 'bad ' || role) END)")
+    path = scratch(spark)
+    table(spark, sf_dir, "conversations").select(F.expr("conv_id || '_' || turn").alias("custom_id"), result.alias("result")).write.json(path)
+    return S.batch_results(spark, path)
+
+
+@HERE.add("SELECT c_custkey, coalesce(s_name, '') AS s_name FROM customer LEFT JOIN (SELECT s_nationkey, arg_max(s_name, s_suppkey) AS s_name FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey")
+def lookup_last_wins(spark, sf_dir):
+    suppliers = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "c_nationkey")
+    return dedup.lookup(table(spark, sf_dir, "customer"), suppliers, "c_nationkey", "s_name", "s_suppkey").select("c_custkey", "s_name")
+
+
+@HERE.add("SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+def attach_metadata(spark, sf_dir):
+    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "c_mktsegment")
+
+
+@HERE.add("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def anti_missing(spark, sf_dir):
+    has = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(has, "c_custkey", "left_anti").select("c_custkey")
+
+
+@HERE.add("SELECT n_name, word, n_name || ' ' || word AS search FROM nation, (SELECT unnest(['alzheimer', 'parkinson', 'dementia', 'brain']) AS word)")
+def search_grid(spark, sf_dir):
+    return harvest.search_grid(table(spark, sf_dir, "nation"), "n_name", ["alzheimer", "parkinson", "dementia", "brain"]).select("n_name", "word", "search")
+
+
+@HERE.add("WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') SELECT 'both' AS op, count(*) AS n FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'either', count(*) FROM (FROM a UNION FROM b) UNION ALL SELECT 'first', count(*) FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'all', count(*) FROM (FROM a UNION ALL FROM b)")
+def set_ops(spark, sf_dir):
+    keys = lambda s: table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k")).distinct()
+    a, b = keys("F"), keys("P")
+    each = [("both", a.intersect(b)), ("either", a.union(b).distinct()), ("first", a.subtract(b)), ("all", a.union(b))]
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n") for op, df in each]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
+@HERE.add("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE (p_name ILIKE '%ring%' OR p_brand ILIKE '%ring%' OR p_type ILIKE '%ring%' OR p_partkey::VARCHAR ILIKE '%ring%') AND (contains(p_type, 'ECONOMY') OR contains(p_type, 'PROMO')) AND contains(p_brand, '1')")
+def browse_resources(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    return part.transform(filters.search("ring")).transform(filters.filter_by({"p_type": ["ECONOMY", "PROMO"], "p_brand": ["1"]}))
+
+
+@HERE.add("SELECT doc_id, lang, source FROM documents WHERE text ILIKE '%tion%' AND contains(lang, 'en') AND contains(source, 'src1')")
+def browse_publications(spark, sf_dir):
+    return table(spark, sf_dir, "documents").transform(filters.search("TION", ["text"])).transform(filters.filter_by({"lang": ["en"], "source": ["src1"], "Coarse Data Types": ["x"]})).select("doc_id", "lang", "source")
+
+
+@HERE.add(f"SELECT c_custkey, c_name, issues, score FROM (SELECT c_custkey, c_name, c_mktsegment, coalesce(issues, '') AS issues, coalesce(score, 10)::DOUBLE AS score FROM customer LEFT JOIN ({_APP}) ON c_custkey = user_id) WHERE c_name ILIKE '%1%' AND contains(c_mktsegment, 'BUILD') AND score >= 5")
+def browse_code(spark, sf_dir):
+    joined = compliance.with_compliance(table(spark, sf_dir, "customer"), _app_scores(spark, sf_dir).withColumnRenamed("user_id", "c_custkey"), "c_custkey")
+    return joined.transform(filters.search("1", ["c_name"])).transform(filters.filter_by({"c_mktsegment": ["BUILD"]})).filter(F.col("score") >= 5).select("c_custkey", "c_name", "issues", "score")
+
+
+@HERE.add("SELECT c_mktsegment AS gene, count(*) AS n, count(DISTINCT c_nationkey) AS conditions FROM customer WHERE c_nationkey <> 0 AND c_name ILIKE '%7%' GROUP BY 1")
+def browse_cell_lines(spark, sf_dir):
+    found = table(spark, sf_dir, "customer").transform(filters.search("7", ["c_name"])).filter(F.col("c_nationkey") != 0)
+    return found.groupBy(F.col("c_mktsegment").alias("gene")).agg(F.count("*").alias("n"), F.count_distinct("c_nationkey").alias("conditions"))
+
+
+@HERE.add("SELECT s::BIGINT AS score, count(*) AS n FROM (SELECT user_id, greatest(0, 10 - count(DISTINCT event_type)) AS s FROM events GROUP BY 1) GROUP BY 1")
+def dashboard(spark, sf_dir):
+    return compliance.score_report(table(spark, sf_dir, "events"), "user_id", "event_type").groupBy("score").agg(F.count("*").alias("n"))
+
+
+_REPORT = f"SELECT 0 AS section_no, 'modalities' AS section, p_type AS metric, NULL::DOUBLE AS value, count(*) AS count, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM part), 6) AS pct FROM part GROUP BY p_type UNION ALL SELECT 1, 'levels', l, NULL, count(*), round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) FROM (SELECT {_LEVEL} AS l FROM part) WHERE l <> 'Unknown' GROUP BY l UNION ALL SELECT 2, 'sizes', unnest(['n', 'mean', 'median', 'min', 'max', 'std']), unnest([n, m, d, a, b, s]), 0, NULL FROM (SELECT count(*)::DOUBLE AS n, round(avg(p_size), 6) AS m, median(p_size)::DOUBLE AS d, min(p_size)::DOUBLE AS a, max(p_size)::DOUBLE AS b, round(stddev_pop(p_size), 6) AS s FROM part)"
+
+
+@HERE.add(_REPORT)
+def report_resources(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    share = lambda df: df.select(F.col("label").alias("metric"), F.lit(None).cast("double").alias("value"), F.col("n").alias("count"), F.round("pct", 6).alias("pct"))
+    s = stats.numeric_summary(part, F.col("p_size").cast("double"))
+    names = ["n", "mean", "median", "min", "max", "std"]
+    sizes = s.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), F.round(F.col(k).cast("double"), 6).alias("value")) for k in names]))).select("metric", "value", F.lit(None).cast("long").alias("count"), F.lit(None).cast("double").alias("pct"))
+    return sinks.report([("modalities", share(stats.shares(part, F.col("p_type")))), ("levels", share(stats.shares(part, C.level(F.expr(_NOTE)), "Unknown"))), ("sizes", sizes)])
+
+
+@HERE.add("SELECT DISTINCT ON (o_orderkey, c_name) o_orderkey, c_name, '' AS \"Keywords\" FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 5) JOIN customer ON o_custkey = c_custkey")
+def harvest_pipeline(spark, sf_dir):
+    capped = dedup.top_n_per(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 5)
+    attached = capped.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return dedup.keep_first(S.conform(attached, ["o_orderkey", "c_name", "Keywords"]), ["o_orderkey", "c_name"], [F.col("o_orderkey")])
+
+
+@HERE.add(f"SELECT {_IDENT} AS custom_id, text, CASE WHEN length(trim(text)) >= 50 AND turn % 2 = 0 THEN 'got ' || turn ELSE '' END AS summary FROM conversations")
+def annotation_pipeline(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("custom_id", C.safe_id(F.expr("'repo_' || conv_id || '_' || turn"))).withColumn("summary", F.lit(""))
+    asked = annotate.requests(rows, "conv_id", F.col("turn").cast("string"), "text", "Repository %s: %s", "m")
+    answers = asked.join(rows.select("custom_id", "turn"), "custom_id").filter("turn % 2 = 0").selectExpr("custom_id", "'CODE SUMMARY: got ' || turn AS response")
+    parsed = annotate.parse_sections(answers, "custom_id", "response").select("custom_id", "summary")
+    return annotate.merge_results(rows.select("custom_id", "text", "summary"), parsed, "custom_id", ["summary"])
+
+
+@HERE.add(f"WITH l AS ({_LINES}), s AS (SELECT *, last_value(CASE WHEN line LIKE '[1/2]%' THEN regexp_extract(line, 'related to Study (.+) \\(', 1) END IGNORE NULLS) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS study FROM l), u AS (SELECT regexp_extract(line, 'https://\\S+') AS url, arg_max(study, struct_pack(f := file, n := n)) AS study FROM s WHERE line LIKE '  Skip%' AND study IS NOT NULL GROUP BY 1) SELECT url, 'S' || study AS abbreviation, coalesce(c_mktsegment, '') AS diseases FROM u LEFT JOIN customer ON c_custkey = study::BIGINT")
+def reprocess_pipeline(spark, sf_dir):
+    skipped = log_carry_forward(spark, sf_dir)
+    known = table(spark, sf_dir, "customer").select(F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("abbreviation"), F.col("c_mktsegment").alias("diseases"), F.col("c_custkey").alias("at"))
+    return dedup.lookup(skipped, known, "abbreviation", "diseases", "at").select("url", "abbreviation", "diseases")

@@ -50,7 +50,7 @@ def graph_summary(statistics: DataFrame, details: DataFrame, shown: int = 20) ->
 
 def report(sections: list[tuple[str, DataFrame]]) -> DataFrame:
     """(section_no, section, metric, value, count, pct) of several statistics, each (metric, value, count, pct)."""
-    parts = [df.select(F.lit(i).alias("section_no"), F.lit(name).alias("section"), F.col("metric").cast("string"), F.col("value").cast("double"), F.col("count").cast("long"), F.col("pct").cast("double")) for i, (name, df) in enumerate(sections)]
+    parts = [df.select(F.lit(i).alias("section_no"), F.lit(name).alias("section"), F.col("metric").cast("string"), F.col("value").cast("double"), F.coalesce(F.col("count").cast("long"), F.lit(0)).alias("count"), F.col("pct").cast("double")) for i, (name, df) in enumerate(sections)]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -100,6 +100,11 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
     return article_rows(spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE).load(path))
 
 
+def article_texts(df: DataFrame, xml: str) -> DataFrame:
+    """The same from a column that holds an article's XML."""
+    return article_rows(df.select(F.from_xml(xml, ARTICLE).alias("article")).select("article.*"))
+
+
 def article_rows(df: DataFrame) -> DataFrame:
     """PMID, link, authors, affiliations, title, abstract, keywords; articles without a title go."""
     a = "MedlineCitation.Article."
