@@ -145,3 +145,12 @@ def betweenness(node: DataFrame, edge: DataFrame, sources: DataFrame | None = No
     count = node.agg(F.count("*").alias("n"))
     scale = F.when(F.col("n") > 2, (F.col("n") - 1) * (F.col("n") - 2)).otherwise(1)
     return node.select("node_id").join(total, "node_id", "left").crossJoin(F.broadcast(count)).select("node_id", (F.coalesce("owed", F.lit(0.0)) / scale).alias("centrality"))
+
+
+def adjacency_matrix(node: DataFrame, edge: DataFrame, most: int = 1_000) -> DataFrame:
+    """The dense matrix, zeros included, for at most ``most`` nodes: a column a node, which is why it is bounded."""
+    names = [r["node_id"] for r in node.select("node_id").orderBy("node_idx").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} nodes; use the coordinate rows of adjacency()")
+    dense = adjacency(node, edge).groupBy("row").pivot("col", names).agg(F.max("weight"))
+    return node.select(F.col("node_id").alias("row")).join(dense, "row", "left").na.fill(0, names)

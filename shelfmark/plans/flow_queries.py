@@ -256,3 +256,49 @@ def reprocess_pipeline(spark, sf_dir):
     skipped = log_carry_forward(spark, sf_dir)
     known = table(spark, sf_dir, "customer").select(F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("abbreviation"), F.col("c_mktsegment").alias("diseases"), F.col("c_custkey").alias("at"))
     return dedup.lookup(skipped, known, "abbreviation", "diseases", "at").select("url", "abbreviation", "diseases")
+
+
+@HERE.add("SELECT 25::BIGINT AS n, 'NATION_0' AS first")
+def envelope_json(spark, sf_dir):
+    text = sinks.envelope(table(spark, sf_dir, "nation").orderBy("n_nationkey"))
+    read = F.from_json("value", "metadata array<struct<column:string,row_count:bigint>>, data array<struct<n_name:string>>")
+    return text.select(read.alias("x")).select(F.get("x.metadata", 0)["row_count"].alias("n"), F.get(F.array_sort("x.data"), 0)["n_name"].alias("first"))
+
+
+@HERE.add("(SELECT c_custkey AS \"row\", 'Gene: ' || c_mktsegment || E'\\nName: ' || c_name AS value FROM customer ORDER BY c_custkey LIMIT 10) UNION ALL SELECT -1, '... and ' || (count(*) - 10) || ' more' FROM customer")
+def digest_head(spark, sf_dir):
+    digest = sinks.record_digest([("Gene", F.col("c_mktsegment")), ("Blank", F.lit(" ")), ("Name", F.col("c_name"))])
+    return sinks.digest_head(table(spark, sf_dir, "customer"), digest, "c_custkey", 10)
+
+
+@HERE.add("SELECT doc_id, 'Study: ' || source || E'\\nAuthors: ' || source || ', ' || lang || ', x et al.' || E'\\nAbstract: ' || CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END AS digest FROM (SELECT *, trim(text, E' \\t\\n\\r\\f\\v') AS t FROM documents)")
+def record_digests(spark, sf_dir):
+    authors = sinks.short_list(F.array("source", "lang", F.lit("x"), F.lit("y")))
+    return table(spark, sf_dir, "documents").select("doc_id", sinks.record_digest([("Study", F.col("source")), ("Authors", authors), ("Abstract", C.truncate(F.col("text"), 200))]).alias("digest"))
+
+
+def _lines(df, name, count="count", pct="pct"):
+    return df.select(F.col(name).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"), F.col(count).cast("long").alias("count"), F.round(pct, 6).alias("pct"))
+
+
+@HERE.add("SELECT 0 AS section_no, 'studies' AS section, source AS metric, NULL::DOUBLE AS value, count(*) AS count, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM documents GROUP BY source UNION ALL SELECT 1, 'completeness', b::VARCHAR, NULL, (SELECT count(*) FROM (SELECT doc_id, ((quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT + 2) / 4.0::DOUBLE * 100 AS p FROM documents LEFT JOIN labels USING (doc_id)) WHERE least(floor(p / 25), 3) = b), NULL FROM (SELECT unnest([0, 1, 2, 3]) AS b)")
+def report_publications(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    both = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("pct", C.completeness(*[F.col(c).cast("string") for c in ("lang", "source", "quality", "toxic")]))
+    bins = stats.histogram(both, F.col("pct"), [0.0, 25.0, 50.0, 75.0, 100.0]).withColumn("pct", F.lit(None).cast("double"))
+    return sinks.report([("studies", _lines(stats.shares(docs, F.col("source")), "label", "n")), ("completeness", _lines(bins, "bin", "n"))])
+
+
+@HERE.add("SELECT 0 AS section_no, 'components' AS section, component AS metric, NULL::DOUBLE AS value, 0::BIGINT AS count, pct FROM (SELECT kind AS component, round(avg(CASE WHEN contains(coalesce(issues, ''), kind) THEN 0.0 ELSE 1.0 END) * 100, 6) AS pct FROM customer LEFT JOIN (SELECT user_id, string_agg(DISTINCT event_type, '; ') AS issues FROM events GROUP BY user_id) ON c_custkey = user_id, (SELECT unnest(['click', 'error', 'view']) AS kind) GROUP BY kind)")
+def report_code(spark, sf_dir):
+    issues = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.array_join(F.collect_set("event_type"), "; ").alias("issues"))
+    repos = table(spark, sf_dir, "customer").join(issues, "c_custkey", "left")
+    parts = compliance.component_completeness(repos, "issues", ["click", "error", "view"]).withColumn("count", F.lit(0))
+    return sinks.report([("components", _lines(parts, "component"))])
+
+
+@HERE.add("SELECT 0 AS section_no, 'genes' AS section, c_mktsegment AS metric, NULL::DOUBLE AS value, count(*) AS count, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM customer GROUP BY 3 UNION ALL SELECT 1, 'conditions', CASE WHEN c_nationkey = 0 THEN 'Control/Wildtype' ELSE c_nationkey::VARCHAR END, NULL, count(*), round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) FROM customer GROUP BY 3")
+def report_cell_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "customer")
+    kinds = C.condition(F.col("c_nationkey").cast("string"))
+    return sinks.report([("genes", _lines(stats.shares(lines, F.col("c_mktsegment")), "label", "n")), ("conditions", _lines(stats.shares(lines, kinds), "label", "n"))])

@@ -121,3 +121,15 @@ def graph_text_summary(spark, sf_dir):
 def graph_code_page(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^http://([^/.]+)", 1).alias("repo"), F.split_part("url", F.lit("/"), F.lit(4)).alias("lang"), F.regexp_extract("url", r"/([0-9]+)\?", 1).alias("no"))
     return graph.edges(graph.nodes(pages, "repo", "page_id"), ["lang", "no"], ",").select("src", "dst", "weight")
+
+
+@HERE.add(f"SELECT n.node_id AS \"row\", coalesce(max(e.weight) FILTER (e.dst = 'small ring'), 0) AS ring, coalesce(max(e.weight) FILTER (e.dst = 'red widget'), 0) AS widget FROM ({_NODES}) n LEFT JOIN (SELECT src, dst, weight FROM ({_EDGES}) UNION ALL SELECT dst, src, weight FROM ({_EDGES})) e ON n.node_id = e.src GROUP BY n.node_id")
+def graph_adjacency_matrix(spark, sf_dir):
+    dense = graph.adjacency_matrix(*_graph(spark, sf_dir))
+    return dense.select("row", F.col("small ring").cast("long").alias("ring"), F.col("red widget").cast("long").alias("widget"))
+
+
+@HERE.add("WITH n AS (SELECT source || ' - ' || lang AS node_id, min(doc_id) AS node_idx, arg_max(source, doc_id) AS study, arg_max(lang, doc_id) AS disease, arg_max(n_chars % 7, doc_id)::VARCHAR AS kind FROM documents GROUP BY 1), t AS (SELECT node_id, node_idx, unnest(['study', 'disease', 'kind']) AS feature, unnest([study, disease, kind]) AS token FROM n) SELECT a.node_id AS src, b.node_id AS dst, count(*) AS weight FROM t a JOIN t b USING (feature, token) WHERE a.node_idx < b.node_idx GROUP BY ALL HAVING count(*) >= 2")
+def graph_publication_page(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" - ", "source", "lang").alias("name"), F.col("source").alias("study"), F.col("lang").alias("disease"), (F.col("n_chars") % 7).cast("string").alias("kind"))
+    return graph.edges(graph.nodes(docs, "name", "doc_id"), ["study", "disease", "kind"]).select("src", "dst", "weight")

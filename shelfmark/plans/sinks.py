@@ -55,3 +55,27 @@ def report(sections: list[tuple[str, DataFrame]]) -> DataFrame:
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+def envelope(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """One JSON text with the profile and at most ``most`` rows, for bounded tables; larger ones get a profile and a table of their own."""
+    meta = profile(df).agg(F.collect_list(F.struct("column", "type", "nulls", "row_count")).alias("metadata"))
+    data = df.limit(most).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("data"))
+    return meta.crossJoin(data).select(F.to_json(F.struct("metadata", "data")).alias("value"))
+
+
+def record_digest(fields: list[tuple[str, Column]]) -> Column:
+    """Labelled lines of the filled fields."""
+    return F.concat_ws("\n", *[F.when(C.filled(c), F.concat(F.lit(f"{label}: "), c)) for label, c in fields])
+
+
+def short_list(items: Column, most: int = 3) -> Column:
+    """The first items, and ``et al.`` if there are more."""
+    return F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(F.size(items) > most, " et al.").otherwise(""))
+
+
+def digest_head(df: DataFrame, digest: Column, order: str, most: int) -> DataFrame:
+    """(row, value): the first ``most`` digests, and under row -1 a line that says how many more there are."""
+    head = df.orderBy(order).limit(most).select(F.col(order).cast("long").alias("row"), digest.alias("value"))
+    more = df.agg((F.count("*") - most).alias("n")).filter("n > 0").select(F.lit(-1).cast("long").alias("row"), F.format_string("... and %d more", "n").alias("value"))
+    return head.union(more)
