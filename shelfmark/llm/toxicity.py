@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield from flush(seen)
 
     def flush(seen):
-        for y, c in seen.items():
+        for y, c in ((y, c) for y, c in seen.items() if c):
             yield pd.DataFrame({"term": list(c), "n0": [n * (y == 0) for n in c.values()], "n1": [n * (y == 1) for n in c.values()]})
             c.clear()
 
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon = Lexicon({r["term"]: float(r["odds"]) for r in best})
 
     def measure(batches):
-        for batch in batches:
+        for batch in (b for b in batches if len(b)):
             x = [features(t, lexicon) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"].astype(str), "y": batch["y"], "x": x})
 
