@@ -62,7 +62,7 @@ def scan(docs: DataFrame, width: int, flush: int = 1 << 21) -> DataFrame:
             again = seen > 1
             return pd.DataFrame({"doc_id": None, "n": None, "k1": None, "k2": None, "shingle": signed(shingles[again]), "seen": seen[again]}).astype({c: "Int64" for c in ("doc_id", "n", "k1", "k2")})
 
-        for batch in batches:
+        for batch in (b for b in batches if len(b)):
             sets = shingle_sets(batch["text"].tolist(), width)
             keys = [set_key(s) for s in sets]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "shingle": pd.array([None] * len(sets), dtype="Int64"), "seen": pd.array([None] * len(sets), dtype="Int64")})
@@ -85,7 +85,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, shingles: np.ndarray, se
     """Each document's prefix in the rare-first order, and its shingle counts by hash range. shingles: frequent ones, sorted; seen: their counts."""
 
     def look(batches):
-        for batch in batches:
+        for batch in (b for b in batches if len(b)):
             sets = shingle_sets(batch["text"].tolist(), width)
             prefix, ranges = [], []
             for s in sets:
@@ -96,7 +96,9 @@ def prefixes(docs: DataFrame, width: int, percent: int, shingles: np.ndarray, se
                 ranges.append(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES).astype(np.int32))
             keys = [set_key(s) for s in sets]
             out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "prefix": prefix, "ranges": ranges})
-            yield out[out["n"] > 0]
+            out = out[out["n"] > 0]
+            if len(out):
+                yield out
 
     return docs.mapInPandas(look, PREFIXES)
 
