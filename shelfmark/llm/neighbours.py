@@ -162,8 +162,8 @@ def nearest(
     k: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    shard_rows: int = 16_384,
-    block_rows: int = 2_048,
+    shard_rows: int = 65_536,
+    block_rows: int = 1_024,
     width: int = 400,
     entries: int = 256,
     backward: int = 16,
