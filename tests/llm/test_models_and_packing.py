@@ -32,18 +32,17 @@ def odd(spark, documents):
 def test_mixing_equals_sql(spark, documents):
     con = duckdb.connect()
     docs = odd(spark, documents)
-    frame = docs.toPandas()
-    con.register("documents", frame)
-    fix = lambda rows: sorted(tuple("" if v is None or v != v else round(float(v), 6) for v in r) for r in rows)
+    con.register("documents", docs.toArrow())
+    fix = lambda rows: sorted(tuple(-1.0 if v is None or v != v else round(float(v), 6) for v in r) for r in rows)
     names = ["doc_id", "size", "source_size", "target", "taken"]
     got = [tuple(r[c] for c in names) for r in mixing.digest(docs).collect()]
     want = con.sql(f"SELECT {', '.join(names)} FROM ({queries.ORACLES['op4_mixing']})").fetchall()
     assert sorted(map(str, fix(got))) == sorted(map(str, fix(want)))
     by = defaultdict(lambda: [0, 0.0])
-    for r, s in zip(got, mixing.mix_plan(docs).collect()):
-        by[r[3]][0] += r[4]
+    for r in got:
+        by[r[2], r[3]][0] += r[4]
         assert r[4] <= 2 * r[1]
-    assert all(abs(taken - target) <= 1 for target, (taken, _) in by.items())
+    assert all(abs(taken - target) <= 1 for (_, target), (taken, _) in by.items())
     assert mixing.digest(docs.limit(0)).count() == 0
 
 
@@ -149,6 +148,8 @@ def test_isotonic():
 
 
 def test_pipeline(spark, documents):
+    secret = spark.createDataFrame([(9500, "plain words and token = 'abcdefgh12345678' here", "en", "src0", 46)], documents.schema)
+    documents = documents.union(secret)
     docs, out = documents, {}
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR)
@@ -160,4 +161,4 @@ def test_pipeline(spark, documents):
     assert max(ids["mix"].values()) <= 2 and set(ids["pack"]) == set(ids["mix"])
     before, after = ({r.doc_id: r.text for r in out[n].collect()} for n in ("dedup", "secrets"))
     changed = [i for i in before if before[i] != after[i]]
-    assert changed and all("[" in after[i] for i in changed)
+    assert 9500 in changed and all("[" in after[i] for i in changed)
