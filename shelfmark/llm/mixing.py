@@ -85,7 +85,7 @@ def mix_plan(
     seed: str = "mix",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """For each row: doc_id, size, source_size, target, taken (words), draws (array of its shard and words for each time it is taken), and the columns of keep."""
+    """For each row: doc_id, size, source_size, target, draws (array of its shard and words for each time it is taken), taken (the words of its draws), and the columns of keep."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("src"),
@@ -121,8 +121,8 @@ def mix_plan(
     return (
         rows.join(plan, ["src", "block"])
         .withColumn("part", part.cast("long"))
-        .withColumn("taken", F.col("passes") * F.col("size") + F.col("part"))
         .withColumn("draws", draws)
+        .withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda words, x: words + x["words"]))
         .select("doc_id", "size", "source_size", "target", "taken", "draws", *[F.col(f"kept_{c}").alias(c) for c in keep if c != id_col])
     )
 
@@ -138,7 +138,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns, and how many times a document is drawn and to which shards."""
+    """The contract's columns. taken adds up what the shards draw, so the tree and the permuted blocks run; mix_documents shuffles within shards."""
     return mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

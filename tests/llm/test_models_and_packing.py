@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -52,6 +53,11 @@ def test_shards_draw_whole_mix(spark, documents):
     assert len({d["shard"] for r in plan for d in r.draws}) == 16
 
 
+def test_taken_is_what_the_shards_draw(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "split_quotas", lambda units, depth, seed: units.withColumn("shard", F.lit(0)).limit(0))
+    assert {r.taken for r in mixing.digest(documents).collect()} == {0}
+
+
 def test_packing_round_trip(spark, documents):
     docs = odd(spark, documents)
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
