@@ -3,7 +3,7 @@
 A random string packs few characters into each token of a byte-pair vocabulary;
 words pack many. Every run of key-like characters is encoded with a tiktoken
 vocabulary, and a run with fewer than ``max_ratio`` characters a token is a
-secret, unless it is a known digest or identifier.
+secret, with digits or without, unless it is a known digest or identifier.
 
 Null and empty texts have no spans. Ids are passed through, null or repeated
 ones too: one row out for each row in. Columns other than the id and the text
@@ -45,21 +45,25 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("shelfmark", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known(run: str) -> bool:
-    """Whether a run of characters is a digest, a UUID, a number or a readable identifier."""
+def is_known(run: str, enc: tiktoken.Encoding) -> bool:
+    """Whether a run of characters is a digest, a UUID, a number or a readable identifier.
+
+    An identifier is readable if words make up half of its letters and digits:
+    parts of three letters or more that the vocabulary, whatever their case,
+    packs into tokens of 2.5 characters or more.
+    """
     if _HEXADECIMAL.fullmatch(run):
         return len(run) in DIGEST_LENGTHS
     if _UUID.fullmatch(run) or _NUMBER.fullmatch(run):
         return True
     parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", run)
-    return sum(map(len, parts)) >= 4 * len(parts)
+    words = [p for p in parts if len(p) >= 3 and p.isalpha() and len(p) >= 2.5 * len(enc.encode_ordinary(f" {p.lower()}"))]
+    return 2 * sum(map(len, words)) >= sum(map(len, parts))
 
 
 def is_random(run: str, enc: tiktoken.Encoding, max_ratio: float) -> bool:
-    """Whether a run mixes digits with letters and has few characters a token."""
-    if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or is_known(run):
-        return False
-    return len(run) < max_ratio * len(enc.encode_ordinary(run))
+    """Whether a run has few characters a token and is not known."""
+    return len(run) < max_ratio * len(enc.encode_ordinary(run)) and not is_known(run, enc)
 
 
 def spans(text: str | None, enc: tiktoken.Encoding, max_ratio: float) -> list[tuple[int, int, str]]:

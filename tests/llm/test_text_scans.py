@@ -69,6 +69,19 @@ def test_random_strings_are_secrets_and_known_ones_are_not(spark):
     assert clean[0] == "key [random] end" and clean[4] == texts[4]
 
 
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+@pytest.mark.parametrize("n", [20, 24, 32, 40])
+def test_random_strings_of_any_alphabet_are_secrets(alphabet, n):
+    enc, draw = secrets.encoder(secrets.public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(n)
+    keys = ["".join(draw.choices(alphabet, k=n)) for _ in range(300)]
+    assert sum(secrets.spans(f"key {k} end", enc, 1.9)[-1:] == [(4, 4 + n, "random")] for k in keys) >= 294
+
+
+@pytest.mark.parametrize("run", ["PANDAS_COPY_ON_WRITE", "POP_JUMP_IF_NOT_NONE", "en-us/docs/Web/API/v2/get", "phi2_decoder_with_cache", "1777777777777777777777"])
+def test_readable_identifiers_are_not_secrets(run):
+    assert secrets.spans(run, secrets.encoder(secrets.public_tokenizers.path("byte_bpe_50k.tiktoken")), 1.9) == []
+
+
 def test_pii_base(spark):
     rows, df = corpus(spark, ["a.b@c.d_e@f.gh", "@", " ", "1.2.3.4", "256.1.1.1", "0255.1.001.9", "+1 (234) 555-1234 ", "4111 1111 1111 1111", "5500-0000-0000-0004", "-", "9", "12", "x", "é", "😀", "\n", "+49.", "..", "00000000000000000000001.2.3.4.5"])
     got = sorted((r.doc_id or -1, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.digest(df).collect())
