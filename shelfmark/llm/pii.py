@@ -1,13 +1,17 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from them.
 
 The fixed patterns find emails, IP addresses, card and phone numbers. Their
-matches are the seeds. Every identifier-like token (four digits or more) is an
-instance, and the words around an occurrence are its lexical patterns. On the
+whole matches are the seeds, blanks included. Every other run of
+identifier-like tokens (with a digit, @, an underscore or a dot inside) is a
+candidate, and so is every token of such a run; seeds and candidates are the
+instances, and the words outside an occurrence are its lexical patterns. On the
 graph of patterns and instances, a pattern's confidence is the share of its
 distinct instances that are known, kept low while they are few; an instance's
 is the noisy or of its patterns'. Instances that reach the threshold are known
-in the next round. Tokens that a high-confidence pattern surrounds, or whose
-instance became known, are added as ``context`` spans where no other span is.
+in the next round. Candidates that a high-confidence pattern surrounds, or whose
+instance became known, are added as ``context`` spans where no other span is;
+of spans in one another the longest stays. What became known is looked for in
+other places only if it has an @ or four digits: less does not tell who it is.
 
 All steps are DataFrame operations. Positions are code points, end exclusive.
 Null and empty texts have no spans. Repeated rows are occurrences of their own
@@ -39,8 +43,12 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 
 _SPACE = r"[\x20\x09-\x0D]"
 _TOKEN = r"[^\x20\x09-\x0D]"
-#: A run of non-blanks with four digits or more.
-IDENTIFIER = rf"(?<!{_TOKEN})(?=(?:[^\x20\x09-\x0D0-9]*+[0-9]){{4}}){_TOKEN}++"
+#: Stands for each character of the fixed patterns' matches while candidates are looked for.
+_MASK = "\uE000"
+_PLAIN = rf"[^\x20\x09-\x0D{_MASK}]"
+_LIKE = rf"(?=(?:[^\x20\x09-\x0D{_MASK}0-9@_.]|\.(?![A-Za-z0-9]))*+[0-9@_.]){_PLAIN}++"
+#: A masked match, or a run of identifier-like tokens.
+INSTANCE = rf"{_MASK}++|(?<!{_PLAIN}){_LIKE}(?:{_SPACE}{_LIKE})*+"
 
 SPAN = "struct<start:int,end:int,kind:int,text:string>"
 
@@ -107,33 +115,59 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(PATTERNS)]))
 
 
-#: Characters on either side of a token that its patterns are taken from.
+#: Characters on either side of an instance that its patterns are taken from.
 CONTEXT = 200
 
+_WORD, _APART = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 
-def tokens(text: Column) -> Column:
-    """An array of (start, end, before, text, after) of the identifier-like tokens of a text, before and after at most CONTEXT long."""
-    near = F.transform(
-        located(text, IDENTIFIER),
-        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.right(m["before"], F.lit(CONTEXT)).alias("before"), m["text"].alias("text"), F.left(m["after"], F.lit(CONTEXT)).alias("after")),
-    )
-    has_digits = F.coalesce(text.rlike(r"(?:[^\x20\x09-\x0D0-9]*+[0-9]){4}"), F.lit(False))
-    return F.when(has_digits, near)
+
+def masked(text: Column, spans: Column) -> Column:
+    """text with each character that a span covers replaced by the mask."""
+
+    def cover(state: Column, s: Column) -> Column:
+        return F.concat(state.substr(F.lit(1), s["start"]), F.repeat(F.lit(_MASK), s["end"] - s["start"]), state.substr(s["end"] + 1, F.length(state)))
+
+    return F.when(F.size(spans) > 0, F.aggregate(spans, text, cover)).otherwise(text)
+
+
+def instances(text: Column, hidden: Column) -> Column:
+    """An array of (start, end, text, seed, second, left, right) of the instances of a text, hidden being the masked text: the two words before, and the one after."""
+
+    def one(m: Column) -> Column:
+        before, after = F.right(m["before"], F.lit(CONTEXT)), F.left(m["after"], F.lit(CONTEXT))
+        seed = m["text"].startswith(_MASK)
+        return F.struct(
+            m["start"].alias("start"),
+            m["end"].alias("end"),
+            F.when(seed, text.substr(m["start"] + 1, m["end"] - m["start"])).otherwise(m["text"]).alias("text"),
+            seed.alias("seed"),
+            F.lower(F.regexp_extract(before, rf"({_WORD}++){_APART}++{_WORD}++{_APART}*+$", 1)).alias("second"),
+            F.lower(F.regexp_extract(before, rf"({_WORD}++){_APART}*+$", 1)).alias("left"),
+            F.lower(F.regexp_extract(after, rf"^{_APART}*+({_WORD}++)", 1)).alias("right"),
+        )
+
+    some = F.coalesce(hidden.rlike(rf"[0-9@_{_MASK}]|\.[A-Za-z0-9]"), F.lit(False))
+    return F.when(some, F.transform(located(hidden, INSTANCE), one))
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(row, start, end, instance, seed, patterns) of every identifier-like token, from (row, spans, tokens). seed: a fixed pattern's match covers part of it."""
-    covered = lambda m: F.exists("spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-    m = rows.select("row", F.explode(F.transform("tokens", lambda m: m.withField("seed", covered(m)))).alias("m"))
-    core = m.withColumn("core", F.regexp_extract("m.text", r"[A-Za-z0-9](?:.*[A-Za-z0-9])?", 0)).withColumn("start", F.col("m.start") + F.length(F.regexp_extract("m.text", r"^[^A-Za-z0-9]*", 0)))
-    core = core.withColumn("end", F.col("start") + F.length("core")).filter("core <> ''")
-    left = F.lower(F.regexp_extract("m.before", rf"({_TOKEN}++){_SPACE}*+$", 1))
-    second = F.lower(F.regexp_extract("m.before", rf"({_TOKEN}++){_SPACE}++{_TOKEN}++{_SPACE}*+$", 1))
-    right = F.lower(F.regexp_extract("m.after", rf"^{_SPACE}*({_TOKEN}+)", 1))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("core", "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "9")
-    patterns = F.array(F.concat_ws(" ", second, left, F.lit("*"), shape), F.concat_ws(" ", left, F.lit("*"), right, shape))
-    patterns = F.when(left == "", F.array().cast("array<string>")).otherwise(patterns)
-    return core.select("row", "start", "end", F.col("core").alias("instance"), F.col("m.seed").alias("seed"), patterns.alias("patterns"))
+    """(row, start, end, instance, seed, patterns) of every instance and of every token of a run of several, from (row, instances).
+
+    Of the tokens of a run only the first has words on a side of its own, those before.
+    """
+    whole = rows.select("row", F.explode("instances").alias("m")).select("row", "m.*")
+    patterns = F.array(F.concat_ws(" ", "second", "left", F.lit("*")), F.concat_ws(" ", "left", F.lit("*"), "right"))
+    none = F.array().cast("array<string>")
+    whole = whole.withColumn("patterns", F.when(F.col("left") == "", none).otherwise(patterns)).select("row", "start", "end", "text", "seed", "patterns")
+    runs = whole.filter(~F.col("seed") & F.col("text").rlike(_SPACE))
+    parts = runs.withColumn("m", F.explode(located(F.col("text"), rf"{_TOKEN}++")))
+    first = F.when(F.col("m.start") == 0, F.slice("patterns", 1, 1)).otherwise(none)
+    parts = parts.select("row", (F.col("start") + F.col("m.start")).alias("start"), (F.col("start") + F.col("m.end")).alias("end"), F.col("m.text").alias("text"), "seed", first.alias("patterns"))
+    both = whole.union(parts)
+    core = F.when(F.col("seed"), F.col("text")).otherwise(F.regexp_extract("text", r"(?s)[A-Za-z0-9](?:.*[A-Za-z0-9])?", 0))
+    lead = F.when(F.col("seed"), 0).otherwise(F.length(F.regexp_extract("text", r"^[^A-Za-z0-9]*+", 0)))
+    both = both.withColumn("instance", core).withColumn("start", F.col("start") + lead).filter("instance <> ''")
+    return both.select("row", "start", (F.col("start") + F.length("instance")).alias("end"), "instance", "seed", "patterns")
 
 
 def pattern_scores(links: DataFrame, known: DataFrame) -> DataFrame:
@@ -159,13 +193,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """For each row: doc_id and spans, an array of (start, end, kind) by start and then kind."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("row"))
     plain = F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    based = cut(rows.select("doc_id", "row", plain.alias("spans"), tokens(F.col("text")).alias("tokens")), "based")
+    rows = rows.withColumn("spans", plain).withColumn("hidden", masked(F.col("text"), F.col("spans")))
+    based = cut(rows.select("doc_id", "row", "spans", instances(F.col("text"), F.col("hidden")).alias("instances")), "based")
     found = cut(occurrences(based), "occurrences")
-    patterns, instances = bootstrap(found, **options)
+    patterns, reached = bootstrap(found, **options)
     free = found.filter("not seed").select("row", "start", "end", "instance", F.explode_outer("patterns").alias("pattern"))
     by_pattern = free.join(patterns, "pattern", "left_semi").select("row", "start", "end")
-    by_instance = free.join(instances, "instance", "left_semi").select("row", "start", "end")
+    telling = reached.filter(F.col("instance").contains("@") | (F.length(digits(F.col("instance"))) >= 4))
+    by_instance = free.join(telling, "instance", "left_semi").select("row", "start", "end")
     added = by_pattern.union(by_instance).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit(len(KINDS) - 1).alias("kind"))).alias("more"))
+    inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    added = added.withColumn("more", F.filter("more", lambda x: ~F.exists("more", lambda y: inside(x, y))))
     spans = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:int,end:int,kind:int>>"))), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
     name = F.array(*map(F.lit, KINDS))
     return based.join(added, "row", "left").select("doc_id", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(name, s["kind"]).alias("kind"))).alias("spans"))

@@ -100,6 +100,17 @@ def test_pii_context(spark):
     assert pii.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_pii_context_finds_unknown_identifiers(spark):
+    seeds = [(i, f"call the office number +1 555 {2000000 + i} today") for i in range(30)] + [(i, f"please write to mail box <name.{'abc'[i % 3]}{'x' * i}@site.org>, thanks") for i in range(50, 70)]
+    planted = {100: ("call the office number ", "4455667", " today"), 101: ("call the office number ", "44 55 66", " today"), 102: ("please write to mail box <", "jo@localhost", ">, thanks")}
+    rows = [*seeds, *((i, "".join(parts)) for i, parts in planted.items()), (103, "was it 4455667 or not"), (104, "the year 1234567 was long"), (105, "in 44 of 55")]
+    found = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (before, secret, _) in planted.items():
+        assert found[i].spans == f"context:{len(before)}:{len(before) + len(secret)}"
+    assert found[103].spans == "context:7:14" and found[104].spans == found[105].spans == ""
+    assert all(found[i].n_context == 0 for i, _ in seeds)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
