@@ -58,6 +58,19 @@ def test_taken_is_what_the_shards_draw(spark, documents, monkeypatch):
     assert {r.taken for r in mixing.digest(documents).collect()} == {0}
 
 
+def test_training_windows_hold_whole_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    group, _ = language_model.classes(np.ones(language_model.IDS, np.int64))
+    texts = ["alpha beta gamma " * 700, "one", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = [r.ids for r in language_model.training_windows(df, group, path, 64).collect()]
+    t = Tokenizer.from_file(path)
+    want = [[0, *group[t.encode(x or "", add_special_tokens=False).ids].tolist(), group[language_model.END]] for x in texts]
+    assert len(want[0]) > 2000 and sum(len(r) - 1 for r in rows) == sum(len(w) - 1 for w in want)
+    assert [c for r in rows for c in r[1:]] == [c for w in want for c in w[1:]]
+    assert all(len(r) <= 65 for r in rows)
+
+
 def test_packing_round_trip(spark, documents):
     docs = odd(spark, documents)
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
