@@ -58,6 +58,11 @@ def test_taken_is_what_the_shards_draw(spark, documents, monkeypatch):
     assert {r.taken for r in mixing.digest(documents).collect()} == {0}
 
 
+def test_frequent_subwords_keep_classes_of_their_own():
+    group, share = language_model.classes(np.arange(language_model.IDS, 0, -1) ** 2)
+    assert group.max() + 1 == 1 + 128 + 63 and len(set(group[:128])) == 128 and not share[:128].any()
+
+
 def test_training_windows_hold_whole_texts(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     group, _ = language_model.classes(np.ones(language_model.IDS, np.int64))
