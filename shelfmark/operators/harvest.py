@@ -61,19 +61,25 @@ def corpus_match(docs: DataFrame, doc: str, text: str, phrases: DataFrame, ident
     """(doc, ident) where the text contains the phrase whatever its case.
 
     Candidates come from an equi-join on the phrase's longest word with the
-    texts' words (each once a text), and each is verified once; phrases without
-    a word of their own are not matched.
+    texts' words (each once a text), and each is verified once. The first and
+    last word of a phrase can be part of a longer word, so a phrase of one or two
+    words takes every distinct word of the texts that holds its longest one; a
+    phrase without any word is looked for in each text.
     """
     low = F.lower(F.col(phrase))
     inner = F.filter(F.split(low, WORDS), lambda w: w != "")
     # the first and last word of a phrase can be part of a longer word of the text
     whole = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
-    anchor = F.get(F.array_sort(F.transform(whole, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 0)["w"]
-    wanted = phrases.select(F.col(ident).alias("ident"), low.alias("phrase"), anchor.alias("word"))
+    longest = lambda words: F.get(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 0)["w"]
+    wanted = phrases.select(F.col(ident).alias("ident"), low.alias("phrase"), longest(whole).alias("word"), longest(inner).alias("part"))
     texts = docs.select(F.col(doc).alias("doc"), F.lower(F.col(text)).alias("text"))
     words = texts.select("doc", F.explode(F.array_distinct(F.split("text", WORDS))).alias("word"))
-    candidates = words.join(wanted.filter("word is not null"), "word").select("doc", "ident", "phrase")
-    found = candidates.join(texts, "doc").filter(F.col("text").contains(F.col("phrase")))
+    short = wanted.filter("word is null and part is not null").drop("word")
+    held = words.select("word").distinct().join(short, F.col("word").contains(F.col("part"))).select("ident", "phrase", "word")
+    anchored = wanted.filter("word is not null").select("ident", "phrase", "word").union(held)
+    candidates = words.join(anchored, "word").select("doc", "ident", "phrase").distinct()
+    bare = texts.join(wanted.filter("part is null").select("ident", "phrase"), F.col("text").contains(F.col("phrase"))).select("doc", "ident")
+    found = candidates.join(texts, "doc").filter(F.col("text").contains(F.col("phrase"))).select("doc", "ident").union(bare)
     return found.select(F.col("doc").alias(doc), F.col("ident").alias(ident)).distinct()
 
 

@@ -113,3 +113,12 @@ def test_keep_and_stats(spark):
     assert {r["column"]: r.nulls for r in sinks.profile(df).collect()} == {"n": 0, "k": 1, "x": 1}
     empty = df.limit(0)
     assert stats.numeric_summary(empty, F.col("x")).first().n == 0 and stats.top_k(empty, F.col("k"), 3).count() == 0
+
+
+def test_corpus_match_finds_phrases_of_one_or_two_words(spark):
+    texts = {1: "The ADNI cohort", 2: "preadnix, UK Biobank2 and more", 3: "a -- b", 4: "uk  biobank", 5: None, 6: "the long read of ADNI data"}
+    phrases = {1: "adni", 2: "UK Biobank", 3: "--", 4: "long read of", 5: None, 6: "of adni d"}
+    docs = spark.createDataFrame(list(texts.items()), "doc long, text string")
+    items = spark.createDataFrame(list(phrases.items()), "ident long, phrase string")
+    got = sorted(map(tuple, harvest.corpus_match(docs, "doc", "text", items, "ident", "phrase").collect()))
+    assert got == sorted((d, i) for d, t in texts.items() for i, p in phrases.items() if t and p and p.lower() in t.lower())
