@@ -5,6 +5,10 @@ words pack many. Every run of key-like characters is encoded with a tiktoken
 vocabulary, and a run with fewer than ``max_ratio`` characters a token is a
 secret, with digits or without, unless it is a known digest or identifier.
 
+Runs of at least ``least`` characters are tested, if they hold both a letter and
+a digit; others of at least ``least_plain``, as shorter ones of letters alone
+cannot be told from rare words.
+
 Null and empty texts have no spans. Ids are passed through, null or repeated
 ones too: one row out for each row in. Columns other than the id and the text
 are not read, so their names cannot clash. An empty table gives an empty table.
@@ -29,7 +33,13 @@ _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+
+
+@functools.cache
+def _run(least: int) -> re.Pattern:
+    return re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{least},}}")
+
 
 #: Lengths of hexadecimal digests in common use (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
@@ -66,7 +76,7 @@ def is_random(run: str, enc: tiktoken.Encoding, max_ratio: float) -> bool:
     return len(run) < max_ratio * len(enc.encode_ordinary(run)) and not is_known(run, enc)
 
 
-def spans(text: str | None, enc: tiktoken.Encoding, max_ratio: float) -> list[tuple[int, int, str]]:
+def spans(text: str | None, enc: tiktoken.Encoding, max_ratio: float = 1.9, least: int = 16, least_plain: int = 20) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, end exclusive, by start and then kind as listed."""
     if not text:
         return []
@@ -78,20 +88,26 @@ def spans(text: str | None, enc: tiktoken.Encoding, max_ratio: float) -> list[tu
         found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
     base = sorted(found)
-    for m in _RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e, _ in base) and is_random(m[0], enc, max_ratio):
+    at = furthest = 0  # base spans that start before a run ends, and where the last of them ends
+    for m in _run(min(least, least_plain)).finditer(text):
+        while at < len(base) and base[at][0] < m.end():
+            furthest = max(furthest, base[at][1])
+            at += 1
+        n = len(m[0])
+        long_enough = n >= least_plain or n >= least and _LETTER.search(m[0]) and _DIGIT.search(m[0])
+        if m.start() >= furthest and long_enough and is_random(m[0], enc, max_ratio):
             found.append((m.start(), m.end(), 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
-def span_text(text: Column, tokenizer: str | None = None, max_ratio: float = 1.9) -> Column:
-    """kind:start:end of every secret in a text, comma-joined; empty for none."""
+def span_text(text: Column, tokenizer: str | None = None, **options) -> Column:
+    """kind:start:end of every secret in a text, comma-joined; empty for none. options: those of spans."""
     path = tokenizer or "byte_bpe_50k.tiktoken"
 
     @F.pandas_udf("string")
     def scan(texts: pd.Series) -> pd.Series:
         enc = encoder(public_tokenizers.path(path) if "/" not in path else path)
-        return pd.Series([",".join(f"{k}:{s}:{e}" for s, e, k in spans(t, enc, max_ratio)) for t in texts], dtype=object)
+        return pd.Series([",".join(f"{k}:{s}:{e}" for s, e, k in spans(t, enc, **options)) for t in texts], dtype=object)
 
     return scan(text)
 
@@ -104,25 +120,27 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select(id_col, "spans", F.transform(items, lambda x: F.struct(part(x, 1).alias("kind"), part(x, 2).cast("int").alias("start"), part(x, 3).cast("int").alias("end"))).alias("secrets"))
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs with each secret in the text replaced by ``[kind]``; overlapping spans become one. Other texts stay as they are."""
-    path, max_ratio = options.get("tokenizer") or "byte_bpe_50k.tiktoken", options.get("max_ratio", 1.9)
+def redacted(text: str | None, enc: tiktoken.Encoding, **options) -> str | None:
+    """The text with each secret replaced by ``[kind]``; overlapping spans become one."""
+    found = spans(text, enc, **options)
+    if not found:
+        return text
+    out, at = [], 0
+    for start, end, kind in found:
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
 
-    def clean(text, enc):
-        found = spans(text, enc, max_ratio)
-        if not found:
-            return text
-        out, at = [], 0
-        for start, end, kind in found:
-            if start >= at:
-                out += [text[at:start], f"[{kind}]"]
-            at = max(at, end)
-        return "".join([*out, text[at:]])
+def redact_secrets(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, **options) -> DataFrame:
+    """docs with the secrets in the text replaced; other texts stay as they are. options: those of spans."""
+    path = tokenizer or "byte_bpe_50k.tiktoken"
 
     @F.pandas_udf("string")
     def redact(texts: pd.Series) -> pd.Series:
         enc = encoder(public_tokenizers.path(path) if "/" not in path else path)
-        return pd.Series([clean(t, enc) for t in texts], dtype=object)
+        return pd.Series([redacted(t, enc, **options) for t in texts], dtype=object)
 
     return docs.withColumn(text_col, redact(F.col(text_col)))
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,34 @@ def test_licenses(spark):
 def test_license_templates(text, label):
     labels = licenses.scan(text, licenses.Index())[5]
     assert label in labels.split(",")
+
+
+def test_random_runs_beside_base_spans():
+    """Runs that a base span touches are no second finding; the others are found whatever stands around them."""
+    rng = random.Random(8)
+    enc = secrets.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    make = lambda letters, n: "".join(rng.choices(letters, k=n))
+    pieces = []
+    for _ in range(300):
+        pieces.append(rng.choice(["word ", "password=" + make("abcDEF123", 12) + " ", make("0123456789abcdef", 32) + " ", "AKIA" + make("ABCDEFG2345", 16) + " ", "x " + make("qwxzkvjQWXZ0123789", 18) + " ", "y " + make("qwxzkvjQWXZKVJ", 24) + ",", make("qwxzkvj", 17) + " "]))
+    text = "".join(pieces)
+    found = secrets.spans(text, enc)
+    base = [x for x in found if x[2] != "random"]
+    runs = [m for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", text)]
+    long_enough = lambda r: len(r) >= 20 or re.search("[a-zA-Z]", r) and re.search("[0-9]", r)
+    want = [(m.start(), m.end(), "random") for m in runs if long_enough(m[0]) and not any(s < m.end() and m.start() < e for s, e, _ in base) and secrets.is_random(m[0], enc, 1.9)]
+    assert [x for x in found if x[2] == "random"] == want and len(want) > 60
+
+
+def test_pii_context_beyond_long_blanks(spark):
+    gap, word = " " * 700, "o" * 500
+    seeds = [(i, f"call{gap}the {word}{gap}number{gap}+1 555 {2000000 + i}{gap}today") for i in range(30)]
+    rows = [*seeds, (100, f"call{gap}the {word} number{gap}4455667{gap}today"), (101, f"call the {'o' * 499} number 4455668 soon")]
+    found = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[100].n_context == 1 and found[101].n_context == 0
+
+
+def test_pii_repeated_rows_get_equal_spans(spark):
+    text = "call the office number +1 555 2000001 today"
+    found = pii.digest(spark.createDataFrame([(1, text), (1, text), (1, "mail a@b.c"), (None, text)], "doc_id long, text string")).collect()
+    assert sorted(r.n_phone for r in found) == [0, 1, 1, 1] and sorted(r.n_email for r in found) == [0, 0, 0, 1]
