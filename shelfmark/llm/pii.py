@@ -115,9 +115,6 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(PATTERNS)]))
 
 
-#: Characters on either side of an instance that its patterns are taken from.
-CONTEXT = 200
-
 _WORD, _APART = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 
 
@@ -130,20 +127,34 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, text, cover)).otherwise(text)
 
 
+def words_before(before: Column) -> tuple[Column, Column]:
+    """The last word of a text and the one before it, in lower case, each whole however long it or the blanks around it are.
+
+    They are looked for near the end first; where they are not complete there, in all of it.
+    """
+    near = F.right(before, F.lit(100))
+
+    def word(rest: str) -> Column:
+        close = F.regexp_extract(near, rf"{_APART}({_WORD}++){rest}{_APART}*+$", 1)
+        return F.lower(F.when(close != "", close).otherwise(F.regexp_extract(before, rf"({_WORD}++){rest}{_APART}*+$", 1)))
+
+    return word(""), word(rf"{_APART}++{_WORD}++")
+
+
 def instances(text: Column, hidden: Column) -> Column:
     """An array of (start, end, text, seed, second, left, right) of the instances of a text, hidden being the masked text: the two words before, and the one after."""
 
     def one(m: Column) -> Column:
-        before, after = F.right(m["before"], F.lit(CONTEXT)), F.left(m["after"], F.lit(CONTEXT))
         seed = m["text"].startswith(_MASK)
+        left, second = words_before(m["before"])
         return F.struct(
             m["start"].alias("start"),
             m["end"].alias("end"),
             F.when(seed, text.substr(m["start"] + 1, m["end"] - m["start"])).otherwise(m["text"]).alias("text"),
             seed.alias("seed"),
-            F.lower(F.regexp_extract(before, rf"({_WORD}++){_APART}++{_WORD}++{_APART}*+$", 1)).alias("second"),
-            F.lower(F.regexp_extract(before, rf"({_WORD}++){_APART}*+$", 1)).alias("left"),
-            F.lower(F.regexp_extract(after, rf"^{_APART}*+({_WORD}++)", 1)).alias("right"),
+            second.alias("second"),
+            left.alias("left"),
+            F.lower(F.regexp_extract(m["after"], rf"^{_APART}*+({_WORD}++)", 1)).alias("right"),
         )
 
     some = F.coalesce(hidden.rlike(rf"[0-9@_{_MASK}]|\.[A-Za-z0-9]"), F.lit(False))
@@ -191,7 +202,7 @@ def bootstrap(found: DataFrame, rounds: int = 2, threshold: float = 0.8, support
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """For each row: doc_id and spans, an array of (start, end, kind) by start and then kind."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("row"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     plain = F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     rows = rows.withColumn("spans", plain).withColumn("hidden", masked(F.col("text"), F.col("spans")))
     based = cut(rows.select("doc_id", "row", "spans", instances(F.col("text"), F.col("hidden")).alias("instances")), "based")
