@@ -168,3 +168,25 @@ def test_pii_repeated_rows_get_equal_spans(spark):
     text = "call the office number +1 555 2000001 today"
     found = pii.digest(spark.createDataFrame([(1, text), (1, text), (1, "mail a@b.c"), (None, text)], "doc_id long, text string")).collect()
     assert sorted(r.n_phone for r in found) == [0, 1, 1, 1] and sorted(r.n_email for r in found) == [0, 0, 0, 1]
+
+
+@pytest.mark.parametrize("t", range(len(licenses.TEMPLATES)))
+def test_every_template_is_found_in_a_file(t):
+    """With words before and after it, a few of its words changed, and blanks and marks anywhere."""
+    label, text, keys = licenses.TEMPLATES[t]
+    ws = text.split()
+    fixed = {i for key in keys for i in range(len(ws)) if ws[i : i + len(key.split())] == key.split() for i in range(i, i + len(key.split()))}
+    loose = [i for i in range(len(ws)) if i not in fixed]
+    for i in loose[3 :: max(12, len(loose))]:
+        ws[i] = "changed"
+    file = "some code here " * 40 + ",\n * ".join(ws).upper() + " and more " * 30
+    assert label in licenses.scan(file, licenses.Index())[5].split(",")
+
+
+def test_parts_of_templates_are_no_licence():
+    index = licenses.Index()
+    for text in ("the software is provided to any person", "permission notice and conditions of the license", "redistribution of wealth in source and other forms with modification"):
+        assert licenses.scan(text, index)[5] == ""
+    ws = next(t[1] for t in licenses.TEMPLATES if t[0] == "zlib").split()
+    random.Random(3).shuffle(ws)
+    assert licenses.scan(" ".join(ws), index)[5] == ""
