@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local master (tests) gets a folder of its own; on a
+    cluster no folder of this machine would do, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
-        found = f"/tmp/shelfmark-checkpoints/{spark.sparkContext.applicationId}"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{tempfile.gettempdir()}/shelfmark-checkpoints/{spark.sparkContext.applicationId}"
     return found.rstrip("/")
 
 
@@ -27,6 +37,23 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of a written table whose count reaches the least threshold that at most ``most`` rows reach.
+
+    The threshold comes from a histogram of the counts (sixteen steps for each
+    doubling), so nothing is ranked and little is sent to the driver.
+    """
+    level = F.floor(F.log2(F.greatest(F.col(count), F.lit(1))) * 16).cast("int")
+    bins = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()  # at most 64 * 16 rows
+    least, total = None, 0
+    for row in bins:
+        total += row["n"]
+        if total > most:
+            break
+        least = row["level"]
+    return counts.filter(F.lit(False) if least is None else level >= least)
+
+
 def ascii_lower(text):
     """Column: A-Z to a-z, all else unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -34,3 +61,21 @@ def ascii_lower(text):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stretches(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts in UTF-8) of consecutive stretches of a string column with about ``most`` bytes each; null is empty.
+
+    Python objects are made for one stretch at a time, so memory does not grow
+    with the batch; a longer text is a stretch of its own.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    raw = texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
+    first = held = 0
+    for row, size in enumerate(sizes):
+        if held and held + size > most:
+            yield first, [x or b"" for x in raw.slice(first, row - first).to_pylist()]
+            first, held = row, 0
+        held += size + 1
+    if first < len(sizes):
+        yield first, [x or b"" for x in raw.slice(first).to_pylist()]

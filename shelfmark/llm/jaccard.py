@@ -23,13 +23,16 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import cut
+from shelfmark.llm.common import cut, frequent, stretches
 from shelfmark.llm.components import components
 from shelfmark.llm.shingles import mix, shingle_sets
 
@@ -49,6 +52,15 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 SCAN = "doc_id long, n long, k1 long, k2 long, shingle long, seen long"
+PREFIXES = "doc_id long, n long, k1 long, k2 long, prefix array<long>, ranges array<smallint>"
+
+
+def frame(schema: str, **columns) -> pa.RecordBatch:
+    """A batch with the schema's columns; absent ones are null."""
+    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<smallint>": pa.list_(pa.int16())}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    rows = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[k]) if n in columns else pa.nulls(rows, kinds[k]) for n, k in fields], [n for n, _ in fields])
 
 
 def scan(docs: DataFrame, width: int, flush: int = 1 << 21) -> DataFrame:
@@ -60,47 +72,60 @@ def scan(docs: DataFrame, width: int, flush: int = 1 << 21) -> DataFrame:
         def repeated():
             shingles, seen = np.unique(np.concatenate(held), return_counts=True)
             again = seen > 1
-            return pd.DataFrame({"doc_id": None, "n": None, "k1": None, "k2": None, "shingle": signed(shingles[again]), "seen": seen[again]}).astype({c: "Int64" for c in ("doc_id", "n", "k1", "k2")})
-
-        for batch in (b for b in batches if len(b)):
-            sets = shingle_sets(batch["text"].tolist(), width)
-            keys = [set_key(s) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "shingle": pd.array([None] * len(sets), dtype="Int64"), "seen": pd.array([None] * len(sets), dtype="Int64")})
-            for s in sets:
-                held.append(s)
-                size += len(s)
+            return frame(SCAN, shingle=signed(shingles[again]), seen=seen[again])
+
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for first, texts in stretches(batch.column("text")):
+                sets = shingle_sets(texts, width)
+                keys = np.array([set_key(s) for s in sets])
+                yield frame(SCAN, doc_id=ids.slice(first, len(sets)), n=[len(s) for s in sets], k1=keys[:, 0], k2=keys[:, 1])
+                held += sets
+                size += sum(map(len, sets))
                 if size >= flush:
                     yield repeated()
                     held, size = [], 0
         if held:
             yield repeated()
 
-    return docs.mapInPandas(look, SCAN)
+    return docs.mapInArrow(look, SCAN)
 
 
-PREFIXES = "doc_id long, n long, k1 long, k2 long, prefix array<long>, ranges array<int>"
+def frequent_shingles(repeated: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles and their counts: the most frequent ones, at most ``most`` of them."""
+    counts = cut(repeated.groupBy("shingle").agg(F.sum("seen").alias("seen")), "counts")
+    found = frequent(counts, "seen", most).toPandas()  # at most ``most`` rows
+    shingles = found["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], found["seen"].to_numpy(dtype=np.int64)[order]
+
+
+def range_counts(s: np.ndarray) -> np.ndarray | None:
+    """How many shingles of a set fall in each hash range; None where a count is beyond 16 bits, and no bound is taken then."""
+    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES)
+    return counts.astype(np.int16) if counts.max() < 1 << 15 else None
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, shingles: np.ndarray, seen: np.ndarray) -> DataFrame:
     """Each document's prefix in the rare-first order, and its shingle counts by hash range. shingles: frequent ones, sorted; seen: their counts."""
 
     def look(batches):
-        for batch in (b for b in batches if len(b)):
-            sets = shingle_sets(batch["text"].tolist(), width)
-            prefix, ranges = [], []
-            for s in sets:
-                at = np.searchsorted(shingles, s)
-                count = np.where(shingles[np.minimum(at, len(shingles) - 1)] == s, seen[np.minimum(at, len(seen) - 1)], 0) if len(shingles) else np.zeros(len(s), np.int64)
-                take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                prefix.append(signed(s[np.lexsort((s, count))[:take]]))
-                ranges.append(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES).astype(np.int32))
-            keys = [set_key(s) for s in sets]
-            out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "prefix": prefix, "ranges": ranges})
-            out = out[out["n"] > 0]
-            if len(out):
-                yield out
-
-    return docs.mapInPandas(look, PREFIXES)
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for first, texts in stretches(batch.column("text")):
+                rows = []
+                for at, s in enumerate(shingle_sets(texts, width)):
+                    if not len(s):
+                        continue
+                    place = np.searchsorted(shingles, s)
+                    count = np.where(shingles[np.minimum(place, len(shingles) - 1)] == s, seen[np.minimum(place, len(seen) - 1)], 0) if len(shingles) else np.zeros(len(s), np.int64)
+                    take = len(s) - -(-percent * len(s) // 100) + 1
+                    rows.append((first + at, len(s), *set_key(s), signed(s[np.lexsort((s, count))[:take]]), range_counts(s)))
+                if rows:
+                    at, n, k1, k2, prefix, ranges = zip(*rows)
+                    yield frame(PREFIXES, doc_id=ids.take(pa.array(at)), n=n, k1=k1, k2=k2, prefix=prefix, ranges=ranges)
+
+    return docs.mapInArrow(look, PREFIXES)
 
 
 def _bounded(percent: int) -> Column:
@@ -113,7 +138,7 @@ def _bounded(percent: int) -> Column:
 def _ranges_bound(percent: int) -> Column:
     """The suffix filter: two sets share no more than the smaller count in every hash range."""
     shared = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return shared * (100 + percent) >= F.lit(percent) * (F.col("na") + F.col("nb"))
+    return F.coalesce(shared * (100 + percent) >= F.lit(percent) * (F.col("na") + F.col("nb")), F.lit(True))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, slots: int = 1 << 23) -> DataFrame:
@@ -137,19 +162,21 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, slots:
 
     def check(batches):
         for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            for at in range(0, len(batch), 256):
-                rows = batch.iloc[at : at + 256]
-                first = {}
-                for a, text in zip(rows["a"], rows["text_a"]):
-                    first.setdefault(a, text)
-                left = dict(zip(first, shingle_sets(list(first.values()), width)))
-                for i, (a, right) in enumerate(zip(rows["a"], shingle_sets(rows["text_b"].tolist(), width))):
-                    same = len(np.intersect1d(left[a], right, assume_unique=True))
-                    keep[at + i] = 100 * same >= percent * (len(left[a]) + len(right) - same) and same > 0
-            yield batch.loc[keep, ["a", "b"]]
-
-    return both.mapInPandas(check, "a long, b long")
+            a, b, lefts = (batch.column(c) for c in ("a", "b", "text_a"))
+            for first, texts in stretches(batch.column("text_b")):
+                ids = a.slice(first, len(texts)).to_pylist()
+                at = {}
+                for i, x in enumerate(ids):
+                    at.setdefault(x, first + i)
+                left = dict(zip(at, shingle_sets(lefts.take(pa.array(list(at.values()))).cast(pa.binary()).to_pylist(), width)))
+                keep = []
+                for x, right in zip(ids, shingle_sets(texts, width)):
+                    same = len(np.intersect1d(left[x], right, assume_unique=True))
+                    keep.append(100 * same >= percent * (len(left[x]) + len(right) - same) and same > 0)
+                mask = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([c.slice(first, len(texts)).filter(mask) for c in (a, b)], ["a", "b"])
+
+    return both.mapInArrow(check, "a long, b long")
 
 
 def similar_groups(
@@ -158,11 +185,11 @@ def similar_groups(
     text_col: str = "text",
     width: int = 5,
     percent: int = 75,
-    frequent: int = 1 << 18,
+    most_frequent: int = 1 << 18,
 ) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id.
 
-    ``frequent`` bounds the table of frequent shingles that orders the sets; it
+    ``most_frequent`` bounds the table of frequent shingles that orders the sets; it
     changes the work and not the result, as any one order gives all links.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -170,10 +197,7 @@ def similar_groups(
     key = ["n", "k1", "k2"]
     sets = seen.filter("n is not null").select("doc_id", *key)
     reps = sets.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    hot = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(frequent).toPandas()
-    shingles = hot["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(shingles)
-    ranked = prefixes(docs, width, percent, shingles[order], hot["seen"].to_numpy(dtype=np.int64)[order])
+    ranked = prefixes(docs, width, percent, *frequent_shingles(seen.filter("shingle is not null"), most_frequent))
     one = cut(ranked.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges")).filter("rep is not null"), "prefixes")
     info = one.select("rep", "n", "ranges")
     within = W.partitionBy("shingle").orderBy("rep")
@@ -199,8 +223,11 @@ def similar_groups(
     labelled = shared.drop("hub").join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
     labelled = cut(labelled.join(apart, "shingle"), "apart")
-    a, b = (labelled.select("shingle", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    rest = candidates(a.join(b, "shingle").filter(F.col("ca") != F.col("cb")).filter("a < b").filter(_bounded(percent)))
+    # sizes that can link are in one band or in two that adjoin, so a shingle's documents meet by band and not all with all
+    band = F.floor(F.log(F.col("n")) / math.log(100 / min(percent, 99)))
+    a, b = (labelled.select("shingle", band.alias("band"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    b = b.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    rest = candidates(a.join(b, ["shingle", "band"]).filter(F.col("ca") != F.col("cb")).filter("a < b").filter(_bounded(percent)))
     more = verified(rest.join(near, ["a", "b"], "left_anti"), docs, width, percent)
     joined = components(links.union(more))
     member = reps.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))

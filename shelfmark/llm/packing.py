@@ -8,6 +8,9 @@ the linear and the quadratic part of attention within a document. A group opens
 as many sequences as its tokens fill; pieces that then fit nowhere are cut at
 the room that is left, so almost no padding remains.
 
+Pieces are dealt into groups by a hash that takes in their place in the table
+of pieces, so repeated rows and rows without an id spread like any others.
+
 A null or empty text is the end token alone. Repeated rows are packed each on
 their own. Null ids are packed too. Columns other than the id and the text are
 not read. An empty table gives an empty table.
@@ -23,11 +26,12 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfmark.llm.common import cut
+from shelfmark.llm.common import cut, stretches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
 
@@ -40,19 +44,23 @@ class WordEncoder:
     """Ids of whole texts, from the ids of their words, which are kept.
 
     The vocabulary ends every word with a mark, so pieces between blanks are
-    encoded on their own, and many plain words in one call.
+    encoded on their own, and many plain words in one call. Of the words' ids
+    about ``most`` bytes are kept.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 64 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
         self.ends = np.array([t.endswith("</w>") for t, _ in vocabulary])
         self.most = most
+        self.held = 0
         self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known = {"": b""}
+        size = sum(map(len, words)) * 2 + 150 * len(words)
+        if self.held + size > self.most:
+            self.known, self.held = {"": b""}, 0
+        self.held += size
         plain = [w for w in words if _PLAIN.fullmatch(w)]
         ids = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast([" ".join(plain[i : i + 4096]) for i in range(0, len(plain), 4096)], add_special_tokens=False)]
         ids = np.concatenate([*ids, np.zeros(0, "<u4")])
@@ -66,10 +74,11 @@ class WordEncoder:
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def batch(self, texts) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null is empty."""
+        """Little-endian unsigned 32-bit ids of each text, in UTF-8 or a string; null is empty."""
         split = []
         for text in texts:
-            low = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+            low = raw.lower().decode("utf-8", "surrogatepass")
             split.append(_MARK.sub(r" \1", low).replace("\n", " ").split(" "))
         found = [list(map(self.known.get, words)) for words in split]
         new = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
@@ -192,17 +201,21 @@ def encode_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, e
 
     def encode(batches):
         enc = word_encoder(tokenizer)
-        for batch in (b for b in batches if len(b)):
-            rows = []
-            for doc, ids in zip(batch["doc_id"], enc.batch(batch["text"])):
-                ids += end
-                n = len(ids) // 4
-                for at in range(0, n, size):
-                    here = ids[4 * at : 4 * (at + size)]
-                    rows.append((doc, at, len(here) // 4, n, [zlib.crc32(here[i : i + 4 * grain]) for i in range(0, len(here), 4 * grain)]))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "crcs"]).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(encode, PIECES)
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            for first, texts in stretches(batch.column("text")):
+                rows = []
+                for doc, raw in zip(ids[first : first + len(texts)], enc.batch(texts)):
+                    raw += end
+                    n = len(raw) // 4
+                    for at in range(0, n, size):
+                        here = raw[4 * at : 4 * (at + size)]
+                        rows.append((doc, at, len(here) // 4, n, [zlib.crc32(here[i : i + 4 * grain]) for i in range(0, len(here), 4 * grain)]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    types = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, PIECES)
 
 
 def pack_documents(
@@ -236,4 +249,5 @@ def pack_documents(
             rows.append((doc[item], start[item] + first, n, crc, tokens[item], (group << 32) + s, offset))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")]).astype({"doc_id": "Int64"})
 
-    return pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(groups))).groupBy("g").applyInPandas(place, PACKED)
+    place_of = F.xxhash64("doc_id", "start", "length", F.monotonically_increasing_id())
+    return pieces.withColumn("g", F.pmod(place_of, F.lit(groups))).groupBy("g").applyInPandas(place, PACKED)

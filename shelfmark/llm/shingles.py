@@ -28,9 +28,9 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return kept[:n]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the texts, A-Z lower-cased, in order, and the number of words of each text."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+def word_hashes(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the texts (strings, or their UTF-8), A-Z lower-cased, in order, and the number of words of each text."""
+    raw = [(t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass")).lower() for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw])
     data = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
     inside = np.concatenate([[False], ~_SPACE[data], [False]])
@@ -42,7 +42,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
 
 
-def shingle_sets(texts: list[str | None], width: int = 5, chunk: int = 1 << 20) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | bytes | None], width: int = 5, chunk: int = 1 << 18) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles of ``width`` words; of its whole sequence if it has fewer words."""
     out, some, size = [], [], 0
     for t in texts:
@@ -54,7 +54,7 @@ def shingle_sets(texts: list[str | None], width: int = 5, chunk: int = 1 << 20)
     return out + _sets(some, width) if some else out
 
 
-def _sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+def _sets(texts: list[str | bytes | None], width: int) -> list[np.ndarray]:
     h, counts = word_hashes(texts)
     odd = _power(np.uint64(0xD1342543DE82EF95), width + 1)[1:]
     with np.errstate(over="ignore"):
