@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 import pandas as pd
@@ -37,8 +38,13 @@ def split_list(c: Column, delimiters: str = ";") -> Column:
 
 def distinct_by(items: Column, key) -> Column:
     """The items whose key no earlier item has, in order."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    none = F.array().cast("array<string>")
+
+    def step(state, x):
+        more = F.struct(F.concat(state["keys"], F.array(key(x))).alias("keys"), F.concat(state["kept"], F.array(x)).alias("kept"))
+        return F.when(F.array_contains(state["keys"], key(x)), state).otherwise(more)
+
+    return F.aggregate(items, F.struct(none.alias("keys"), none.alias("kept")), step, lambda state: state["kept"])
 
 
 def expand_parens(items: Column) -> Column:
@@ -62,14 +68,20 @@ def nfkc(c: Column) -> Column:
 
     @F.pandas_udf("string")
     def compose(text: pd.Series) -> pd.Series:
-        return text.str.normalize("NFKC")
+        return pd.Series([None if x is None else unicodedata.normalize("NFKC", x) for x in text], dtype=object)
+
+    # text in ASCII stays as it is, so only other text goes to Python and back
+    return F.coalesce(compose(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
 
-    return compose(c)
+#: Between items while they are folded together: a control character, which no folding makes, takes or joins.
+_BREAK = "\x1f"
 
 
 def normalize_list(c: Column, delimiter: str = ";", split_on: str | None = None) -> Column:
-    """Split, expand parentheses, fold apostrophes, drop repeats whatever their case, sort by code point, join."""
-    items = F.transform(expand_parens(split_list(c, split_on or delimiter)), lambda x: strip(plain_apostrophes(x)))
+    """Split, expand parentheses, compose (NFKC) and fold apostrophes, drop repeats whatever their case, sort by code point, join."""
+    composed = F.split(nfkc(F.array_join(expand_parens(split_list(c, split_on or delimiter)), _BREAK)), _BREAK)
+    items = F.transform(composed, lambda x: strip(plain_apostrophes(x)))
     kept = distinct_by(F.filter(items, lambda x: x != ""), F.lower)
     return F.array_join(F.array_sort(kept), delimiter)
 

@@ -47,6 +47,23 @@ def filter_by(wanted: dict[str, list[str] | str | None], strict: bool = False):
     return apply
 
 
+def options(pages: list[tuple[str, DataFrame, dict[str, str]]]) -> DataFrame:
+    """(page, field, value, n): the values to choose from in each page's lists, given each field's delimiters, and how many records have them.
+
+    A page's fields are taken from its rows in one pass.
+    """
+
+    def items_of(name: str, by: str) -> Column:
+        return F.transform(C.split_list(F.col(f"`{name}`"), by), lambda v: F.struct(F.lit(name).alias("field"), v.alias("value")))
+
+    parts = []
+    for page, df, fields in pages:
+        items = [items_of(name, by) for name, by in fields.items()]
+        found = df.select(F.explode(F.concat(*items)).alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+        parts.append(found.select(F.lit(page).alias("page"), "field", "value", "n"))
+    return reduce(DataFrame.union, parts)
+
+
 def relevant(c: Column, kinds: list[str]) -> Column:
     """Whether any of the kinds is a substring of the upper-cased text."""
     return any_of([F.upper(c).contains(k) for k in kinds])

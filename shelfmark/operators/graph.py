@@ -111,8 +111,8 @@ def drivers(edge: DataFrame, k: int = 3) -> DataFrame:
 def node_attributes(node: DataFrame, edge: DataFrame, note: str) -> DataFrame:
     """Display size by degree and colour value by grade."""
     degree = degrees(node, edge)
-    most = F.greatest(F.max("degree").over(W.partitionBy()), F.lit(1))
-    sized = degree.withColumn("size", 10 + F.col("degree") / most * 20)
+    most = degree.agg(F.greatest(F.max("degree"), F.lit(1)).alias("most"))
+    sized = degree.crossJoin(F.broadcast(most)).withColumn("size", 10 + F.col("degree") / F.col("most") * 20).drop("most")
     return sized.join(node.select("node_id", C.grade(F.col(note)).alias("colour")), "node_id")
 
 

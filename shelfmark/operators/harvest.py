@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +85,30 @@ def corpus_match(docs: DataFrame, doc: str, text: str, phrases: DataFrame, ident
     return found.select(F.col("doc").alias(doc), F.col("ident").alias(ident)).distinct()
 
 
+def corpus_search(docs: DataFrame, doc: str, text: str, day: str, studies: DataFrame, ident: str, groups: dict[str, Column], as_of: Column, years: int = 3) -> DataFrame:
+    """(doc, ident) where a text passes a study's search: one phrase at least of each of its groups, and a day within the last years.
+
+    ``groups``: arrays of phrases (names, diseases, modalities, ...); an empty
+    group asks for nothing, and a study without any group is left out. Each
+    distinct phrase is looked for once, whatever number of studies has it.
+    """
+    parts = [studies.select(F.col(ident).alias("ident"), F.lit(name).alias("grp"), F.explode(phrases).alias("phrase")) for name, phrases in groups.items()]
+    wanted = reduce(DataFrame.union, parts).select("ident", "grp", F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct()
+    asked = wanted.groupBy("ident").agg(F.count_distinct("grp").alias("asked"))
+    recent = docs.filter(F.col(day).between(F.date_sub(as_of, 365 * years), as_of)).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    hits = corpus_match(recent, "doc", "text", wanted.select("phrase").distinct().withColumn("key", F.col("phrase")), "key", "phrase")
+    found = hits.withColumnRenamed("key", "phrase").join(wanted, "phrase").groupBy("doc", "ident").agg(F.count_distinct("grp").alias("met"))
+    return found.join(asked, "ident").filter("met = asked").select(F.col("doc").alias(doc), F.col("ident").alias(ident))
+
+
+def search_groups(version: int, name: Column, abbreviation: Column, diseases: Column, modalities: Column) -> dict[str, Column]:
+    """The groups of phrases that the search expressions of version 1, 2 or 3 ask for; terms for diseases are the expressions'."""
+    names = names_v1(name, abbreviation) if version == 1 else names_v2(name, abbreviation)
+    if version == 2:
+        return {"names": names}
+    return {"names": names, "diseases": disease_terms(C.split_list(diseases)), "modalities": F.slice(C.split_list(modalities, ","), 1, 5)}
+
+
 def search_grid(studies: DataFrame, abbreviation: str, words: list[str]) -> DataFrame:
     """Every study with an abbreviation, once a word: "{abbreviation} {word}"."""
     each = F.explode(F.array(*map(F.lit, words)))

@@ -24,24 +24,47 @@ def _landed(df, sep="\t"):
 
 @HERE.add("SELECT p_partkey::VARCHAR AS key, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END AS name, p_brand AS brand FROM part")
 def tsv_load(spark, sf_dir):
-    raw = table(spark, sf_dir, "part").selectExpr("p_partkey AS ` key `", "CASE WHEN p_size % 5 = 0 THEN 'N/A' ELSE p_name END AS name", "p_brand AS brand")
+    raw = table(spark, sf_dir, "part").selectExpr("p_brand AS brand", "p_partkey AS ` key `", "p_type AS other", "CASE WHEN p_size % 5 = 0 THEN 'N/A' ELSE p_name END AS name")
     return S.read_table(spark, _landed(raw), ["key", "name", "brand"])
 
 
 @HERE.add("SELECT 'part' AS kind, count(*) AS n FROM part")
 def latest_file(spark, sf_dir):
     path = scratch(spark)
-    table(spark, sf_dir, "part").select("p_partkey").coalesce(1).write.option("header", True).option("sep", "\t").csv(f"{path}/files")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{path}/files")
-    newest = files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
-    return S.read_table(spark, newest, ["key"]).agg(F.count("*").alias("n")).select(F.lit("part").alias("kind"), "n")
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    for name, rows in (("old", part.filter("p_partkey % 2 = 0")), ("new", part)):
+        rows.write.option("header", True).option("sep", "\t").csv(f"{path}/{name}")
+    read = S.read_table(spark, S.latest_write(spark, path), ["p_partkey"], multi_line=False)
+    return read.agg(F.count("*").alias("n")).select(F.lit("part").alias("kind"), "n")
 
 
-@HERE.add("SELECT n_nationkey::VARCHAR AS key, n_name AS name, '' AS extra FROM nation UNION ALL SELECT r_regionkey::VARCHAR, '', r_name FROM region")
+@HERE.add("SELECT c_custkey::VARCHAR AS key, c_name AS name, '' AS extra FROM customer UNION ALL SELECT s_suppkey::VARCHAR, '', s_name FROM supplier")
 def multi_file_union(spark, sf_dir):
-    a = S.read_table(spark, _landed(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))), ["key", "name"])
-    b = S.read_table(spark, _landed(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("extra"))), ["key", "extra"])
-    return S.union_all([a, b]).na.fill("")
+    paths = [_landed(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))), _landed(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("extra"), F.col("s_suppkey").alias("key")))]
+    return S.read_table(spark, paths, ["key", "name", "extra"])
+
+
+_BATCHES = "SELECT o_custkey % 1000 AS link, o_orderkey, o_orderkey % 4 AS batch FROM orders"
+
+
+def _batches(spark, sf_dir):
+    return S.merge_batches(table(spark, sf_dir, "orders").select((F.col("o_custkey") % 1000).alias("Repository Link"), "o_orderkey", (F.col("o_orderkey") % 4).alias("batch")))
+
+
+@HERE.add(f"SELECT link AS \"Repository Link\", o_orderkey FROM ({_BATCHES}) QUALIFY row_number() OVER (PARTITION BY link ORDER BY batch, o_orderkey) = 1")
+def merge_batches(spark, sf_dir):
+    return _batches(spark, sf_dir)[0]
+
+
+@HERE.add(f"SELECT count(*) AS before, count(DISTINCT link) AS after, count(*) - count(DISTINCT link) AS removed FROM ({_BATCHES})")
+def merge_batches_counts(spark, sf_dir):
+    return _batches(spark, sf_dir)[1]
+
+
+@HERE.add("SELECT user_id AS \"Repository\", event_type AS \"Issue Type\", event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 7, event_id) = 1")
+def union_compliance_logs(spark, sf_dir):
+    logs = table(spark, sf_dir, "events").select(F.col("user_id").alias("Repository"), F.col("event_type").alias("Issue Type"), "event_id", (F.col("event_id") % 7).alias("file"))
+    return S.union_compliance_logs(logs, ["file", "event_id"]).drop("file")
 
 
 @HERE.add("SELECT p_name, '' AS absent, p_partkey FROM part")
@@ -61,21 +84,21 @@ def load_code_repos(spark, sf_dir):
     return S.load_code_repos(raw)
 
 
-@HERE.add("SELECT doc_id, 'PMC' || doc_id AS \"PubMed Central Link\", 'Z ' || source AS \"Authors\", lang AS \"Keywords\", text AS \"Abstract\", 80.0::DOUBLE AS \"Data Completeness\" FROM documents")
+@HERE.add("SELECT doc_id, 'PMC' || doc_id AS \"PubMed Central Link\", 'Z ' || source AS \"Authors\", lang AS \"Keywords\", text AS \"Abstract\", 'B; b' AS \"Affiliations\", 'AD;' || lang AS \"Diseases Included\", 100.0::DOUBLE AS \"Data Completeness\" FROM documents")
 def load_publications(spark, sf_dir):
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("PMCPMC"), F.col("doc_id").cast("string")).alias("PubMed Central Link"), F.concat(F.col("source"), F.lit(" Z")).alias("Authors"), F.col("lang").alias("Keywords"), F.col("text").alias("Abstract"))
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("PMCPMC"), F.col("doc_id").cast("string")).alias("PubMed Central Link"), F.concat(F.col("source"), F.lit(" Z")).alias("Authors"), F.col("lang").alias("Keywords"), F.col("text").alias("Abstract"), F.lit("B; b").alias("Affiliations"), F.concat(F.lit("AD, "), F.col("lang"), F.lit("; ad")).alias("Diseases Included"))
     return S.load_publications(raw)
 
 
-@HERE.add("SELECT user_id::VARCHAR AS \"Repository\", event_type AS \"Issue Type\", max(ts)::VARCHAR AS \"Timestamp\" FROM events GROUP BY ALL")
+_LOG_SQL = "SELECT user_id::VARCHAR AS \"Repository\", event_type AS \"Issue Type\", regexp_replace(strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f'), '\\.?0+$', '') AS \"Timestamp\" FROM events GROUP BY ALL"
+
+
+@HERE.add(_LOG_SQL)
 def load_compliance_log(spark, sf_dir):
     raw = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("Repository"), F.col("event_type").alias("Issue Type"), F.col("props").alias("Details"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Timestamp"))
     return S.load_compliance_log(raw).select("Repository", "Issue Type", F.regexp_replace("Timestamp", r"\.?0+$", "").alias("Timestamp"))
 
 
-HERE.oracles["load_compliance_log"] = "SELECT user_id::VARCHAR AS \"Repository\", event_type AS \"Issue Type\", regexp_replace(strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f'), '\\.?0+$', '') AS \"Timestamp\" FROM events GROUP BY ALL"
-
-
 @HERE.add("SELECT c_custkey::VARCHAR AS product, c_mktsegment AS gene, CASE WHEN c_nationkey = 0 THEN 'Control/Wildtype' ELSE c_nationkey::VARCHAR END AS condition FROM customer")
 def load_cell_lines(spark, sf_dir):
     raw = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("product"), F.col("c_mktsegment").alias("gene"), F.col("c_nationkey").alias("condition"))
@@ -110,9 +133,9 @@ def citations(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sinks.citation(F.col("source"), F.substring("text", 1, 40), link).alias("citation"))
 
 
-@HERE.add("SELECT p_partkey AS \"row\", 'Record ' || p_partkey || E'\\np_name: ' || p_name || E'\\np_brand: ' || p_brand || E'\\nnote: a\\n  b' AS value FROM part")
+@HERE.add("SELECT -1::BIGINT AS \"row\", repeat('=', 80) || E'\\n' || repeat(' ', 34) || 'All of parts' || repeat(' ', 34) || E'\\n' || repeat('=', 80) || E'\\n\\nTotal Records: ' || count(*) || E'\\n\\n' || repeat('=', 80) || E'\\n' AS value FROM part UNION ALL SELECT p_partkey, 'Record ' || p_partkey || E':\\n' || repeat('-', 80) || E'\\np_name: ' || p_name || E'\\np_brand: ' || p_brand || E'\\nnote:\\n  a\\n  b\\n' FROM part")
 def text_records(spark, sf_dir):
-    return sinks.text_records(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.lit("").alias("blank"), F.lit("a\nb").alias("note")), "p_partkey")
+    return sinks.text_records(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.lit("").alias("blank"), F.lit("a\nb").alias("note")), "p_partkey", "All of parts")
 
 
 @HERE.add("SELECT doc_id::VARCHAR AS \"PMID\", 'https://www.ncbi.nlm.nih.gov/pmc/articles/PMC' || doc_id AS \"PubMed Central Link\", source || ' ' || lang AS \"Authors\", 'Inst ' || source AS \"Affiliations\", 'Title ' || doc_id AS \"Title\", 'AIM: n' || n_chars || ' end' AS \"Abstract\", lang || '; ' || source AS \"Keywords\" FROM documents WHERE doc_id % 10 <> 0")
@@ -124,13 +147,14 @@ def xml_articles(spark, sf_dir):
     return S.article_texts(table(spark, sf_dir, "documents").select(xml.alias("xml")), "xml")
 
 
-_LINES = "SELECT user_id % 4 || '' AS file, event_id AS n, CASE WHEN event_type = 'signup' THEN '[1/2] Searching GitHub for repositories related to Study ' || user_id || ' (S' || user_id || ')...' ELSE '  Skipping https://g/' || event_id % 50 || ' - insufficient content' END AS line FROM events"
+_LINES = "SELECT user_id || '' AS file, event_id AS n, CASE WHEN event_type = 'signup' THEN '[1/2] Searching GitHub for repositories related to Study ' || user_id || ' (S' || user_id || ')...' WHEN event_id % 11 = 0 THEN '  Skipping https://github.com/g/' || event_id % 500 || ' - no licence' WHEN event_id % 11 = 1 THEN '  Skipping https://example.org/g/1 - insufficient content' ELSE '  Skipping https://github.com/g/' || event_id % 500 || ' - insufficient content' END AS line FROM events"
+_SKIPS = f"WITH l AS ({_LINES}), s AS (SELECT *, last_value(CASE WHEN line LIKE '[1/2]%' THEN regexp_extract(line, 'related to (.+?) \\((.+?)\\)\\.\\.\\.', ['study', 'abbreviation']) END IGNORE NULLS) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS found FROM l), k AS (SELECT *, regexp_extract(line, 'Skipping (https://github\\.com/\\S+) - insufficient content', 1) AS url FROM s) SELECT url, arg_max(found.study, struct_pack(f := file, n := n)) AS study, arg_max(found.abbreviation, struct_pack(f := file, n := n)) AS abbreviation FROM k WHERE url <> '' AND found IS NOT NULL GROUP BY url"
 
 
-@HERE.add(f"WITH l AS ({_LINES}), s AS (SELECT *, last_value(CASE WHEN line LIKE '[1/2]%' THEN regexp_extract(line, 'related to (.+) \\(', 1) END IGNORE NULLS) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS study FROM l) SELECT regexp_extract(line, 'https://\\S+') AS url, arg_max(study, struct_pack(f := file, n := n)) AS study, replace(arg_max(study, struct_pack(f := file, n := n)), 'Study ', 'S') AS abbreviation FROM s WHERE line LIKE '  Skip%' AND study IS NOT NULL GROUP BY 1")
+@HERE.add(_SKIPS)
 def log_carry_forward(spark, sf_dir):
-    lines = table(spark, sf_dir, "events").selectExpr("string(user_id % 4) AS file", "event_id AS n", "CASE WHEN event_type = 'signup' THEN '[1/2] Searching GitHub for repositories related to Study ' || user_id || ' (S' || user_id || ')...' ELSE '  Skipping https://g/' || event_id % 50 || ' - insufficient content' END AS line")
-    return S.skipped_urls(lines)
+    line = "CASE WHEN event_type = 'signup' THEN '[1/2] Searching GitHub for repositories related to Study ' || user_id || ' (S' || user_id || ')...' WHEN event_id % 11 = 0 THEN '  Skipping https://github.com/g/' || event_id % 500 || ' - no licence' WHEN event_id % 11 = 1 THEN '  Skipping https://example.org/g/1 - insufficient content' ELSE '  Skipping https://github.com/g/' || event_id % 500 || ' - insufficient content' END AS line"
+    return S.skipped_urls(table(spark, sf_dir, "events").selectExpr("string(user_id) AS file", "event_id AS n", line))
 
 
 @HERE.add("SELECT conv_id || '_' || turn AS key, 'YES a: b' AS biomedical_relevance, 's' || turn AS summary, 'MRI' AS data_types, 'Python ' || conv_id AS tools FROM conversations")
@@ -194,21 +218,73 @@ def set_ops(spark, sf_dir):
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 
 
-@HERE.add("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE (p_name ILIKE '%ring%' OR p_brand ILIKE '%ring%' OR p_type ILIKE '%ring%' OR p_partkey::VARCHAR ILIKE '%ring%') AND (contains(p_type, 'ECONOMY') OR contains(p_type, 'PROMO')) AND contains(p_brand, '1')")
+def _resources(spark, sf_dir):
+    """Parts as resources: name, and lists of diseases, coarse and granular data, types."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", "p_name", "p_type || ';' || p_brand AS diseases", "p_type || ',' || p_size AS coarse", "p_brand || ';' || p_size % 7 AS granular", "p_type AS kind")
+
+
+_RESOURCES = "SELECT p_partkey, p_name, p_type || ';' || p_brand AS diseases, p_type || ',' || p_size AS coarse, p_brand || ';' || p_size % 7 AS granular, p_type AS kind FROM part"
+_BROWSE_RESOURCES = f"SELECT p_partkey, p_name, diseases, coarse, granular, kind FROM ({_RESOURCES}) WHERE (p_name ILIKE '%ring%' OR diseases ILIKE '%ring%' OR coarse ILIKE '%ring%' OR granular ILIKE '%ring%' OR kind ILIKE '%ring%' OR p_partkey::VARCHAR ILIKE '%ring%') AND (contains(diseases, 'ECONOMY') OR contains(diseases, 'PROMO')) AND contains(coarse, '1') AND (contains(granular, ';1') OR contains(granular, ';2')) AND contains(kind, 'O')"
+
+
+@HERE.add(_BROWSE_RESOURCES)
 def browse_resources(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    return part.transform(filters.search("ring")).transform(filters.filter_by({"p_type": ["ECONOMY", "PROMO"], "p_brand": ["1"]}))
+    wanted = {"diseases": ["ECONOMY", "PROMO"], "coarse": ["1"], "granular": [";1", ";2"], "kind": ["O"]}
+    return _resources(spark, sf_dir).transform(filters.search("ring")).transform(filters.filter_by(wanted))
+
+
+_PAPERS = "SELECT d.doc_id, d.text, d.source AS study, d.lang || ';' || d.source AS diseases, d.lang AS coarse, d.lang || ',' || d.n_chars % 5 AS granular, CASE WHEN l.quality = 1 THEN 'good; checked' ELSE '' END AS keywords FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"
+_BROWSE_PAPERS = f"SELECT doc_id, study, diseases, coarse, granular, keywords FROM ({_PAPERS}) WHERE text ILIKE '%tion%' AND contains(study, 'src1') AND contains(diseases, 'en') AND (contains(coarse, 'en') OR contains(coarse, 'fr')) AND contains(granular, ',1') AND contains(keywords, 'good')"
 
 
-@HERE.add("SELECT doc_id, lang, source FROM documents WHERE text ILIKE '%tion%' AND contains(lang, 'en') AND contains(source, 'src1')")
+def _papers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs.selectExpr("doc_id", "text", "source AS study", "lang || ';' || source AS diseases", "lang AS coarse", "lang || ',' || n_chars % 5 AS granular", "CASE WHEN quality = 1 THEN 'good; checked' ELSE '' END AS keywords")
+
+
+@HERE.add(_BROWSE_PAPERS)
 def browse_publications(spark, sf_dir):
-    return table(spark, sf_dir, "documents").transform(filters.search("TION", ["text"])).transform(filters.filter_by({"lang": ["en"], "source": ["src1"], "Coarse Data Types": ["x"]})).select("doc_id", "lang", "source")
+    wanted = {"study": ["src1"], "diseases": ["en"], "coarse": ["en", "fr"], "granular": [",1"], "keywords": ["good"], "absent": ["x"]}
+    return _papers(spark, sf_dir).transform(filters.search("TION", ["text"])).transform(filters.filter_by(wanted)).drop("text")
+
+
+_CODE = f"SELECT c_custkey, c_name, c_mktsegment AS diseases, 'L' || c_nationkey % 4 AS languages, 'T' || c_nationkey % 3 AS tools, 'D' || c_nationkey % 5 AS data_types, 'Study ' || c_nationkey AS study, CASE c_custkey % 3 WHEN 0 THEN 'YES it is' WHEN 1 THEN 'Partial' ELSE 'NO' END AS relevance, coalesce(issues, '') AS issues, coalesce(score, 10)::DOUBLE AS score FROM customer LEFT JOIN ({_APP}) ON c_custkey = user_id"
+_BROWSE_CODE = f"SELECT * FROM ({_CODE}) WHERE c_name ILIKE '%1%' AND contains(diseases, 'BUILD') AND contains(languages, 'L') AND (contains(tools, 'T1') OR contains(tools, 'T2')) AND contains(data_types, 'D') AND contains(study, '1') AND (contains(upper(relevance), 'YES') OR contains(upper(relevance), 'PARTIAL')) AND score >= 5"
+
 
+def _code(spark, sf_dir):
+    repos = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "c_mktsegment AS diseases", "'L' || c_nationkey % 4 AS languages", "'T' || c_nationkey % 3 AS tools", "'D' || c_nationkey % 5 AS data_types", "'Study ' || c_nationkey AS study", "CASE c_custkey % 3 WHEN 0 THEN 'YES it is' WHEN 1 THEN 'Partial' ELSE 'NO' END AS relevance")
+    return compliance.with_compliance(repos, _app_scores(spark, sf_dir).withColumnRenamed("user_id", "c_custkey"), "c_custkey").select(*repos.columns, "issues", "score")
 
-@HERE.add(f"SELECT c_custkey, c_name, issues, score FROM (SELECT c_custkey, c_name, c_mktsegment, coalesce(issues, '') AS issues, coalesce(score, 10)::DOUBLE AS score FROM customer LEFT JOIN ({_APP}) ON c_custkey = user_id) WHERE c_name ILIKE '%1%' AND contains(c_mktsegment, 'BUILD') AND score >= 5")
+
+@HERE.add(_BROWSE_CODE)
 def browse_code(spark, sf_dir):
-    joined = compliance.with_compliance(table(spark, sf_dir, "customer"), _app_scores(spark, sf_dir).withColumnRenamed("user_id", "c_custkey"), "c_custkey")
-    return joined.transform(filters.search("1", ["c_name"])).transform(filters.filter_by({"c_mktsegment": ["BUILD"]})).filter(F.col("score") >= 5).select("c_custkey", "c_name", "issues", "score")
+    wanted = {"diseases": ["BUILD"], "languages": ["L"], "tools": ["T1", "T2"], "data_types": ["D"], "study": ["1"]}
+    found = _code(spark, sf_dir).transform(filters.search("1", ["c_name"])).transform(filters.filter_by(wanted))
+    return found.filter(filters.relevant(F.col("relevance"), ["YES", "PARTIAL"])).filter(F.col("score") >= 5)
+
+
+_OPTIONS = (("resources", _RESOURCES, {"diseases": ";", "coarse": ",", "granular": ";,", "kind": ","}), ("publications", _PAPERS, {"study": ";", "diseases": ";,", "coarse": ",", "granular": ";,", "keywords": ";"}), ("code", _CODE, {"diseases": ";", "languages": ";", "tools": ";", "data_types": ";", "study": ";"}))
+
+
+@HERE.add(" UNION ALL ".join(f"SELECT '{page}' AS page, '{column}' AS field, trim(v) AS value, count(*) AS n FROM (SELECT unnest(string_split_regex({column}, '[{by}]')) AS v FROM ({sql})) WHERE trim(v) <> '' GROUP BY trim(v)" for page, sql, fields in _OPTIONS for column, by in fields.items()))
+def browse_options(spark, sf_dir):
+    pages = {"resources": _resources(spark, sf_dir), "publications": _papers(spark, sf_dir), "code": _code(spark, sf_dir)}
+    return filters.options([(page, pages[page], fields) for page, _, fields in _OPTIONS])
+
+
+def _share_sql(page, found, every):
+    return f"SELECT '{page}' AS page, 'Showing ' || f || ' of ' || t || ' {page} (' || format('{{:.1f}}', CASE WHEN t > 0 THEN f * 100.0::DOUBLE / t ELSE 0 END) || '%)' AS line FROM (SELECT (SELECT count(*) FROM ({found})) AS f, (SELECT count(*) FROM ({every})) AS t)"
+
+
+@HERE.add(" UNION ALL ".join([_share_sql("resources", _BROWSE_RESOURCES, _RESOURCES), _share_sql("publications", _BROWSE_PAPERS, _PAPERS), _share_sql("code", _BROWSE_CODE, _CODE)]))
+def browse_shares(spark, sf_dir):
+    pages = (("resources", browse_resources, _resources), ("publications", browse_publications, _papers), ("code", browse_code, _code))
+    lines = []
+    for page, found, every in pages:
+        both = found(spark, sf_dir).agg(F.count("*").alias("f")).crossJoin(every(spark, sf_dir).agg(F.count("*").alias("t")))
+        lines.append(both.select(F.lit(page).alias("page"), sinks.share_line(F.col("f"), F.col("t"), page).alias("line")))
+    return lines[0].union(lines[1]).union(lines[2])
 
 
 @HERE.add("SELECT c_mktsegment AS gene, count(*) AS n, count(DISTINCT c_nationkey) AS conditions FROM customer WHERE c_nationkey <> 0 AND c_name ILIKE '%7%' GROUP BY 1")
@@ -251,18 +327,35 @@ def annotation_pipeline(spark, sf_dir):
     return annotate.merge_results(rows.select("custom_id", "text", "summary"), parsed, "custom_id", ["summary"])
 
 
-@HERE.add(f"WITH l AS ({_LINES}), s AS (SELECT *, last_value(CASE WHEN line LIKE '[1/2]%' THEN regexp_extract(line, 'related to Study (.+) \\(', 1) END IGNORE NULLS) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS study FROM l), u AS (SELECT regexp_extract(line, 'https://\\S+') AS url, arg_max(study, struct_pack(f := file, n := n)) AS study FROM s WHERE line LIKE '  Skip%' AND study IS NOT NULL GROUP BY 1) SELECT url, 'S' || study AS abbreviation, coalesce(c_mktsegment, '') AS diseases FROM u LEFT JOIN customer ON c_custkey = study::BIGINT")
+_CONTENT = "SELECT 'https://github.com/g/' || page_id % 500 AS url, string_agg(regexp_extract(url, '[^/]+$'), ' ' ORDER BY page_id) AS content FROM pages WHERE page_id % 3 <> 0 GROUP BY 1"
+
+
+@HERE.add(f"SELECT u.url, u.abbreviation, coalesce(c_mktsegment, '') AS diseases, coalesce(content, '') AS content, CASE WHEN length(trim(coalesce(content, ''))) >= 50 THEN '' ELSE 'Insufficient Content' END AS issue FROM ({_SKIPS}) u LEFT JOIN customer ON 'S' || c_custkey = u.abbreviation LEFT JOIN ({_CONTENT}) f ON f.url = u.url")
 def reprocess_pipeline(spark, sf_dir):
     skipped = log_carry_forward(spark, sf_dir)
     known = table(spark, sf_dir, "customer").select(F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("abbreviation"), F.col("c_mktsegment").alias("diseases"), F.col("c_custkey").alias("at"))
-    return dedup.lookup(skipped, known, "abbreviation", "diseases", "at").select("url", "abbreviation", "diseases")
+    rows = dedup.lookup(skipped, known, "abbreviation", "diseases", "at").select("url", "abbreviation", "diseases")
+    # the content is the names of a repository's files, in order
+    files = table(spark, sf_dir, "pages").filter("page_id % 3 <> 0").select(F.expr("'https://github.com/g/' || page_id % 500").alias("url"), "page_id", F.regexp_extract("url", "[^/]+$", 0).alias("name"))
+    content = files.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("page_id", "name"))).alias("names")).select("url", F.array_join("names.name", " ").alias("content"))
+    enough, short = filters.content_gate(rows.join(content, "url", "left").na.fill("", ["content"]), "content")
+    return enough.withColumn("issue", F.lit("")).union(short.withColumnRenamed("Issue Type", "issue"))
 
 
-@HERE.add("SELECT 25::BIGINT AS n, 'NATION_0' AS first")
+@HERE.add("SELECT c_custkey AS \"row\", c_name AS name, NULL::BIGINT AS n FROM customer UNION ALL SELECT -1, 'c_acctbal', count(*) FROM customer")
 def envelope_json(spark, sf_dir):
-    text = sinks.envelope(table(spark, sf_dir, "nation").orderBy("n_nationkey"))
-    read = F.from_json("value", "metadata array<struct<column:string,row_count:bigint>>, data array<struct<n_name:string>>")
-    return text.select(read.alias("x")).select(F.get("x.metadata", 0)["row_count"].alias("n"), F.get(F.array_sort("x.data"), 0)["n_name"].alias("first"))
+    text = sinks.envelope(table(spark, sf_dir, "customer"), "c_custkey")
+    read = F.from_json("value", "metadata array<struct<column:string,row_count:bigint>>, c_name string")
+    first = F.get("x.metadata", 0)
+    return text.select("row", read.alias("x")).select("row", F.coalesce("x.c_name", first["column"]).alias("name"), first["row_count"].alias("n"))
+
+
+@HERE.add("SELECT c_custkey, c_name FROM customer")
+def export_json_array(spark, sf_dir):
+    path = scratch(spark)
+    sinks.export(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), path, "json_array", "c_custkey")
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"^\[|[,\]]$", "").alias("line"))
+    return lines.select(F.from_json("line", "c_custkey bigint, c_name string").alias("x")).select("x.*")
 
 
 @HERE.add("(SELECT c_custkey AS \"row\", 'Gene: ' || c_mktsegment || E'\\nName: ' || c_name AS value FROM customer ORDER BY c_custkey LIMIT 10) UNION ALL SELECT -1, '... and ' || (count(*) - 10) || ' more' FROM customer")

@@ -110,11 +110,20 @@ def graph_betweenness(spark, sf_dir):
     return graph.betweenness(*_graph(spark, sf_dir)).withColumn("centrality", F.round("centrality", 6))
 
 
-@HERE.add()
+_SUMMARY = f"""
+WITH s AS ({_STATS}), e AS MATERIALIZED ({_EDGES}), d AS ({_DEGREES}),
+f AS (SELECT unnest(range(6)) AS "row", unnest(['Nodes (Datasets): ' || nodes, 'Edges (Connections): ' || edges, 'Graph Density: ' || format('{{:.4f}}', density), 'Average Connections per Node: ' || format('{{:.2f}}', mean_degree), 'Maximum Connections: ' || max_degree, 'Connected Components: ' || components]) AS value FROM s)
+SELECT 1 AS section, "row", value FROM f
+UNION ALL SELECT 2, r - 1, '  ' || node_id || ': ' || degree || ' connections' FROM (SELECT *, row_number() OVER (ORDER BY degree DESC, node_id) AS r FROM d) WHERE r <= 10
+UNION ALL SELECT 3, r - 1, src || ' <-> ' || dst || E'\\n  Weight: ' || weight || E'\\n  Shared: ' || shared FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, src, dst) AS r FROM e) WHERE r <= 20
+UNION ALL SELECT 4, 0, '... and ' || (count(*) - 20) || ' more connections' FROM e HAVING count(*) > 20
+"""
+
+
+@HERE.add(_SUMMARY)
 def graph_text_summary(spark, sf_dir):
     node, edge = _graph(spark, sf_dir)
-    return sinks.graph_summary(graph.statistics(node, edge), graph.edge_details(edge))
-
+    return sinks.graph_summary(graph.statistics(node, edge), graph.degrees(node, edge), graph.edge_details(edge))
 
 
 @HERE.add("WITH n AS (SELECT regexp_extract(url, '^http://([^/.]+)', 1) AS node_id, min(page_id) AS node_idx, arg_max(split_part(url, '/', 4), page_id) AS lang, arg_max(regexp_extract(url, '/([0-9]+)\\?', 1), page_id) AS no FROM pages GROUP BY 1), t AS (SELECT node_id, node_idx, 'lang' AS feature, lang AS token FROM n WHERE length(lang) > 0 UNION ALL SELECT node_id, node_idx, 'no', no FROM n WHERE no <> '') SELECT a.node_id AS src, b.node_id AS dst, count(*) AS weight FROM t a JOIN t b USING (feature, token) WHERE a.node_idx < b.node_idx GROUP BY ALL HAVING count(*) >= 2")

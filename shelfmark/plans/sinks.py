@@ -3,26 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.functions import columns as C
 
 
-def text_records(df: DataFrame, order: str) -> DataFrame:
-    """(row, value): a record's filled columns as ``name: value`` lines, further lines of a value indented by two blanks."""
+_RULE = "=" * 80
+
+
+def banner(title: str) -> str:
+    return f"{_RULE}\n{title.center(80)}\n{_RULE}\n"
+
+
+def text_records(df: DataFrame, order: str, title: str = "Data Summary") -> DataFrame:
+    """(row, value): under row -1 a banner with the number of records, then a record's filled columns as ``name: value`` lines.
+
+    A value of several lines begins on the line after its name, each line
+    indented by two blanks. ``order`` numbers the records.
+    """
     shown = [c for c in df.columns if c != order]
-    line = lambda c: F.when(C.filled(F.col(f"`{c}`").cast("string")), F.concat(F.lit(f"{c}: "), F.replace(F.col(f"`{c}`").cast("string"), F.lit("\n"), F.lit("\n  "))))
-    return df.select(F.col(order).alias("row"), F.concat_ws("\n", F.concat(F.lit("Record "), F.col(order).cast("string")), *map(line, shown)).alias("value"))
+
+    def line(c: str) -> Column:
+        value = F.col(f"`{c}`").cast("string")
+        several = F.concat(F.lit(f"{c}:\n  "), F.replace(value, F.lit("\n"), F.lit("\n  ")))
+        return F.when(C.filled(value), F.when(value.contains("\n"), several).otherwise(F.concat(F.lit(f"{c}: "), value)))
+
+    head = df.agg(F.count("*").alias("n")).select(F.lit(-1).cast("long").alias("row"), F.format_string(f"{banner(title)}\nTotal Records: %d\n\n{_RULE}\n", "n").alias("value"))
+    name = F.format_string("Record %d:\n" + "-" * 80, F.col(order).cast("long"))
+    return head.union(df.select(F.col(order).cast("long"), F.concat(F.concat_ws("\n", name, *map(line, shown)), F.lit("\n"))))
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv", order: str | None = None) -> None:
-    """csv, tsv, json or text; any other format is csv."""
+    """csv, tsv, json (a record a line), json_array (one array, by a unique order) or text; any other format is csv."""
     if fmt == "tsv":
         df.write.option("header", True).option("sep", "\t").csv(path)
     elif fmt == "json":
         df.write.json(path)
     elif fmt == "text":
         text_records(df, order or df.columns[0]).sort("row").select("value").write.text(path)
+    elif fmt == "json_array":
+        # the records as one array, a line a record: the first opens it, the last closes it
+        last = df.agg(F.max(order or df.columns[0]).alias("last"), F.min(order or df.columns[0]).alias("first"))
+        key = F.col(order or df.columns[0])
+        marked = df.select(key.alias("row"), F.to_json(F.struct(*df.columns)).alias("value")).crossJoin(F.broadcast(last))
+        marked.select("row", F.concat(F.when(F.col("row") == F.col("first"), "[").otherwise(""), "value", F.when(F.col("row") == F.col("last"), "]").otherwise(",")).alias("value")).sort("row").select("value").write.text(path)
     else:
         df.write.option("header", True).csv(path)
 
@@ -39,13 +64,20 @@ def citation(authors: Column, title: Column, link: Column) -> Column:
     return F.concat(authors, F.lit(". "), title, F.lit("."), F.when(C.filled(link), F.concat(F.lit(" "), link)).otherwise(""))
 
 
-def graph_summary(statistics: DataFrame, details: DataFrame, shown: int = 20) -> DataFrame:
-    """(section, row, value) lines: the statistics, the first edges by weight, and how many more there are."""
-    stats = statistics.select(F.lit(1).alias("section"), F.lit(0).alias("row"), F.format_string("nodes %d, edges %d, components %d", "nodes", "edges", "components").alias("value"))
-    first = details.orderBy(F.desc("weight"), "src", "dst").limit(shown)
-    lines = first.select(F.lit(2).alias("section"), F.lit(0).alias("row"), F.format_string("%s - %s (weight %d): %s", "src", "dst", "weight", "shared").alias("value"))
-    more = details.agg(F.greatest(F.count("*") - shown, F.lit(0)).alias("n")).filter("n > 0").select(F.lit(3).alias("section"), F.lit(0).alias("row"), F.format_string("... and %d more edges", "n").alias("value"))
-    return stats.union(lines).union(more)
+def graph_summary(statistics: DataFrame, degrees: DataFrame, details: DataFrame, shown: int = 20, top: int = 10) -> DataFrame:
+    """(section, row, value): the statistics, the nodes of most connections, the first edges by weight, and how many more there are."""
+    line = lambda section, row, text: [F.lit(section).alias("section"), row.cast("int").alias("row"), text.alias("value")]
+    figures = [
+        F.format_string("Nodes (Datasets): %d", "nodes"), F.format_string("Edges (Connections): %d", "edges"), F.format_string("Graph Density: %.4f", "density"),
+        F.format_string("Average Connections per Node: %.2f", "mean_degree"), F.format_string("Maximum Connections: %d", "max_degree"), F.format_string("Connected Components: %d", "components"),
+    ]
+    stats = statistics.select(F.posexplode(F.array(*figures)).alias("row", "value")).select(*line(1, F.col("row"), F.col("value")))
+    numbered = lambda df, keys, n: df.orderBy(*keys).limit(n).withColumn("row", F.row_number().over(W.orderBy(*keys)) - 1)
+    nodes = numbered(degrees, [F.desc("degree"), F.col("node_id")], top).select(*line(2, F.col("row"), F.format_string("  %s: %d connections", "node_id", "degree")))
+    edges = numbered(details, [F.desc("weight"), F.col("src"), F.col("dst")], shown)
+    edges = edges.select(*line(3, F.col("row"), F.format_string("%s <-> %s\n  Weight: %d\n  Shared: %s", "src", "dst", "weight", "shared")))
+    more = details.agg((F.count("*") - shown).alias("n")).filter("n > 0").select(*line(4, F.lit(0), F.format_string("... and %d more connections", "n")))
+    return stats.union(nodes).union(edges).union(more)
 
 
 def report(sections: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -57,11 +89,34 @@ def report(sections: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def envelope(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """One JSON text with the profile and at most ``most`` rows, for bounded tables; larger ones get a profile and a table of their own."""
-    meta = profile(df).agg(F.collect_list(F.struct("column", "type", "nulls", "row_count")).alias("metadata"))
-    data = df.limit(most).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("data"))
-    return meta.crossJoin(data).select(F.to_json(F.struct("metadata", "data")).alias("value"))
+def wide_report(report: DataFrame, path: str) -> None:
+    """The report's rows in order of sections and rows, as one CSV and one TSV file; a report has a row a statistic, so it is small."""
+    rows = report.orderBy("section_no", F.desc("count"), "metric").coalesce(1).select("section", "metric", "value", "count", F.round("pct", 1).alias("percentage"))
+    export(rows, f"{path}/csv", "csv")
+    export(rows, f"{path}/tsv", "tsv")
+
+
+def text_report(report: DataFrame, title: str) -> DataFrame:
+    """(section_no, row, value) lines: a banner, then each section's name and its statistics by count and name."""
+    order = W.partitionBy("section_no").orderBy(F.desc("count"), "metric")
+    figure = F.when(F.col("value").isNotNull(), F.format_string("  %s: %.2f", "metric", "value")).when(F.col("pct").isNotNull(), F.format_string("  %s: %d (%.1f%%)", "metric", "count", "pct")).otherwise(F.format_string("  %s: %d", "metric", "count"))
+    lines = report.select("section_no", F.row_number().over(order).alias("row"), figure.alias("value"))
+    heads = report.select("section_no", F.lit(0).alias("row"), F.concat(F.upper("section"), F.lit("\n" + "-" * 80)).alias("value")).distinct()
+    top = report.sparkSession.createDataFrame([(-1, 0, banner(title))], "section_no int, row int, value string")
+    return top.union(heads).union(lines)
+
+
+def share_line(found: Column, total: Column, what: str) -> Column:
+    """``Showing X of Y what (p%)``."""
+    share = F.when(total > 0, found / total * 100).otherwise(0.0)
+    return F.format_string(f"Showing %d of %d {what} (%.1f%%)", found, total, share)
+
+
+def envelope(df: DataFrame, order: str) -> DataFrame:
+    """(row, value): under row -1 the profile as JSON, then one JSON text a record, under its value of order; every record is there."""
+    meta = profile(df).agg(F.array_sort(F.collect_list(F.struct("column", "type", "nulls", "row_count"))).alias("metadata"))
+    meta = meta.select(F.lit(-1).cast("long").alias("row"), F.to_json(F.struct("metadata")).alias("value"))
+    return meta.union(df.select(F.col(order).cast("long"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
 
 
 def record_digest(fields: list[tuple[str, Column]]) -> Column:

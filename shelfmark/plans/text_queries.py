@@ -259,6 +259,29 @@ def corpus_match(spark, sf_dir):
     return harvest.corpus_match(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+_CORPUS = "SELECT doc_id, lower(text) AS t, DATE '2022-01-01' + (doc_id * 7 % 1500)::INT AS day FROM documents"
+_PHRASES = "SELECT item_id, 'names' AS grp, lower(array_to_string(string_split(text, ' ')[2:3], ' ')) AS phrase FROM benchmark UNION SELECT item_id, 'names', lower(string_split(text, ' ')[5]) FROM benchmark UNION SELECT item_id, 'words', w FROM benchmark, (SELECT unnest(['the', 'der', 'les dans']) AS w) WHERE item_id % 2 = 0"
+
+
+@HERE.add(f"WITH d AS ({_CORPUS}), p AS (SELECT * FROM ({_PHRASES}) WHERE phrase <> ''), a AS (SELECT item_id, count(DISTINCT grp) AS asked FROM p GROUP BY 1) SELECT doc_id, p.item_id FROM d JOIN p ON contains(t, phrase) JOIN a ON a.item_id = p.item_id WHERE day BETWEEN DATE '2025-06-30' - 1095 AND DATE '2025-06-30' GROUP BY doc_id, p.item_id, asked HAVING count(DISTINCT grp) = asked")
+def corpus_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("day", F.expr("date_add(DATE '2022-01-01', int(doc_id * 7 % 1500))"))
+    words = F.split("text", " ")
+    groups = {
+        "names": F.array(F.array_join(F.slice(words, 2, 2), " "), F.coalesce(F.get(words, 4), F.lit(""))),
+        "words": F.when(F.col("item_id") % 2 == 0, F.array(*map(F.lit, ("the", "der", "les dans")))).otherwise(F.array().cast("array<string>")),
+    }
+    return harvest.corpus_search(docs, "doc_id", "text", "day", table(spark, sf_dir, "benchmark"), "item_id", groups, F.lit("2025-06-30").cast("date"))
+
+
+@HERE.add("SELECT p_partkey, array_to_string(list_sort(list_distinct(['Fibrosis' || p_size, 'A1', p_brand || ' x', p_name || chr(39) || 's'])), ';') AS folded FROM part")
+def normalize_compatible(spark, sf_dir):
+    text = F.concat(F.lit("\uFB01brosis"), F.col("p_size").cast("string"), F.lit("; Fibrosis"), F.col("p_size").cast("string"), F.lit("; \uFF21\uFF11;A1; "), F.col("p_brand"), F.lit("\u00A0x;"), F.col("p_name"), F.lit("\u2019s;"), F.col("p_name"), F.lit("'s"))
+    # the first spelling is kept, so the ligature comes second here
+    text = F.concat(F.lit("Fibrosis"), F.col("p_size").cast("string"), F.lit(";"), text)
+    return table(spark, sf_dir, "part").select("p_partkey", C.normalize_list(text).alias("folded"))
+
+
 @HERE.add("SELECT doc_id, source || ' - ' || substr(text, 1, 50) AS ident FROM documents")
 def publication_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.publication_id(F.col("source"), F.col("text")).alias("ident"))

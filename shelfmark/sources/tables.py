@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfmark.functions import columns as C
 from shelfmark.functions import values
@@ -15,26 +14,41 @@ ARTICLE = "PMID string, MedlineCitation struct<PMID:string, Article:struct<Artic
 RESULT = "custom_id string, result struct<type:string, message:struct<content:array<struct<text:string>>>, error:struct<type:string, message:string>>"
 
 
-def latest_file(spark: SparkSession, folder: str, pattern: str) -> str:
-    """The newest file that matches, by time and then path; it must be tab-separated by name."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+def newest(spark: SparkSession, folder: str, pattern: str, deep: bool = False) -> str:
+    """The newest file that matches, by time and then path; with deep in folders below, too."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", deep).load(folder)
     path = files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
     if path is None:
         raise FileNotFoundError(f"no file {pattern} in {folder}")
+    return path
+
+
+def latest_write(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str:
+    """The folder below that was written last, for tables that Spark wrote as folders of files."""
+    return newest(spark, folder, pattern, deep=True).rpartition("/")[0]
+
+
+def latest_file(spark: SparkSession, folder: str, pattern: str) -> str:
+    """The newest file that matches; it must be tab-separated by name."""
+    path = newest(spark, folder, pattern)
     if not path.endswith((".tsv", ".tab")):
         raise ValueError(f"not a tab-separated file: {path}")
     return path
 
 
-def text_schema(columns: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
-
+def read_table(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, sep: str = "\t", blank: bool = True, multi_line: bool = True) -> DataFrame:
+    """A delimited table of strings: header trimmed, missing-value markers missing, and missing values blank unless asked otherwise.
 
-def read_table(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, sep: str = "\t", blank: bool = True) -> DataFrame:
-    """A delimited table of strings: header trimmed, missing-value markers missing, and missing values blank unless asked otherwise."""
-    reader = spark.read.option("sep", sep).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("ignoreCorruptFiles", True)
-    df = (reader.schema(text_schema(columns)) if columns else reader).csv(path)
-    df = df.toDF(*[c.strip() for c in df.columns])
+    Each path is read by its own header, so files whose columns differ or stand
+    in another order are put together by name; ``columns`` are then chosen by
+    name, absent ones missing. With ``multi_line`` a quoted value may hold line
+    breaks, and a file is one task; without it large files are split.
+    """
+    reader = spark.read.option("sep", sep).option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("ignoreCorruptFiles", True)
+    tables = [reader.csv(p) for p in ([path] if isinstance(path, str) else path)]
+    df = union_all([t.toDF(*[c.strip() for c in t.columns]) for t in tables])
+    if columns:
+        df = df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
     df = df.select(*[F.when(~F.col(f"`{c}`").isin(*values.NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
     return df.na.fill("") if blank else df
 
@@ -61,7 +75,7 @@ def load_publications(df: DataFrame) -> DataFrame:
         df = df.withColumn("PubMed Central Link", C.fix_pmc_link(F.col("`PubMed Central Link`")))
     if "Authors" in df.columns:
         df = df.withColumn("Authors", C.rotate_names(F.col("Authors")))
-    df = with_normalized(df, ["Affiliations", "Keywords", "Diseases Included"])
+    df = with_normalized(with_normalized(df, ["Keywords"]), ["Diseases Included"], ";", ";,")
     five = ("PubMed Central Link", "Authors", "Affiliations", "Abstract", "Keywords")
     return df.withColumn("Data Completeness", C.completeness(*[F.col(f"`{c}`") if c in df.columns else F.lit("") for c in five]))
 
@@ -72,6 +86,26 @@ def load_compliance_log(df: DataFrame) -> DataFrame:
     return dedup.keep_latest(df, keys, "Timestamp", [F.col("Details")])
 
 
+def load_repo_batches(spark: SparkSession, paths: list[str], **options) -> tuple[DataFrame, DataFrame]:
+    """The repositories of several batches, the first batch's row of each link, and a row with the counts before and after."""
+    tables = [read_table(spark, p, **options).withColumn("batch", F.lit(i)) for i, p in enumerate(paths)]
+    return merge_batches(union_all(tables))
+
+
+def merge_batches(rows: DataFrame, link: str = "Repository Link", batch: str = "batch") -> tuple[DataFrame, DataFrame]:
+    """The first batch's row of each link, without the column batch, and (before, after, removed)."""
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in (link, batch)]
+    kept = dedup.keep_first(rows, [link], [F.col(batch), *rest])
+    # one aggregate by link gives both counts
+    counts = rows.groupBy(F.col(f"`{link}`")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"), F.count("*").alias("after"))
+    return kept.drop(batch), counts.withColumn("removed", F.col("before") - F.col("after"))
+
+
+def union_compliance_logs(logs: DataFrame, order: list[str]) -> DataFrame:
+    """All logs' rows, the first of each repository and issue type; order (file, place in it, ...) says which is first."""
+    return dedup.keep_first(logs, ["Repository", "Issue Type"], [F.col(f"`{c}`") for c in order])
+
+
 def union_all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -86,11 +120,14 @@ def mine_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def skipped_urls(lines: DataFrame) -> DataFrame:
-    """The same from (file, n, line): the study named last above a ``Skipping`` line."""
-    head = r"Searching GitHub for repositories related to (.+) \(([^)]*)\)\.\.\."
+    """The same from (file, n, line): the study named last above a ``Skipping`` line, within its file.
+
+    Only repositories on github.com skipped for insufficient content count.
+    """
+    head = r"Searching GitHub for repositories related to (.+?) \((.+?)\)\.\.\."
     study = F.when(F.col("line").rlike(head), F.struct(F.regexp_extract("line", head, 1).alias("study"), F.regexp_extract("line", head, 2).alias("abbreviation")))
     known = F.last("study", ignorenulls=True).over(W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
-    skips = lines.withColumn("study", study).withColumn("study", known).withColumn("url", F.regexp_extract("line", r"Skipping (https?://\S+)", 1)).filter("url <> '' and study is not null")
+    skips = lines.withColumn("study", study).withColumn("study", known).withColumn("url", F.regexp_extract("line", r"Skipping (https://github\.com/[^\s]+) - insufficient content", 1)).filter("url <> '' and study is not null")
     last = skips.groupBy("url").agg(F.max_by("study", F.struct("file", "n")).alias("study"))
     return last.select("url", "study.study", "study.abbreviation")
 

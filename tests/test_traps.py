@@ -101,8 +101,8 @@ def test_files_and_logs(spark, tmp_path):
     path = S.latest_file(spark, str(tmp_path), "t-*.tsv")
     assert path.endswith("t-2.tsv")
     assert [tuple(r) for r in S.read_table(spark, str(tmp_path / "t-1.tsv")).collect()] == [("1", ""), ("2", "x")]
-    (tmp_path / "h.log").write_text("[1/2] Searching GitHub for repositories related to A B (AB)...\n  Skipping https://g/1 - insufficient content\n[2/2] Searching GitHub for repositories related to C (CC)...\n  Skipping https://g/1 - insufficient content\n")
-    assert [tuple(r) for r in S.mine_logs(spark, str(tmp_path / "h.log")).collect()] == [("https://g/1", "C", "CC")]
+    (tmp_path / "h.log").write_text("[1/2] Searching GitHub for repositories related to A B (AB)...\n  Skipping https://github.com/g/1 - insufficient content\n[2/2] Searching GitHub for repositories related to C (CC)...\n  Skipping https://github.com/g/1 - insufficient content\n")
+    assert [tuple(r) for r in S.mine_logs(spark, str(tmp_path / "h.log")).collect()] == [("https://github.com/g/1", "C", "CC")]
 
 
 def test_keep_and_stats(spark):
@@ -122,3 +122,56 @@ def test_corpus_match_finds_phrases_of_one_or_two_words(spark):
     items = spark.createDataFrame(list(phrases.items()), "ident long, phrase string")
     got = sorted(map(tuple, harvest.corpus_match(docs, "doc", "text", items, "ident", "phrase").collect()))
     assert got == sorted((d, i) for d, t in texts.items() for i, p in phrases.items() if t and p and p.lower() in t.lower())
+
+
+def test_skipped_lines_that_do_not_count(spark):
+    lines = ["Searching GitHub for repositories related to A ()...", "Skipping https://github.com/a/early - insufficient content", "Searching GitHub for repositories related to A B (AB)...", "Skipping https://example.org/a/b - insufficient content", "Skipping https://github.com/a/c - no licence", "Skipping https://github.com/a/d - insufficient content"]
+    rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, n int, line string")
+    assert [tuple(r) for r in S.skipped_urls(rows).collect()] == [("https://github.com/a/d", "A B", "AB")]
+
+
+def test_lists_are_composed_before_they_are_compared(spark):
+    fold = lambda x, **o: one(spark, lambda c: C.normalize_list(c, **o), x)
+    assert fold("\ufb01brosis; fibrosis") == "fibrosis"
+    assert fold("a\u00b4; b\u2019") == "a \u0301;b'"
+    assert fold("\uff21\uff24\uff1bPD; AD") == "AD;AD;PD"  # a wide delimiter is no delimiter, though it becomes one
+    assert fold("x (\uff21, b), y", split_on=",;") == one(spark, lambda c: C.normalize_list(c, split_on=",;"), "x (A, b), y")
+    assert fold("") == "" and fold(None) == ""
+
+
+def test_tables_are_read_by_name(spark, tmp_path):
+    (tmp_path / "one.tsv").write_text("b\ta\n1\t2\n")
+    (tmp_path / "two.tsv").write_text("a\tc\tb\n3\t4\t\n")
+    paths = [str(tmp_path / "one.tsv"), str(tmp_path / "two.tsv")]
+    for multi_line in (True, False):
+        got = S.read_table(spark, paths, ["a", "b", "d"], multi_line=multi_line)
+        assert got.columns == ["a", "b", "d"] and sorted(map(tuple, got.collect())) == [("2", "1", ""), ("3", "", "")]
+
+
+def test_publication_lists(spark):
+    row = spark.createDataFrame([("AD, PD; ad", "Inst B; Inst A", "z; a")], '`Diseases Included` string, Affiliations string, Keywords string')
+    got = S.load_publications(row).first()
+    assert (got["Diseases Included"], got["Affiliations"], got["Keywords"]) == ("AD;PD", "Inst B; Inst A", "a;z")
+
+
+def test_compliance_logs_and_batches_keep_the_first(spark):
+    logs = spark.createDataFrame([("r", "No README", 1, 2), ("r", "No README", 0, 9), ("r", "x", 1, 1), (None, "x", 0, 0)], "Repository string, `Issue Type` string, file int, n int")
+    assert sorted((r.Repository or "", r["Issue Type"], r.file, r.n) for r in S.union_compliance_logs(logs, ["file", "n"]).collect()) == [("", "x", 0, 0), ("r", "No README", 0, 9), ("r", "x", 1, 1)]
+    kept, counts = S.merge_batches(spark.createDataFrame([("u", "late", 1), ("u", "first", 0), ("v", "w", 1)], "`Repository Link` string, x string, batch int"))
+    assert sorted(map(tuple, kept.collect())) == [("u", "first"), ("v", "w")] and tuple(counts.first()) == (3, 2, 1)
+
+
+def test_text_reports(spark):
+    rows = spark.createDataFrame([(0, "levels", "Good", None, 3, 75.0), (0, "levels", "Bad", None, 1, 25.0), (1, "sizes", "mean", 2.5, 0, None)], "section_no int, section string, metric string, value double, count long, pct double")
+    lines = [r.value for r in sinks.text_report(rows, "T").orderBy("section_no", "row").collect()]
+    assert lines[0] == sinks.banner("T") and lines[1:4] == ["LEVELS\n" + "-" * 80, "  Good: 3 (75.0%)", "  Bad: 1 (25.0%)"] and lines[-1] == "  mean: 2.50"
+
+
+def test_corpus_search_needs_every_group_and_the_day(spark):
+    docs = spark.createDataFrame([(1, "ADNI and dementia", "2024-05-01"), (2, "adni alone", "2024-05-01"), (3, "adni dementia", "2019-05-01"), (4, "ad-ni dementia", "2024-05-01")], "doc long, text string, d string").withColumn("day", F.to_date("d"))
+    studies = spark.createDataFrame([(7, "Alz. Initiative (ADNI)", "ADNI", "Dementia", "")], "id long, name string, short string, diseases string, modalities string")
+    found = {}
+    for version in (1, 2, 3):
+        groups = harvest.search_groups(version, F.col("name"), F.col("short"), F.col("diseases"), F.col("modalities"))
+        found[version] = sorted(r.doc for r in harvest.corpus_search(docs, "doc", "text", "day", studies, "id", groups, F.lit("2025-01-01").cast("date")).collect())
+    assert found == {1: [1], 2: [1, 2], 3: [1]}
