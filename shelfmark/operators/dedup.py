@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmark.folders import shared_dir
+
 
 def top_n_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     return df.withColumn("_turn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_turn") <= n).drop("_turn")
@@ -25,6 +29,24 @@ def largest(df: DataFrame, column: str, n: int, tie: str) -> DataFrame:
     return df.withColumn("_number", number).filter("_number is not null").orderBy(F.desc("_number"), tie).limit(n).drop("_number")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with each row's place in the order, from 1, without a window over all rows in one task.
+
+    Rows are dealt by ranges of the order and numbered within their range; the
+    ranges' sizes, one row a partition, give what stands before each. The dealt
+    rows are written to the shared folder once, so both steps see the same ranges.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt.withColumn("_within", F.row_number().over(W.partitionBy("_range").orderBy(*order))).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_before"))
+    return rows.join(F.broadcast(starts), "_range").select(*df.columns, (F.col("_before") + F.col("_within")).alias(name))
+
+
 def row_slice(df: DataFrame, index: str, start: int, end: int | None = None) -> DataFrame:
     """Rows with start <= index, and < end if there is one."""
     return df.filter((F.col(index) >= start) & (F.lit(True) if end is None else F.col(index) < end))

@@ -8,21 +8,19 @@ accepts fewer edges.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.folders import shared_dir
 from shelfmark.functions import columns as C
 from shelfmark.functions import values
 
 
 def ready_checkpoints(df: DataFrame) -> None:
-    """Set a checkpoint folder of our own only where none is set."""
+    """Set the shared folder as the place of checkpoints where none is set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/shelfmark-graph")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
 
 
 def nodes(df: DataFrame, name: str, order: str) -> DataFrame:
@@ -108,6 +106,23 @@ def drivers(edge: DataFrame, k: int = 3) -> DataFrame:
     return edge.select(F.explode("shared.feature").alias("feature")).groupBy("feature").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "feature").limit(k)
 
 
+def node_kind(columns: list[str]) -> str:
+    """publication, repository or resource, by the columns that a node has."""
+    if {"Repository Link", "Languages"} <= set(columns):
+        return "repository"
+    return "publication" if {"Title", "Authors"} <= set(columns) else "resource"
+
+
+def node_colour(kind: str, columns: list[str], by_completeness: bool = False) -> Column:
+    """The colour value of a node, 0 to 3: completeness, a repository's score, or the grade of its note."""
+    of = lambda name, default: F.coalesce(F.col(f"`{name}`").try_cast("double"), F.lit(default)) if name in columns else F.lit(default)
+    if by_completeness:
+        return of("Data Completeness", 50.0) / 100 * 3
+    if kind == "repository" and "FAIR Score" in columns:
+        return of("FAIR Score", 5.0) / 10 * 3
+    return C.grade(F.col("`FAIR Compliance Notes`") if "FAIR Compliance Notes" in columns else F.lit(""))
+
+
 def node_attributes(node: DataFrame, edge: DataFrame, note: str) -> DataFrame:
     """Display size by degree and colour value by grade."""
     degree = degrees(node, edge)

@@ -43,9 +43,15 @@ def word_frequencies(df: DataFrame, doc: str, text: str, stopwords: list[str], l
     return best.crossJoin(F.broadcast(documents)).crossJoin(F.broadcast(total)).select("word", value.alias("count"), (value / whole * 100).alias("pct"))
 
 
-def numeric_summary(df: DataFrame, number: Column) -> DataFrame:
+def numeric_summary(df: DataFrame, number: Column, accuracy: int | None = None) -> DataFrame:
+    """n, mean, median, least, largest and population deviation.
+
+    The exact median holds every distinct value in one buffer; ``accuracy`` asks
+    for an approximate one (within a share of 1 / accuracy of the rows) in bounded memory.
+    """
     x = df.select(number.alias("x")).filter("x is not null")
-    return x.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.min("x").alias("min"), F.max("x").alias("max"), F.stddev_pop("x").alias("std"))
+    median = F.percentile("x", F.lit(0.5)) if accuracy is None else F.percentile_approx("x", F.lit(0.5), F.lit(accuracy))
+    return x.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), median.alias("median"), F.min("x").alias("min"), F.max("x").alias("max"), F.stddev_pop("x").alias("std"))
 
 
 def histogram(df: DataFrame, number: Column, edges: list[float]) -> DataFrame:
@@ -60,7 +66,8 @@ def histogram(df: DataFrame, number: Column, edges: list[float]) -> DataFrame:
 def shares(df: DataFrame, label: Column, skip: str | None = None) -> DataFrame:
     """(label, n, pct) over the rows whose label is not the one to skip."""
     counted = df.select(label.alias("label")).filter(F.lit(True) if skip is None else F.col("label") != skip).groupBy("label").agg(F.count("*").alias("n"))
-    return counted.select("label", "n", (F.col("n") / F.sum("n").over(W.partitionBy()) * 100).alias("pct"))
+    total = counted.agg(F.sum("n").alias("total"))
+    return counted.crossJoin(F.broadcast(total)).select("label", "n", (F.col("n") / F.col("total") * 100).alias("pct"))
 
 
 def pivot_counts(df: DataFrame, row: Column, label: Column, labels: list[str]) -> DataFrame:
@@ -78,6 +85,19 @@ def method_metrics(df: DataFrame, method: str, study: str, ident: str) -> DataFr
     return studies.join(unique, method).withColumn("unique_pct", F.col("unique_ids") / F.col("records") * 100)
 
 
+def method_tops(df: DataFrame, method: str, study: str, authors: str, studies: int = 10, names: int = 5) -> DataFrame:
+    """(method, kind, place, value, n): each method's studies with most records, and the authors named most."""
+
+    def top(values: DataFrame, kind: str, k: int) -> DataFrame:
+        counted = values.groupBy(method, "value").agg(F.count("*").alias("n"))
+        place = F.row_number().over(W.partitionBy(method).orderBy(F.desc("n"), "value"))
+        return counted.withColumn("place", place).filter(F.col("place") <= k).select(F.col(method).alias("method"), F.lit(kind).alias("kind"), "place", "value", "n")
+
+    by_study = df.select(method, F.col(study).cast("string").alias("value")).filter("value is not null")
+    by_author = df.select(method, F.explode(C.split_list(F.col(authors))).alias("value"))
+    return top(by_study, "study", studies).union(top(by_author, "author", names))
+
+
 def divergence(a: DataFrame, b: DataFrame, key: str, quantile: float = 0.85) -> DataFrame:
     """Two count tables side by side: winner, difference, and whether it is among the largest or one-sided."""
     both = a.withColumnRenamed("n", "a").join(b.withColumnRenamed("n", "b"), key, "full_outer").na.fill(0, ["a", "b"])
@@ -91,6 +111,12 @@ def subset_vs_full(full: DataFrame, subset: DataFrame, value: Column, k: int = 5
     return top_k(subset, value, k).withColumn("scope", F.lit("subset")).union(top_k(full, value, k).withColumn("scope", F.lit("full")))
 
 
+def subset_share(full: DataFrame, subset: DataFrame) -> DataFrame:
+    """(subset, full, pct): how many records of all are looked at."""
+    both = subset.agg(F.count("*").alias("subset")).crossJoin(full.agg(F.count("*").alias("full")))
+    return both.withColumn("pct", F.when(F.col("full") > 0, F.col("subset") / F.col("full") * 100).otherwise(0.0))
+
+
 def density(df: DataFrame, group: Column, number: Column, points: int = 200, least: int = 3) -> DataFrame:
     """(group, point, x, density) of the base-10 logs on an even grid over all of them, with Scott's bandwidth.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.folders import shared_dir
+
 
 class Book:
     """Queries by name, each with its SQL if there is one."""
@@ -30,5 +31,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share; a temporary one only where none is set."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir() + '/shelfmark').rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder under the one that driver and executors share."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"

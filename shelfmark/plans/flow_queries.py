@@ -127,10 +127,10 @@ def profile(spark, sf_dir):
     return sinks.profile(table(spark, sf_dir, "part"))
 
 
-@HERE.add("SELECT doc_id, source || '. ' || substr(text, 1, 40) || '.' || CASE WHEN doc_id % 2 = 0 THEN ' http://x/' || doc_id ELSE '' END AS citation FROM documents")
+@HERE.add("SELECT doc_id, source || '. ' || text || '.' || CASE WHEN doc_id % 2 = 0 THEN ' http://x/' || doc_id ELSE '' END AS citation FROM documents")
 def citations(spark, sf_dir):
     link = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("http://x/"), F.col("doc_id").cast("string"))).otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", sinks.citation(F.col("source"), F.substring("text", 1, 40), link).alias("citation"))
+    return table(spark, sf_dir, "documents").select("doc_id", sinks.citation(F.col("source"), F.col("text"), link).alias("citation"))
 
 
 @HERE.add("SELECT -1::BIGINT AS \"row\", repeat('=', 80) || E'\\n' || repeat(' ', 34) || 'All of parts' || repeat(' ', 34) || E'\\n' || repeat('=', 80) || E'\\n\\nTotal Records: ' || count(*) || E'\\n\\n' || repeat('=', 80) || E'\\n' AS value FROM part UNION ALL SELECT p_partkey, 'Record ' || p_partkey || E':\\n' || repeat('-', 80) || E'\\np_name: ' || p_name || E'\\np_brand: ' || p_brand || E'\\nnote:\\n  a\\n  b\\n' FROM part")

@@ -134,3 +134,34 @@ def digest_head(df: DataFrame, digest: Column, order: str, most: int) -> DataFra
     head = df.orderBy(order).limit(most).select(F.col(order).cast("long").alias("row"), digest.alias("value"))
     more = df.agg((F.count("*") - most).alias("n")).filter("n > 0").select(F.lit(-1).cast("long").alias("row"), F.format_string("... and %d more", "n").alias("value"))
     return head.union(more)
+
+
+def _line(label: str, c: Column) -> Column:
+    """An indented line for a field that is not empty, else nothing."""
+    return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"\n  {label}: "), c)).otherwise("")
+
+
+def _short(c: Column, most: int = 200) -> Column:
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(F.coalesce(c, F.lit("")))
+
+
+def resource_digest(name: Column, abbreviation: Column, diseases: Column, modalities: Column, size: Column) -> Column:
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    short = F.when(blank(abbreviation) != "", F.concat(F.lit(" ("), abbreviation, F.lit(")"))).otherwise("")
+    return F.concat(blank(name), short, F.lit("\n  Diseases: "), blank(diseases), F.lit("\n  Modalities: "), blank(modalities), _line("Sample Size", size))
+
+
+def publication_digest(title: Column, authors: Column, keywords: Column, abstract: Column) -> Column:
+    names = F.split(authors, ";")
+    first = F.concat(F.array_join(F.slice(names, 1, 3), "; "), F.when(F.size(names) > 3, " et al.").otherwise(""))
+    return F.concat(F.lit("Title: "), F.coalesce(title, F.lit("")), F.when(F.coalesce(authors, F.lit("")) != "", F.concat(F.lit("\n  Authors: "), first)).otherwise(""), _line("Keywords", keywords), _line("Abstract", _short(abstract)))
+
+
+def repository_digest(link: Column, study: Column, languages: Column, data_types: Column, tooling: Column, relevance: Column, score: Column) -> Column:
+    rated = F.when(score.isNotNull(), F.concat(F.lit("\n  FAIR Score: "), score.cast("string"), F.lit("/10"))).otherwise("")
+    return F.concat(C.last_segment(link), F.lit(" ("), study, F.lit(")"), _line("Languages", languages), _line("Data Types", data_types), _line("Tooling", tooling), _line("Biomedical Relevance", relevance), rated)
+
+
+def cell_line_digest(code: Column, gene: Column, variant: Column, condition: Column, about_gene: Column, about_variant: Column) -> Column:
+    about = lambda label, c: F.when(C.filled(c), _line(label, _short(c))).otherwise("")
+    return F.concat(code, F.lit(" - "), gene, F.lit(" "), variant, F.lit("\n  Condition: "), C.condition(condition), about("About gene", about_gene), about("About variant", about_variant))

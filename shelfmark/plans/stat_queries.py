@@ -43,18 +43,18 @@ def landing_counts(spark, sf_dir):
     return one[0].union(one[1]).union(one[2]).union(one[3])
 
 
-_WORDS = f"WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[;,\\s\\-_/()]+')) AS word FROM documents WHERE lang = 'en'), k AS (SELECT * FROM w WHERE length(word) >= 3 AND regexp_full_match(word, '\\p{{L}}+') AND word NOT IN ({sql_list(values.STOPWORDS)}))"
+_WORDS = f"WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[;,\\s\\-_/()]+')) AS word FROM documents), k AS (SELECT * FROM w WHERE length(word) >= 3 AND regexp_full_match(word, '\\p{{L}}+') AND word NOT IN ({sql_list(values.STOPWORDS)}))"
 
 
 @HERE.add(_WORDS + " SELECT word, count(*) AS count, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM k), 6) AS pct FROM k GROUP BY word ORDER BY count DESC, word LIMIT 10")
 def word_frequencies_words(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     return stats.word_frequencies(docs, "doc_id", "text", values.STOPWORDS).withColumn("pct", F.round("pct", 6))
 
 
-@HERE.add(_WORDS + " SELECT word, count(DISTINCT doc_id) AS count, round(count(DISTINCT doc_id) * 100.0::DOUBLE / (SELECT count(text) FROM documents WHERE lang = 'en'), 6) AS pct FROM k GROUP BY word ORDER BY count(*) DESC, word LIMIT 10")
+@HERE.add(_WORDS + " SELECT word, count(DISTINCT doc_id) AS count, round(count(DISTINCT doc_id) * 100.0::DOUBLE / (SELECT count(text) FROM documents), 6) AS pct FROM k GROUP BY word ORDER BY count(*) DESC, word LIMIT 10")
 def word_frequencies_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     return stats.word_frequencies(docs, "doc_id", "text", values.STOPWORDS, by_document=True).withColumn("pct", F.round("pct", 6))
 
 
