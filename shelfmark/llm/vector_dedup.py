@@ -7,6 +7,11 @@ all pairs are compared in double precision; a pair that several leaves hold is
 counted in the first of them. Leaves that stay large are compared in tiles.
 Equal vectors are compared once, for all of them.
 
+The deeper the trees, the likelier each parts a near pair, so their number
+follows from the depth: pairs planted at the threshold around sampled vectors
+are sent through the trees, and trees are added until at least ``recall`` of the
+pairs meet in a leaf. Each length of vectors has a sample and a forest of its own.
+
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing; vectors of different lengths do not link. Repeated ids are
 vectors of their own. Only the id and the vector are read, so other columns
@@ -20,6 +25,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import cut
@@ -67,6 +73,27 @@ class Tree:
         return np.stack([node, spilled], axis=1)
 
 
+def planted(sample: np.ndarray, threshold: float, pairs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors whose cosine is the threshold: sampled ones, each with one beside it in a random direction."""
+    rng = np.random.default_rng(seed)
+    a = sample[rng.integers(0, len(sample), pairs)]
+    aside = rng.standard_normal(a.shape)
+    aside -= (aside * a).sum(axis=1, keepdims=True) * a
+    length = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+    return a, threshold * a + math.sqrt(1 - threshold**2) * aside / np.maximum(length, 1e-12)
+
+
+def forest(sample: np.ndarray, depth: int, threshold: float, recall: float, least: int, most: int, seed: int, pairs: int = 2000) -> list[Tree]:
+    """At least ``least`` trees, and as many more, up to ``most``, as it takes for the share ``recall`` of planted pairs to meet in a leaf."""
+    a, b = planted(sample, threshold, pairs, seed)
+    met = np.zeros(pairs, dtype=bool)
+    trees: list[Tree] = []
+    while len(trees) < least or met.mean() < recall and len(trees) < most:
+        trees.append(Tree(sample, depth, seed + 1000 * len(trees)))
+        met |= (trees[-1].leaves(a)[:, :, None] == trees[-1].leaves(b)[:, None, :]).any(axis=(1, 2))
+    return trees
+
+
 def first_shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows of leaf numbers in trees (rows, trees, 2): the first tree in which a's row and b's row share a leaf, and the smallest leaf they share there."""
     same = (a[:, :, :, None] == b[:, :, None, :]).any(axis=3)
@@ -96,7 +123,7 @@ def compare_tile(rows: pd.DataFrame, threshold: float, block_rows: int = 1024) -
     """Links of one tile: for each vector that has any, the vectors it newly links with, and one of its component here."""
     tree, one, two = (int(rows[c].iat[0]) for c in ("tree", "one", "two"))
     unit_rows = unit(matrix(rows["v"]))
-    codes = np.stack(rows["codes"].to_numpy()).reshape(len(rows), -1, 2)
+    codes = np.stack(rows["codes"].to_numpy()).astype(np.int64).reshape(len(rows), -1, 2)
     leaf = rows["leaf"].to_numpy()
     count = rows["n"].to_numpy()
     part = rows["part"].to_numpy()
@@ -135,11 +162,15 @@ def near_duplicates(
     leaf_rows: int = 256,
     tile_rows: int = 2048,
     sample_rows: int = 20_000,
+    recall: float = 0.97,
+    most_trees: int = 64,
 ) -> DataFrame:
     """For each row: vec_id, n_links, component_id, kept.
 
-    ``sample_rows`` bounds the sample from which thresholds are taken; every
-    vector is put into the trees. ``tile_rows`` bounds what one task compares at
+    ``sample_rows`` bounds the sample from which thresholds are taken (for each
+    of several lengths its share, eight rows at least); every vector is put into
+    the trees. ``trees`` and ``most_trees`` bound their number, ``recall`` is what
+    they must reach on pairs planted at the threshold. ``tile_rows`` bounds what one task compares at
     once: larger leaves are cut into blocks, and each pair of blocks is a tile.
     """
     everything = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
@@ -147,19 +178,20 @@ def near_duplicates(
     groups = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("d", F.size("v")), "vectors")
     members = cut(good.join(groups, "v").select("vec_id", "rep", "n"), "members")
     total = groups.count()
-    sample = groups.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("d", "v").toPandas()
+    lengths = max(1, groups.select("d").distinct().count())
+    turn = F.row_number().over(W.partitionBy("d").orderBy(F.xxhash64("rep"), "rep"))
+    sample = groups.select("d", "v", turn.alias("turn")).filter(F.col("turn") <= max(8, sample_rows // lengths)).select("d", "v").toPandas()
     depth = max(1, math.ceil(math.log2(max(2, total / leaf_rows))))
-    forests = {int(d): [Tree(unit(matrix(part["v"])), depth, 1000 * t + int(d)) for t in range(trees)] for d, part in sample.groupby("d")}
+    forests = {int(d): forest(unit(matrix(part["v"])), depth, threshold, recall, trees, most_trees, int(d)) for d, part in sample.groupby("d")}
 
     def route(batches):
-        for batch in batches:
+        for batch in (b for b in batches if len(b)):
             for d, part in batch.groupby("d"):
-                forest = forests.get(int(d))
                 rows = unit(matrix(part["v"]))
-                codes = np.stack([t.leaves(rows) for t in forest], axis=1).reshape(len(part), -1) if forest else np.zeros((len(part), 2 * trees), dtype=np.int64)
+                codes = np.stack([t.leaves(rows) for t in forests[int(d)]], axis=1).reshape(len(part), -1).astype(np.int32)
                 yield pd.DataFrame({"rep": part["rep"].to_numpy(), "n": part["n"].to_numpy(), "d": part["d"].to_numpy(), "v": part["v"].to_numpy(), "codes": list(codes)})
 
-    routed = cut(groups.mapInPandas(route, "rep long, n long, d int, v array<float>, codes array<long>"), "routed")
+    routed = cut(groups.mapInPandas(route, "rep long, n long, d int, v array<float>, codes array<int>"), "routed")
     slots = routed.select("rep", "d", F.posexplode("codes").alias("slot", "leaf")).select("rep", "d", F.expr("int(slot div 2)").alias("tree"), "leaf").distinct()
     counts = slots.groupBy("d", "tree", "leaf").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts"))
     placed = slots.join(counts, ["d", "tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("rep", "tree"), F.col("parts")).cast("int"))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 
+from shelfmark.llm import vector_dedup, vectors
 from shelfmark.llm.components import components
 from shelfmark.llm.jaccard import keep_one, similar_groups
 from shelfmark.llm.neighbours import nearest
@@ -101,3 +102,28 @@ def test_nearest(spark):
         assert sorted(got[q]) == list(range(1, 21)) and all(abs(s - scores[q, i]) < 1e-9 for i, s in got[q].values())
         hits += len(set(order) & {i for i, _ in got[q].values()})
     assert hits >= 0.9 * 600 and [got[0][k][0] for k in range(1, 21)] == list(range(300, 320))
+
+
+def test_deep_trees_keep_near_pairs_together():
+    """At the depth of a thousand million vectors; the pairs counted here are not those that chose the number of trees."""
+    rng = np.random.default_rng(12)
+    sample = vectors.unit(rng.standard_normal((4000, 64)))
+    recalls = {}
+    for depth in (7, 14, 22):
+        trees = vector_dedup.forest(sample, depth, 0.9, recall=0.97, least=8, most=64, seed=1)
+        a, b = vector_dedup.planted(vectors.unit(rng.standard_normal((1000, 64))), 0.9, 1000, 99)
+        assert np.allclose((a * b).sum(axis=1), 0.9)
+        codes = [np.stack([t.leaves(x) for t in trees], axis=1) for x in (a, b)]
+        recalls[depth] = (codes[0][:, :, :, None] == codes[1][:, :, None, :]).any(axis=(1, 2, 3)).mean(), len(trees)
+    assert all(r >= 0.94 for r, _ in recalls.values()) and recalls[7][1] == 8 < recalls[22][1] < 64, recalls
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.standard_normal(3 + i % 3)]) for i in range(60)]
+    rows += [(100 + i, [x * 2 for x in v]) for i, v in rows[:30]] + [(7, rows[0][1]), (7, rows[1][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links) for r in vector_dedup.near_duplicates(df, sample_rows=24).collect())
+    units = [np.asarray(v, np.float32).astype(float) / np.linalg.norm(np.asarray(v, np.float32).astype(float)) for _, v in rows]
+    want = sorted((i, sum(k != j and len(units[k]) == len(u) and float(units[k] @ u) >= 0.9 for k in range(len(rows)))) for j, ((i, _), u) in enumerate(zip(rows, units)))
+    assert got == want
