@@ -5,8 +5,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
-from shelfmark.llm import vector_dedup, vectors
+from shelfmark.llm import neighbours, vector_dedup, vectors
 from shelfmark.llm.components import components
 from shelfmark.llm.jaccard import keep_one, similar_groups
 from shelfmark.llm.neighbours import nearest
@@ -93,7 +94,7 @@ def test_nearest(spark):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(e)]
     df = spark.createDataFrame(rows + odd_vectors()[:3], "vec_id long, embedding array<float>")
     got = {}
-    for r in nearest(df, shard_rows=300).collect():
+    for r in nearest(df, shard_values=300 * 16, block_rows=7).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     scores = e.astype(float) @ e.astype(float).T
     hits = 0
@@ -127,3 +128,36 @@ def test_vectors_of_several_lengths(spark):
     units = [np.asarray(v, np.float32).astype(float) / np.linalg.norm(np.asarray(v, np.float32).astype(float)) for _, v in rows]
     want = sorted((i, sum(k != j and len(units[k]) == len(u) and float(units[k] @ u) >= 0.9 for k in range(len(rows)))) for j, ((i, _), u) in enumerate(zip(rows, units)))
     assert got == want
+
+
+def recall_of(spark, rows, **options):
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest(df, **options).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    exact = np.asarray(rows, np.float32).astype(float)
+    hits = 0
+    for q in range(0, len(rows), 20):
+        scores = exact @ exact[q]
+        scores[q] = -np.inf
+        want = np.lexsort((np.arange(len(rows)), -scores))[:20]
+        found = sorted(got[q])
+        assert [rank for rank, _, _ in found] == list(range(1, 21)) and all(abs(s - exact[i] @ exact[q]) < 1e-9 for _, i, s in found)
+        hits += len(set(want.tolist()) & {i for _, i, _ in found})
+    return hits / (20 * len(got))
+
+
+def test_nearest_over_many_cells(spark):
+    """Vectors that gather, and vectors that do not, in three shards and more; either way what is found is nearly all."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((8, 16)) * 3
+    gathered = centres[rng.integers(0, 8, 4200)] + rng.standard_normal((4200, 16)) * 0.5
+    assert recall_of(spark, gathered, shard_values=1024 * 16) >= 0.9
+    assert recall_of(spark, rng.standard_normal((3200, 16)), shard_values=1024 * 16) >= 0.9
+
+
+def test_cells_to_visit():
+    order = np.array([[2, 0, 1], [1, 2, 0]])
+    found = pd.DataFrame({"query": [0] * 10 + [1] * 10, "cell": [2] * 10 + [1] * 9 + [0]})
+    assert neighbours.cells_to_visit(found, order, 0.9) == 1 and neighbours.cells_to_visit(found, order, 1.0) == 3
+    assert neighbours.cells_to_visit(found.iloc[:0], order, 0.9) == 3
