@@ -105,7 +105,7 @@ def mix_plan(
     seed: str = "mix",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """For each row: doc_id, size, source_size, target, draws (array of its shard and words for each time it is taken), taken (the words of its draws), and the columns of keep.
+    """For each row: doc_id, size, source_size, target, draws (array of its shard and words for each time it is taken), taken (the words of its draws), and the columns of keep, under their names after kept_.
 
     ``depth``: the shards are 2 ** depth; by default it follows from the number of rows.
     """
@@ -148,7 +148,7 @@ def mix_plan(
         .withColumn("part", part.cast("long"))
         .withColumn("draws", draws)
         .withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda words, x: words + x["words"]))
-        .select("doc_id", "size", "source_size", "target", "taken", "draws", *[F.col(f"kept_{c}").alias(c) for c in keep if c != id_col])
+        .select("doc_id", "size", "source_size", "target", "taken", "draws", *[F.col(f"kept_{c}") for c in keep])
     )
 
 
@@ -158,9 +158,9 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", depth: int | None = N
     depth = tree_depth(docs.count()) if depth is None else depth
     plan = mix_plan(docs, id_col=id_col, keep=keep, depth=depth, **options)
     copies = plan.withColumn("draw", F.explode("draws")).filter(F.col("draw.words") * 2 >= F.col("size"))
-    names = [F.col("doc_id").alias(c) if c == id_col else F.col(c) for c in keep]
+    names = [F.col(f"kept_{c}").alias(c) for c in keep]
     key = _key(options.get("seed", "mix"), "order", F.col("draw.shard"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return copies.withColumn("mix_shard", F.col("draw.shard")).repartition(1 << depth, "mix_shard").withColumn("mix_key", key).sortWithinPartitions("mix_shard", "mix_key").select(*names, "mix_shard")
+    return copies.withColumn("mix_shard", F.col("draw.shard")).repartition(1 << depth, "mix_shard").withColumn("mix_key", key).sortWithinPartitions("mix_shard", "mix_key").select(*names, *([] if "mix_shard" in keep else ["mix_shard"]))
 
 
 def digest(docs: DataFrame) -> DataFrame:
