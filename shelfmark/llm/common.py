@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,34 +10,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset, a local master (tests) gets a folder of its own; on a
-    cluster no folder of this machine would do, so that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"{tempfile.gettempdir()}/shelfmark-checkpoints/{spark.sparkContext.applicationId}"
-    return found.rstrip("/")
+from shelfmark.folders import shared_dir
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors, and lets several later
-    jobs read the same intermediate rows without computing them again.
+    jobs read the same intermediate rows without computing them again. The table
+    goes when the driver ends, as results may read it until then.
     """
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
-    """The rows of a written table whose count reaches the least threshold that at most ``most`` rows reach.
+    """The rows of a table, read twice, whose count reaches the least threshold that at most ``most`` rows reach.
 
     The threshold comes from a histogram of the counts (sixteen steps for each
     doubling), so nothing is ranked and little is sent to the driver.

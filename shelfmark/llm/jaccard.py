@@ -93,7 +93,7 @@ def scan(docs: DataFrame, width: int, flush: int = 1 << 21) -> DataFrame:
 
 def frequent_shingles(repeated: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles and their counts: the most frequent ones, at most ``most`` of them."""
-    counts = cut(repeated.groupBy("shingle").agg(F.sum("seen").alias("seen")), "counts")
+    counts = repeated.groupBy("shingle").agg(F.sum("seen").alias("seen"))  # few rows beside the texts, so it is cheaper made twice than written
     found = frequent(counts, "seen", most).toPandas()  # at most ``most`` rows
     shingles = found["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(shingles)
