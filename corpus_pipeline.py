@@ -5,6 +5,14 @@
 3. secrets: every secret in a text is replaced by a mark, and n_chars follows; no document goes.
 4. mix: each document appears as many times as the source mix draws it (a draw of less than half of it is not one).
 5. pack: the tokens of every document that is left, in sequences.
+
+Nulls and odd rows, stage by stage: a null or empty text is scored like an empty
+one, is in no group, has no secret, has no words and so is never drawn by the
+mix (a source's target is in words), and would be packed as the end token alone.
+A row with a null id is scored, never goes as a copy, is redacted, mixed and
+packed. Null sources are one source. Repeated rows are rows of their own, but of
+a group of similar documents all rows with the smallest id stay. Empty tables
+pass through all stages.
 """
 
 from __future__ import annotations

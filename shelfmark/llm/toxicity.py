@@ -6,8 +6,10 @@ words. The lexicon is learned: terms that documents labelled toxic hold far
 more often than others, by the z-score of the log odds.
 
 The model is fitted on a bounded sample of labelled rows, ``sample_rows``, the
-first by hash of the id; every whole text is scored. Labels of rows that are
-held out are never used. A null text is an empty one; empty texts are scored
+first by hash of the id; every whole text is scored. Of sampled documents that
+share their smallest shingle and their label, the one with the smallest id is
+learned from, so that copies do not lend one text's words the weight of many.
+Labels of rows that are held out are never used. A null text is an empty one; empty texts are scored
 too. Null labels and labels without a document are ignored; of several labels
 of one id the largest counts. Repeated rows get equal scores; rows with a null
 id are scored and are not held out. Without labels of both kinds the score is
