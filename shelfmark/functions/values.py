@@ -5,23 +5,33 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 
 #: Words that never connect two nodes.
 LINK_STOPWORDS = (
-    "a an the and or but in on at to for of with by from as is was are were be been being have has had do does did will "
-    "would should could may might must can data analysis study research using based method methods approach approaches "
-    "model models system systems tool tools use used uses application applications code software program programs package "
-    "packages library libraries framework frameworks i ii iii iv v vi vii viii ix x vs etc eg ie"
-).split()
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is",
+    "was", "are", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would",
+    "should", "could", "may", "might", "must", "can", "data", "analysis", "study", "research", "using", "based",
+    "method", "methods", "approach", "approaches", "model", "models", "system", "systems", "tool", "tools", "use",
+    "used", "uses", "application", "applications", "code", "software", "program", "programs", "package", "packages",
+    "library", "libraries", "framework", "frameworks", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x",
+    "vs", "etc", "eg", "ie",
+)
 
 #: A feature whose name contains one of these holds text, so stop words are dropped from it.
 TEXT_FIELDS = ("Code Summary", "Summary", "Description", "Abstract", "Languages", "Tools/Packages", "Tooling", "Data Types", "FAIR Issues", "Biomedical Relevance")
 
 #: Words left out of word frequencies.
 STOPWORDS = (
-    "the a an and or but in on at to for of with by from as is was are were been be have has had do does did will would "
-    "should could may might must can this that these those i you he she it we they not no yes na n/a unknown various "
-    "multiple general other"
-).split()
-CODE_STOPWORDS = STOPWORDS + "repository specified available tools analysis processing using implements based frameworks framework appears".split()
-CELL_STOPWORDS = STOPWORDS + "variant gene polymorphism allele located genetic studies associated including role disease through single chromosome population populations".split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is",
+    "was", "are", "were", "been", "be", "have", "has", "had", "do", "does", "did", "will", "would", "should",
+    "could", "may", "might", "must", "can", "this", "that", "these", "those", "i", "you", "he", "she", "it", "we",
+    "they", "not", "no", "yes", "na", "n/a", "unknown", "various", "multiple", "general", "other",
+)
+CODE_STOPWORDS = STOPWORDS + (
+    "repository", "specified", "available", "tools", "analysis", "processing", "using", "implements", "based",
+    "frameworks", "framework", "appears",
+)
+CELL_STOPWORDS = STOPWORDS + (
+    "variant", "gene", "polymorphism", "allele", "located", "genetic", "studies", "associated", "including", "role",
+    "disease", "through", "single", "chromosome", "population", "populations",
+)
 
 #: Apostrophe-like characters that become a plain one.
 APOSTROPHES = "‘’‛ʼ´`"
@@ -30,11 +40,13 @@ DISEASE_KEYWORDS = ("alzheimer", "parkinson", "dementia", "brain", "neurodegener
 
 #: Abbreviations that are common words or have other meanings.
 NOISY_ABBREVIATIONS = (
-    "leads prevent identity map ros codes mars campaign adams insight beam ample expedition caps elsa haas rosiglitazone "
-    "gs lbp smi nph adcp hbs lcc twas a4 adcs accord impact sprint promise compass focus vital spark echo grace hope care "
-    "gait engage epic gain idea mind plan race safe team view act age aim cell core cure fast gene seed target track trend "
-    "match predict select prime origin snap"
-).split()
+    "leads", "prevent", "identity", "map", "ros", "codes", "mars", "campaign", "adams", "insight", "beam", "ample",
+    "expedition", "caps", "elsa", "haas", "rosiglitazone", "gs", "lbp", "smi", "nph", "adcp", "hbs", "lcc", "twas",
+    "a4", "adcs", "accord", "impact", "sprint", "promise", "compass", "focus", "vital", "spark", "echo", "grace",
+    "hope", "care", "gait", "engage", "epic", "gain", "idea", "mind", "plan", "race", "safe", "team", "view", "act",
+    "age", "aim", "cell", "core", "cure", "fast", "gene", "seed", "target", "track", "trend", "match", "predict",
+    "select", "prime", "origin", "snap",
+)
 
 MODALITY_VOCABULARY = {
     "Clinical": "clinical", "Genetics": "genetics", "Genomics": "genetics", "genomics": "genetics", "genetic": "genetics",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import values
@@ -13,10 +13,11 @@ def tree_flags(files: DataFrame, repo: str, path: str) -> DataFrame:
     return files.groupBy(repo).agg(*[F.bool_or(F.lower(path).isin(*names)).alias(flag) for flag, (names, _, _) in values.COMPLIANCE_FILES.items()])
 
 
-def issues_from_flags(flags: DataFrame, repo: str) -> DataFrame:
-    """An issue row for every flag that is not set."""
+def issues_from_flags(flags: DataFrame, repo: str, at: Column | None = None) -> DataFrame:
+    """An issue row for every flag that is not set, with the time of the check as ISO text if it is given."""
     rows = F.array(*[F.struct(F.col(flag).alias("ok"), F.lit(issue).alias("issue_type"), F.lit(text).alias("details")) for flag, (_, issue, text) in values.COMPLIANCE_FILES.items()])
-    return flags.select(repo, F.inline(rows)).filter("not ok").drop("ok")
+    found = flags.select(repo, F.inline(rows)).filter("not ok").drop("ok")
+    return found if at is None else found.withColumn("timestamp", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"))
 
 
 def score_app(log: DataFrame, repo: str, issue: str, details: str, order: str) -> DataFrame:

@@ -99,6 +99,23 @@ def load_compliance_log(spark, sf_dir):
     return S.load_compliance_log(raw).select("Repository", "Issue Type", F.regexp_replace("Timestamp", r"\.?0+$", "").alias("Timestamp"))
 
 
+@HERE.add("SELECT user_id AS \"Repository\", event_type AS \"Issue Type\", arg_max(event_id, ts)::VARCHAR AS \"Details\" FROM events WHERE event_id % 50 <> 0 GROUP BY ALL")
+def load_newest_compliance_log(spark, sf_dir):
+    path = scratch(spark)
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("Repository"), F.col("event_type").alias("Issue Type"), F.col("event_id").alias("Details"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Timestamp"))
+    for name, rows in (("fair_compliance_log_1", log), ("fair_compliance_log_2", log.filter("`Details` % 50 <> 0"))):
+        rows.write.option("header", True).option("sep", "\t").csv(f"{path}/{name}")
+    newest = S.load_compliance_log(S.read_table(spark, S.latest_write(spark, path), multi_line=False))
+    return newest.select(F.col("Repository").cast("long").alias("Repository"), "Issue Type", "Details")
+
+
+@HERE.add(f'SELECT src AS "row", dst AS col, weight FROM ({_EDGES}) UNION ALL SELECT dst, src, weight FROM ({_EDGES})')
+def export_adjacency(spark, sf_dir):
+    path = scratch(spark)
+    sinks.export(graph.adjacency(*_graph(spark, sf_dir)), path, "csv")
+    return spark.read.option("header", True).schema("row string, col string, weight long").csv(path)
+
+
 @HERE.add("SELECT c_custkey::VARCHAR AS product, c_mktsegment AS gene, CASE WHEN c_nationkey = 0 THEN 'Control/Wildtype' ELSE c_nationkey::VARCHAR END AS condition FROM customer")
 def load_cell_lines(spark, sf_dir):
     raw = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("product"), F.col("c_mktsegment").alias("gene"), F.col("c_nationkey").alias("condition"))

@@ -143,9 +143,9 @@ def tree_flags(spark, sf_dir):
     return _flags(spark, sf_dir)
 
 
-@HERE.add(" UNION ALL ".join(f"SELECT repo, '{issue}' AS issue_type, '{text}' AS details FROM ({_FLAGS}) WHERE NOT {flag}" for flag, (_, issue, text) in values.COMPLIANCE_FILES.items()))
+@HERE.add(" UNION ALL ".join(f"SELECT repo, '{issue}' AS issue_type, '{text}' AS details, '2026-03-11T08:30:00' AS timestamp FROM ({_FLAGS}) WHERE NOT {flag}" for flag, (_, issue, text) in values.COMPLIANCE_FILES.items()))
 def flags_to_issues(spark, sf_dir):
-    return compliance.issues_from_flags(_flags(spark, sf_dir), "repo")
+    return compliance.issues_from_flags(_flags(spark, sf_dir), "repo", F.lit("2026-03-11 08:30:00").cast("timestamp"))
 
 
 @HERE.add(" UNION ALL ".join(f"SELECT '{flag}' AS flag, count(*) FILTER ({flag}) AS n, round(count(*) FILTER ({flag}) * 100.0::DOUBLE / greatest(count(*), 1), 6) AS pct FROM ({_FLAGS})" for flag in values.COMPLIANCE_FILES))

@@ -80,9 +80,10 @@ def strip_stopwords(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(C.link_tokens(F.col("p_name"), " ", True), "|").alias("items"))
 
 
-@HERE.add()
+@HERE.add("SELECT word, CASE WHEN kind = 0 THEN nfc_normalize(word) ELSE 'file' || c || chr(39) || 's' END AS folded FROM (SELECT DISTINCT word, kind, c FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS word, 0 AS kind, NULL AS c FROM documents UNION ALL SELECT '\uFB01le' || c_custkey || '\u2019s\u00A0', 1, c_custkey FROM customer) WHERE regexp_matches(word, '[^\\x00-\\x7F]'))")
 def unicode_fold(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).filter(F.col("word").rlike(r"[^\x00-\x7F]")).distinct()
+    made = table(spark, sf_dir, "customer").select(F.concat(F.lit("\uFB01le"), F.col("c_custkey").cast("string"), F.lit("\u2019s\u00A0")))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).union(made).filter(F.col("word").rlike(r"[^\x00-\x7F]")).distinct()
     return words.select("word", C.strip(C.plain_apostrophes(C.nfkc(F.col("word")))).alias("folded"))
 
 
