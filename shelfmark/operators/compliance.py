@@ -32,9 +32,18 @@ def score_report(log: DataFrame, repo: str, issue: str) -> DataFrame:
     return log.select(repo, issue).distinct().groupBy(repo).agg(F.count("*").alias("n_types")).withColumn("score", F.greatest(F.lit(0), 10 - F.col("n_types")))
 
 
-def with_compliance(repos: DataFrame, summary: DataFrame, key: str, log_is_empty: bool = False) -> DataFrame:
-    """Repositories with their issues and score; one that no log row names has none and 10, or 0 if the log is empty."""
-    return repos.join(summary, key, "left").withColumn("issues", F.coalesce("issues", F.lit(""))).withColumn("score", F.coalesce(F.col("score"), F.lit(0 if log_is_empty else 10)).cast("double"))
+def with_compliance(repos: DataFrame, summary: DataFrame, key: str, log_is_empty: bool | None = None) -> DataFrame:
+    """Repositories with their issues and score; one that no log row names has none and 10, or 0 if the log is empty.
+
+    Whether it is empty is looked up (one row, broadcast) unless the caller says.
+    """
+    joined = repos.join(summary, key, "left")
+    if log_is_empty is None:
+        joined = joined.crossJoin(F.broadcast(summary.limit(1).agg((F.count("*") == 0).alias("_empty"))))
+    else:
+        joined = joined.withColumn("_empty", F.lit(log_is_empty))
+    score = F.coalesce(F.col("score"), F.when(F.col("_empty"), 0).otherwise(10)).cast("double")
+    return joined.withColumn("issues", F.coalesce("issues", F.lit(""))).withColumn("score", score).drop("_empty")
 
 
 def component_completeness(repos: DataFrame, issues: str, kinds: list[str]) -> DataFrame:

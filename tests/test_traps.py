@@ -49,6 +49,7 @@ def test_scores(spark):
     app = compliance.score_app(log, "Repository", "issue", "details", "n")
     assert compliance.with_compliance(repos, app, "Repository").first().score == 10
     assert compliance.with_compliance(repos, app.limit(0), "Repository", log_is_empty=True).first().score == 0
+    assert compliance.with_compliance(repos, app.limit(0), "Repository").first().score == 0
 
 
 def test_graph(spark):
