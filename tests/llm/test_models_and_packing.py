@@ -7,12 +7,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-import corpus_pipeline
 from shelfmark.llm import language_model, mixing, packing, queries, toxicity
 from shelfmark.llm.attention import Attention
 from shelfmark.llm.boosting import Isotonic
@@ -36,6 +36,8 @@ def test_mixing_equals_sql(spark, documents):
     con.register("documents", docs.toArrow())
     fix = lambda rows: sorted(tuple(-1.0 if v is None or v != v else round(float(v), 6) for v in r) for r in rows)
     names = ["doc_id", "size", "source_size", "target", "taken"]
+    tree = sorted((str(r.doc_id), r.shards) for r in mixing.digest(docs).collect())
+    assert tree == sorted(map(lambda r: (str(r[0]), r[1]), con.sql(f"SELECT doc_id, shards FROM ({queries.ORACLES['op4_mixing']})").fetchall()))
     got = [tuple(r[c] for c in names) for r in mixing.digest(docs).collect()]
     want = con.sql(f"SELECT {', '.join(names)} FROM ({queries.ORACLES['op4_mixing']})").fetchall()
     assert sorted(map(str, fix(got))) == sorted(map(str, fix(want)))
@@ -51,6 +53,21 @@ def test_shards_draw_whole_mix(spark, documents):
     plan = mixing.mix_plan(documents).collect()
     assert all(sum(d["words"] for d in r.draws) == r.taken for r in plan)
     assert len({d["shard"] for r in plan for d in r.draws}) == 16
+    for depth in (1, 6):  # however the tree splits the quotas, its shards' counts are the quotas
+        other = mixing.mix_plan(documents, depth=depth).collect()
+        assert sorted((r.doc_id, r.taken) for r in other) == sorted((r.doc_id, r.taken) for r in plan)
+        assert all(0 <= d["shard"] < 1 << depth for r in other for d in r.draws)
+    assert [mixing.tree_depth(n) for n in (0, 1 << 18, (1 << 18) + 1, 1 << 40)] == [4, 4, 5, 16]
+
+
+def test_mixed_documents_meet_their_targets(spark, documents):
+    sized = documents.withColumn("words", mixing.word_count(F.col("text")))
+    of = {r.source: r for r in sized.groupBy("source").agg(F.sum("words").alias("all"), F.max("words").alias("most")).collect()}
+    targets = {r.source: r.target for r in mixing.mix_plan(documents, keep=("source",)).select(F.col("kept_source").alias("source"), "target").distinct().collect()}
+    mixed = mixing.mix_documents(documents)
+    got = {r.source: r.taken for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("taken")).collect()}
+    assert all(abs(got.get(s, 0) - t) <= of[s].most / 2 + 1 for s, t in targets.items())
+    assert mixed.rdd.getNumPartitions() == 16
 
 
 def test_taken_is_what_the_shards_draw(spark, documents, monkeypatch):
@@ -59,21 +76,59 @@ def test_taken_is_what_the_shards_draw(spark, documents, monkeypatch):
 
 
 def test_frequent_subwords_keep_classes_of_their_own():
-    group, share = language_model.classes(np.arange(language_model.IDS, 0, -1) ** 2)
-    assert group.max() + 1 == 1 + 128 + 63 and len(set(group[:128])) == 128 and not share[:128].any()
-
-
-def test_training_windows_hold_whole_texts(spark):
-    path = public_tokenizers.path("word_bpe_49k.json")
-    group, _ = language_model.classes(np.ones(language_model.IDS, np.int64))
-    texts = ["alpha beta gamma " * 700, "one", "", None]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    rows = [r.ids for r in language_model.training_windows(df, group, path, 64).collect()]
-    t = Tokenizer.from_file(path)
-    want = [[0, *group[t.encode(x or "", add_special_tokens=False).ids].tolist(), group[language_model.END]] for x in texts]
-    assert len(want[0]) > 2000 and sum(len(r) - 1 for r in rows) == sum(len(w) - 1 for w in want)
-    assert [c for r in rows for c in r[1:]] == [c for w in want for c in w[1:]]
-    assert all(len(r) <= 65 for r in rows)
+    counts = np.arange(language_model.IDS, 0, -1) ** 2
+    group = language_model.classes(counts, 128, 64)
+    assert group.max() + 1 == 192 and len(set(group[:128])) == 128 and not set(group[:128]) & set(group[128:])
+    follow = np.random.default_rng(1).poisson(3, (language_model.IDS, 129))
+    group = language_model.classes(counts, 128, 64, follow)
+    assert len(set(group[:128])) == 128 and 128 <= group[128:].min() and group.max() < 192
+
+
+def test_pairs_count_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    texts = ["alpha Beta gamma " * 900, "one", "", None, "x" * 20_000]
+    df = spark.createDataFrame([(i, i, False, t) for i, t in enumerate(texts)], "row long, doc_id long, held_out boolean, text string")
+    texts += ["A\u00a0B\u2028c \x1cd", "alpha\r\n\tbeta"]
+    df = spark.createDataFrame([(i, i, False, t) for i, t in enumerate(texts)], df.schema)
+    rows = language_model.encode_texts(df, path, {b"beta": 1.0}).filter("ids is not null")
+    enc, want = language_model.subwords(path), Counter()
+    for t in texts:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        ids = [i for w in re.split(r"[\x20\x09-\x0D]+", low) if w for i in enc.encode_ordinary(" " + w)] + [language_model.END]
+        want.update(zip([language_model.END, *ids], ids))
+    assert {(r.before, r.id): r.c for r in language_model.pair_counts(rows, flush=100).collect()} == want
+
+
+def test_padded_windows_hold_whole_texts():
+    texts = [np.arange(1, 151), np.array([7])]
+    before, after, real = language_model.padded(texts, 64)
+    assert after[real].tolist() == [*range(1, 151), 7]
+    assert before[real].tolist() == [language_model.END, *range(1, 150), language_model.END]
+
+
+def test_shares_in_classes_add_up(spark):
+    rng = np.random.default_rng(4)
+    pairs = spark.createDataFrame(pd.DataFrame({"before": rng.integers(0, 90, 4000), "id": rng.integers(0, 90, 4000), "c": rng.integers(1, 50, 4000)}), "before int, id int, c long").groupBy("before", "id").agg(F.sum("c").alias("c"))
+    m = language_model.learn_counts(pairs.cache(), window=64, own=8, shared=6, rows=16, slots=1 << 12)
+    ids = np.arange(language_model.IDS)
+    for before in (3, 77, 50_000):
+        share = np.exp(m.in_class(np.full(len(ids), before), ids).astype(float))
+        assert np.allclose(np.bincount(m.group, share, 14), 1, atol=1e-3)
+        assert abs(np.exp(m.attention.base[m.row[before]]).sum() - 1) < 1e-3
+
+
+def test_model_beats_subword_unigram(spark):
+    """On held-out texts, whole; the unigram of the same subwords is what the model would be without any context."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language_model.score_documents(docs, train_share=4).toPandas()
+    held = found[found["held_out"]]
+    enc, counts = language_model.subwords(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), np.zeros(language_model.IDS)
+    rows = [(r.held, language_model.encoded((r.text or "").encode(), enc)) for r in docs.select("text", language_model.held_out(F.col("doc_id")).alias("held")).collect()]
+    for out, ids in rows:
+        counts += 0 if out else np.bincount(ids, minlength=language_model.IDS)
+    unigram = np.log10((counts + 1) / (counts.sum() + language_model.IDS))
+    plain = sum(unigram[ids].sum() for out, ids in rows if out)
+    assert held["score"].sum() > 0.8 * plain  # log10, so less is worse: a fifth of the loss must go
 
 
 def test_packing_round_trip(spark, documents):
@@ -108,36 +163,39 @@ def test_attention_gradients():
     rng = np.random.default_rng(0)
     m = Attention(np.log(rng.dirichlet(np.ones(7), 7)), width=4, window=6)
     m.weights = {k: w.astype(np.float64) * 3 for k, w in m.weights.items()}
-    x, y = rng.integers(0, 7, (3, 6)), rng.integers(0, 7, (3, 6))
+    x, y, rows = (rng.integers(0, 7, (3, 6)) for _ in range(3))
     real = np.ones((3, 6), bool)
-    grads = m.gradients(x, y, real)[1]
+    grads = m.gradients(x, rows, y, real)[1]
     for name, w in m.weights.items():
         i = (x[0, 0], 0) if name == "embed" else (0,) * w.ndim
         w[i] += 1e-4
-        up = m.gradients(x, y, real)[0]
+        up = m.gradients(x, rows, y, real)[0]
         w[i] -= 2e-4
-        down = m.gradients(x, y, real)[0]
+        down = m.gradients(x, rows, y, real)[0]
         w[i] += 1e-4
         assert abs((up - down) / 2e-4 - grads[name][i]) < 1e-5
 
 
 def test_windows_score_each_token_once():
     rng = np.random.default_rng(2)
-    m = Attention(np.log(rng.dirichlet(np.ones(9), 9)), width=4, window=64)
-    group, share = rng.integers(1, 9, language_model.IDS), np.zeros(language_model.IDS, np.float32)
-    ids = rng.integers(0, language_model.END, 150).astype("<u4")
-    got = language_model.score_texts([ids.tobytes(), b""], m, group, share, 16)
-    c = np.concatenate([[0], group[ids], [group[language_model.END]]])
+    group, row = rng.integers(0, 9, language_model.IDS), rng.integers(0, 20, language_model.IDS)
+    share, off = rng.standard_normal(language_model.IDS).astype(np.float32), rng.standard_normal((20, 9)).astype(np.float32)
+    m = language_model.Model(group, row, np.log(rng.dirichlet(np.ones(9), 20)), share, off, np.full(64, 0xFFFFFFFF, np.uint32), np.zeros(64, np.float32), 64)
+    end = language_model.END
+    ids = np.append(rng.integers(0, end, 150), end)
+    got = language_model.score_texts([ids, np.array([end])], m, 16)
+    line = np.concatenate([[end], ids])
     want = 0.0
-    for i in range(1, len(c)):
-        start = max(0, (i - 1) // 48 * 48 - 16)
-        inputs = np.zeros((1, 64), np.int64)
-        real = np.zeros((1, 64), bool)
-        place = i - 1 - (((i - 1) // 48) * 48 - 16)
-        inputs[0, place - (i - 1 - start) : place + 1] = c[start:i]
-        real[0, place - (i - 1 - start) : place + 1] = True
-        want += m.log_probs(inputs, real, np.full((1, 64 - place), c[i]), place)[0, 0]
-    assert abs(got[0] - want / math.log(10)) < 1e-3 and np.isfinite(got[1])
+    for i in range(1, len(line)):
+        begin = (i - 1) // 48 * 48 - 16
+        place = i - 1 - begin
+        inputs, real = np.zeros((1, 64), np.int64), np.zeros((1, 64), bool)
+        start = max(0, begin)
+        inputs[0, start - begin : place + 1] = group[line[start:i]]
+        real[0, start - begin : place + 1] = True
+        want += m.attention.log_probs(inputs, np.full((1, 64 - place), row[line[i - 1]]), real, np.full((1, 64 - place), group[line[i]]), place)[0, 0]
+        want += share[line[i]] + off[row[line[i - 1]], group[line[i]]]
+    assert abs(got[0] - want / math.log(10)) < 1e-2 and np.isfinite(got[1])
 
 
 def test_language_model_base(spark, documents):
@@ -171,18 +229,29 @@ def test_isotonic():
     assert (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == 1
 
 
-def test_pipeline(spark, documents):
-    secret = spark.createDataFrame([(9500, "plain words and token = 'abcdefgh12345678' here", "en", "src0", 46)], documents.schema)
-    documents = documents.union(secret)
-    docs, out = documents, {}
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, DIR)
-        out[name] = docs.cache()
-        if name != "pack":
-            assert docs.columns == documents.columns
-    ids = {name: Counter(r.doc_id for r in df.select("doc_id").collect()) for name, df in out.items()}
-    assert ids["dedup"].keys() <= ids["toxicity"].keys() and ids["secrets"] == ids["dedup"] and ids["mix"].keys() <= ids["secrets"].keys()
-    assert max(ids["mix"].values()) <= 2 and set(ids["pack"]) == set(ids["mix"])
-    before, after = ({r.doc_id: r.text for r in out[n].collect()} for n in ("dedup", "secrets"))
-    changed = [i for i in before if before[i] != after[i]]
-    assert 9500 in changed and all("[" in after[i] for i in changed)
+def test_repeated_rows_spread_over_groups(spark):
+    """A hundred thousand copies of one row, and rows without an id, are dealt like any others."""
+    copies = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("alpha beta gamma").alias("text"))
+    nameless = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    rows = packing.pack_documents(copies.union(nameless), group_tokens=1 << 13)
+    groups = rows.groupBy((F.col("sequence_id") / (1 << 32)).cast("long").alias("g")).agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).toPandas()
+    assert groups["n"].sum() >= 120_000 and len(groups) > 40 and groups["n"].max() <= 1.5 * groups["n"].mean()
+    tokens = len(packing.word_encoder(public_tokenizers.path("word_bpe_49k.json")).batch(["alpha beta gamma"])[0]) // 4 + 1
+    assert groups["tokens"].sum() == 100_000 * tokens + 20_000
+
+
+def test_odd_input_of_models(spark, documents):
+    """Columns with clashing names, a very long text, null ids, repeated rows and no rows at all."""
+    clash = ["row", "ids", "word", "c", "base", "score", "n_tokens", "src", "hash", "block", "size", "part", "g", "start", "length", "y", "id"]
+    docs = odd(spark, documents.limit(40)).union(spark.createDataFrame([(9003, "word " * 60_000 + "z" * 50_000, "en", "src1", 1)], documents.schema)).withColumns({c: F.lit("x") for c in clash})
+    labels = spark.read.parquet(f"{DIR}/labels.parquet").withColumns({c: F.lit("x") for c in ("text", "score", "y")})
+    n = docs.count()
+    scored = language_model.score_documents(docs).collect()
+    assert len(scored) == n and all(np.isfinite(r.score) and r.score < 0 for r in scored)
+    by = Counter((r.doc_id, r.n_tokens) for r in scored)
+    assert by[9002, 5001] == 2 and by[9003, 60_002] == 1 and by[None, 4] == 1
+    assert mixing.digest(docs).count() == n and toxicity.score_documents(docs, labels).count() == n
+    assert {r.doc_id for r in packing.pack_documents(docs).collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+    none, unlabelled = docs.limit(0), labels.limit(0)
+    for found in (packing.pack_documents(none), toxicity.score_documents(none, labels), toxicity.score_documents(none, unlabelled), mixing.mix_documents(none), language_model.score_documents(none)):
+        assert found.count() == 0
