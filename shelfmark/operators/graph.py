@@ -32,6 +32,9 @@ def nodes(df: DataFrame, name: str, order: str) -> DataFrame:
 def edges(node: DataFrame, features: list[str], delimiter: str = ";", least: int = 2, max_token_nodes: int | None = None, strict: bool = False) -> DataFrame:
     """(src, dst, weight, shared): pairs that share values in at least ``least`` features; weight counts features.
 
+    Where two features are asked for, nodes meet on two values of different
+    features at once, so a value that very many nodes have makes no pairs by
+    itself. That takes a row for each two values of a node; its values are few.
     Absent features are skipped; with ``strict`` they are an error.
     """
     if strict and (absent := [f for f in features if f not in node.columns]):
@@ -46,6 +49,8 @@ def edges(node: DataFrame, features: list[str], delimiter: str = ";", least: int
     if max_token_nodes is not None:
         few = token.groupBy("feature", "token").count().filter(F.col("count") <= max_token_nodes).select("feature", "token")
         token = token.join(few, ["feature", "token"], "left_semi")
+    if least >= 2:
+        return _edges_of_two(token, least)
     a = token.select("feature", "token", F.col("node_id").alias("src"), F.col("node_idx").alias("i"))
     b = token.select("feature", "token", F.col("node_id").alias("dst"), F.col("node_idx").alias("j"))
     pairs = a.join(b, ["feature", "token"]).filter("i < j")
@@ -54,6 +59,25 @@ def edges(node: DataFrame, features: list[str], delimiter: str = ";", least: int
     return per_pair.filter(F.col("weight") >= least)
 
 
+def _edges_of_two(token: DataFrame, least: int) -> DataFrame:
+    """The edges of nodes that share values in two features at least, from (node_id, node_idx, feature, token)."""
+    held = token.groupBy("node_id", "node_idx").agg(F.array_sort(F.collect_set(F.struct("feature", "token"))).alias("items"))
+
+    def with_later(x: Column, i: Column) -> Column:
+        later = F.filter(F.slice("items", i + 2, F.size("items")), lambda y: y["feature"] != x["feature"])
+        return F.transform(later, lambda y: F.xxhash64(x["feature"], x["token"], y["feature"], y["token"]))
+
+    two = held.select("node_id", "node_idx", F.explode(F.flatten(F.transform("items", with_later))).alias("two"))
+    a = two.select("two", F.col("node_id").alias("src"), F.col("node_idx").alias("i"))
+    b = two.select("two", F.col("node_id").alias("dst"), F.col("node_idx").alias("j"))
+    pairs = a.join(b, "two").filter("i < j").select("src", "dst").distinct()
+    both = pairs.join(held.select(F.col("node_id").alias("src"), F.col("items").alias("left")), "src").join(held.select(F.col("node_id").alias("dst"), F.col("items").alias("right")), "dst")
+    both = both.withColumn("same", F.array_sort(F.array_intersect("left", "right")))
+    features = F.array_distinct(F.transform("same", lambda x: x["feature"]))
+    shared = F.transform(features, lambda f: F.struct(f.alias("feature"), F.transform(F.filter("same", lambda x: x["feature"] == f), lambda x: x["token"]).alias("shared_values")))
+    return both.select("src", "dst", F.size(features).cast("int").alias("weight"), shared.alias("shared")).filter(F.col("weight") >= least)
+
+
 def degrees(node: DataFrame, edge: DataFrame) -> DataFrame:
     ends = edge.select(F.col("src").alias("node_id")).union(edge.select("dst")).groupBy("node_id").agg(F.count("*").alias("degree"))
     return node.select("node_id").join(ends, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"))
