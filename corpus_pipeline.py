@@ -33,8 +33,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secrets.redact_secrets(docs.withColumn("whole_text", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("whole_text"))
+    clean = secrets.redact_secrets(docs.withColumn("_text_before", F.xxhash64("text")))
+    changed = F.xxhash64("text") != F.col("_text_before")
     return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -60,13 +60,55 @@ def stretches(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[
     Python objects are made for one stretch at a time, so memory does not grow
     with the batch; a longer text is a stretch of its own.
     """
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     raw = texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
+    for first, rows in spans_of(texts, most):
+        yield first, [x or b"" for x in raw.slice(first, rows).to_pylist()]
+
+
+def with_text(docs: DataFrame, text_col: str, change) -> DataFrame:
+    """docs with every text replaced: ``change()``, called once a task, gives a function from a list of texts, null as None, to new ones.
+
+    Rows are worked on in stretches of a megabyte of text and the other columns
+    pass through as they are, so a task holds little beside the batch it reads;
+    what it held is given back at its end, as workers are kept for other tasks.
+    """
+    place = docs.columns.index(text_col)
+
+    def rewrite(batches):
+        new = change()
+        for batch in batches:
+            for first, rows in spans_of(batch.column(place)):
+                part = batch.slice(first, rows)
+                texts = pa.array(new(part.column(place).to_pylist()), part.schema.field(place).type)
+                yield pa.RecordBatch.from_arrays([texts if i == place else c for i, c in enumerate(part.columns)], schema=part.schema)
+        pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(rewrite, docs.schema)
+
+
+def where_texts(docs: DataFrame, text_col: str, keeps) -> DataFrame:
+    """The rows of docs whose text is kept: ``keeps()``, called once a task, gives a function from a list of texts to booleans."""
+    place = docs.columns.index(text_col)
+
+    def choose(batches):
+        kept = keeps()
+        for batch in batches:
+            for first, rows in spans_of(batch.column(place)):
+                part = batch.slice(first, rows)
+                yield part.filter(pa.array(kept(part.column(place).to_pylist()), pa.bool_()))
+        pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
+def spans_of(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of consecutive stretches of a string column with about ``most`` bytes each."""
     first = held = 0
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     for row, size in enumerate(sizes):
         if held and held + size > most:
-            yield first, [x or b"" for x in raw.slice(first, row - first).to_pylist()]
+            yield first, row - first
             first, held = row, 0
         held += size + 1
     if first < len(sizes):
-        yield first, [x or b"" for x in raw.slice(first).to_pylist()]
+        yield first, len(sizes) - first

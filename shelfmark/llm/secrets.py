@@ -26,6 +26,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import with_text
+
 #: In the order in which spans with one start are listed; the last is the token-efficiency test's.
 KINDS = ("assign", "access", "hex", "random")
 
@@ -137,12 +139,11 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", tokenizer: str | Non
     """docs with the secrets in the text replaced; other texts stay as they are. options: those of spans."""
     path = tokenizer or "byte_bpe_50k.tiktoken"
 
-    @F.pandas_udf("string")
-    def redact(texts: pd.Series) -> pd.Series:
+    def change():
         enc = encoder(public_tokenizers.path(path) if "/" not in path else path)
-        return pd.Series([redacted(t, enc, **options) for t in texts], dtype=object)
+        return lambda texts: [redacted(t, enc, **options) for t in texts]
 
-    return docs.withColumn(text_col, redact(F.col(text_col)))
+    return with_text(docs, text_col, change)
 
 
 def digest(docs: DataFrame) -> DataFrame:

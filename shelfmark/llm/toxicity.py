@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.boosting import BoostedTrees, Isotonic
+from shelfmark.llm.common import where_texts
 from shelfmark.llm.shingles import shingle_sets
 
 _WORD = re.compile(r"\w+")
@@ -181,4 +182,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows whose score reaches the threshold."""
     model = fit(docs, labels, id_col, text_col, **options)
-    return docs.filter(score_column(F.col(text_col), model) < threshold)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return where_texts(docs, text_col, lambda: lambda texts: (shared.value.score(texts) < threshold).tolist())
