@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import jaccard, language_model, licenses, mixing, neighbours, packing, pii, secrets, toxicity, vector_dedup
+from shelfmark.llm import jaccard, language_model, licenses, mixing, neighbours, packing, pii, secrets, sentence_pieces, toxicity, vector_dedup
 from shelfmark.llm.common import table
 
 
@@ -48,5 +48,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_neighbours, op4_mixing, op5_jaccard, op6_language_model, op7_licenses, op8_packing, op9_near_vectors, op10_toxicity)}
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_neighbours, op4_mixing, op5_jaccard, op6_language_model, op7_licenses, op8_packing, op9_near_vectors, op10_toxicity, op11_sentence_pieces)}
 ORACLES = {"op4_mixing": mixing.ORACLE}
