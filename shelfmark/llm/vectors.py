@@ -13,6 +13,21 @@ def takes_part(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def finite(v: Column) -> Column:
+    """Whether a vector is not null and holds finite components only; zero and empty vectors do."""
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.coalesce(v.isNotNull() & ~bad, F.lit(False))
+
+
+#: Scaled components end here on both sides, so that sums of their products fit in 64 bits: components of 65,536 and more.
+LARGEST = 1 << 24
+
+
+def scaled(v: Column) -> Column:
+    """floor(256 * x) of every component, at most LARGEST and at least -LARGEST."""
+    return F.transform(v, lambda x: F.floor(F.greatest(F.least(x.cast("double") * 256, F.lit(float(LARGEST))), F.lit(float(-LARGEST)))).cast("int"))
+
+
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v) of the vectors that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
