@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import jaccard, language_model, licenses, mixing, neighbours, packing, pii, secrets, sentence_pieces, toxicity, vector_codes, vector_dedup
+from shelfmark.llm import hard_negatives, jaccard, language_model, licenses, mixing, neighbours, packing, pii, secrets, sentence_pieces, toxicity, vector_codes, vector_dedup
 from shelfmark.llm.common import table
 
 
@@ -56,5 +56,9 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_neighbours, op4_mixing, op5_jaccard, op6_language_model, op7_licenses, op8_packing, op9_near_vectors, op10_toxicity, op11_sentence_pieces, op12_vector_codes)}
-ORACLES = {"op4_mixing": mixing.ORACLE, "op12_vector_codes": vector_codes.ORACLE}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_neighbours, op4_mixing, op5_jaccard, op6_language_model, op7_licenses, op8_packing, op9_near_vectors, op10_toxicity, op11_sentence_pieces, op12_vector_codes, op13_hard_negatives)}
+ORACLES = {"op4_mixing": mixing.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
