@@ -187,9 +187,9 @@ def negatives_of(rows: pd.DataFrame, anchors: pd.DataFrame, most: int) -> pd.Dat
 
 def met(rows: DataFrame, anchors: DataFrame, kernel, most: int, tiles: int, blocks: int) -> DataFrame:
     """The kernel's rows of each tile with each block of anchors; every row is copied for each block and every anchor for each tile."""
-    dealt = F.pmod(F.xxhash64("row"), F.lit(tiles))
+    dealt = F.pmod(F.xxhash64("row"), F.lit(tiles)).cast("int")  # both sides' keys must be of one type to meet
     left = rows.select("*", dealt.alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = anchors.select("*", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+    right = anchors.select("*", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
     key = ["d", "tile", "block"]
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
