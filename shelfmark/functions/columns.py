@@ -230,3 +230,8 @@ def section_header(line: Column) -> Column:
     for name, header in reversed(values.SECTIONS.items()):
         out = F.when(upper.contains(header), name).otherwise(out)
     return out
+
+
+def fixed(number: Column, places: int) -> Column:
+    """A number with that many decimals, rounded by its exact binary value, halves to even: 0.15 is a little less and gives 0.1."""
+    return F.replace(F.format_number(number.cast("double"), places), F.lit(","), F.lit(""))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from shelfmark.folders import written
 from shelfmark.functions import columns as C
 from shelfmark.functions import values
 from shelfmark.operators.filters import disease_terms
@@ -56,49 +60,84 @@ def search_modalities(coarse: Column, granular: Column) -> Column:
     return F.array_join(F.concat(C.split_list(coarse, ","), C.split_list(granular, ";")), ",")
 
 
-WORDS = r"[^\p{L}\p{N}]+"
+def corpus_match(docs: DataFrame, doc: str, text: str, phrases: DataFrame, ident: str, phrase: str, most_chars: int = 2_000_000) -> DataFrame:
+    """(doc, ident) where the text contains the phrase whatever its case, each pair once.
 
-
-def corpus_match(docs: DataFrame, doc: str, text: str, phrases: DataFrame, ident: str, phrase: str) -> DataFrame:
-    """(doc, ident) where the text contains the phrase whatever its case.
-
-    Candidates come from an equi-join on the phrase's longest word with the
-    texts' words (each once a text), and each is verified once. The first and
-    last word of a phrase can be part of a longer word, so a phrase of one or two
-    words takes every distinct word of the texts that holds its longest one; a
-    phrase without any word is looked for in each text.
+    Texts stay where they are: each task runs them through one automaton of all
+    phrases, in time that follows the texts and the matches and not the number of
+    phrases. ``most_chars`` bounds the phrases of an automaton; more of them are
+    dealt by hash into several, and the texts pass once for each. Null texts and
+    phrases match nothing; an empty phrase is in every text.
     """
-    low = F.lower(F.col(phrase))
-    inner = F.filter(F.split(low, WORDS), lambda w: w != "")
-    # the first and last word of a phrase can be part of a longer word of the text
-    whole = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
-    longest = lambda words: F.get(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 0)["w"]
-    wanted = phrases.select(F.col(ident).alias("ident"), low.alias("phrase"), longest(whole).alias("word"), longest(inner).alias("part"))
-    texts = docs.select(F.col(doc).alias("doc"), F.lower(F.col(text)).alias("text"))
-    words = texts.select("doc", F.explode(F.array_distinct(F.split("text", WORDS))).alias("word"))
-    short = wanted.filter("word is null and part is not null").drop("word")
-    held = words.select("word").distinct().join(short, F.col("word").contains(F.col("part"))).select("ident", "phrase", "word")
-    anchored = wanted.filter("word is not null").select("ident", "phrase", "word").union(held)
-    candidates = words.join(anchored, "word").select("doc", "ident", "phrase").distinct()
-    bare = texts.join(wanted.filter("part is null").select("ident", "phrase"), F.col("text").contains(F.col("phrase"))).select("doc", "ident")
-    found = candidates.join(texts, "doc").filter(F.col("text").contains(F.col("phrase"))).select("doc", "ident").union(bare)
+    wanted = written(phrases.select(F.col(ident).alias("ident"), F.lower(F.col(phrase)).alias("phrase")).filter("phrase is not null").distinct())
+    size = wanted.agg(F.sum(F.length("phrase") + 16)).first()[0] or 0
+    parts = max(1, -(-size // most_chars))
+    texts = docs.select(F.col(doc).alias("doc"), F.lower(F.col(text)).alias("text")).filter("text is not null")
+    some = lambda i: wanted.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == i)
+    found = reduce(DataFrame.union, [phrase_hits(texts, some(i)) for i in range(parts)])
     return found.select(F.col("doc").alias(doc), F.col("ident").alias(ident)).distinct()
 
 
+def phrase_hits(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, ident) for (doc, text) and (ident, phrase), the latter few enough to be sent to every task."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted.select("ident", "phrase").toArrow().combine_chunks())
+    shape = StructType([texts.schema["doc"], wanted.schema["ident"]])
+
+    def run(batches):
+        idents, held = sent.value.column("ident"), PhraseSet(sent.value.column("phrase").to_pylist())
+        idents = idents.chunk(0) if idents.num_chunks else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [held.rows_in(t) for t in part.column(1).to_pylist()]
+                place = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int32())
+                if len(place):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(place), idents.take(pa.array([r for rows in found for r in rows], pa.int32()))], ["doc", "ident"])
+
+    return texts.select("doc", "text").mapInArrow(run, shape)
+
+
+class PhraseSet:
+    """An automaton that finds all of many phrases in one walk through a text."""
+
+    def __init__(self, phrases: list[str]):
+        rows: dict[str, list[int]] = {}
+        for row, phrase in enumerate(phrases):
+            rows.setdefault(phrase, []).append(row)
+        self.always = rows.pop("", [])
+        self.rows = list(rows.values())
+        self.automaton = ahocorasick.Automaton()
+        for number, phrase in enumerate(rows):
+            self.automaton.add_word(phrase, number)
+        self.automaton.make_automaton()
+
+    def rows_in(self, text: str) -> list[int]:
+        """The rows of the phrases that the text contains."""
+        numbers = {number for _, number in self.automaton.iter(text)} if self.rows else ()
+        return [*self.always, *(row for number in sorted(numbers) for row in self.rows[number])]
+
+
 def corpus_search(docs: DataFrame, doc: str, text: str, day: str, studies: DataFrame, ident: str, groups: dict[str, Column], as_of: Column, years: int = 3) -> DataFrame:
     """(doc, ident) where a text passes a study's search: one phrase at least of each of its groups, and a day within the last years.
 
     ``groups``: arrays of phrases (names, diseases, modalities, ...); an empty
-    group asks for nothing, and a study without any group is left out. Each
-    distinct phrase is looked for once, whatever number of studies has it.
+    group asks for nothing, and a study without any group is left out. A phrase
+    stands for its study, its group and how many groups the study has, so what
+    the texts contain is only counted; nothing is joined with them.
     """
     parts = [studies.select(F.col(ident).alias("ident"), F.lit(name).alias("grp"), F.explode(phrases).alias("phrase")) for name, phrases in groups.items()]
-    wanted = reduce(DataFrame.union, parts).select("ident", "grp", F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct()
+    wanted = written(reduce(DataFrame.union, parts).select("ident", "grp", F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct())
     asked = wanted.groupBy("ident").agg(F.count_distinct("grp").alias("asked"))
+    keyed = wanted.join(asked, "ident").select("phrase", F.struct("ident", "grp", "asked").alias("key"))
     recent = docs.filter(F.col(day).between(F.date_sub(as_of, 365 * years), as_of)).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    hits = corpus_match(recent, "doc", "text", wanted.select("phrase").distinct().withColumn("key", F.col("phrase")), "key", "phrase")
-    found = hits.withColumnRenamed("key", "phrase").join(wanted, "phrase").groupBy("doc", "ident").agg(F.count_distinct("grp").alias("met"))
-    return found.join(asked, "ident").filter("met = asked").select(F.col("doc").alias(doc), F.col("ident").alias(ident))
+    hits = corpus_match(recent, "doc", "text", keyed, "key", "phrase").select("doc", "key.ident", "key.asked")
+    met = hits.groupBy("doc", "ident", "asked").agg(F.count("*").alias("met"))
+    return met.filter("met = asked").select(F.col("doc").alias(doc), F.col("ident").alias(ident))
+
+
+def criteria_search(version: int, docs: DataFrame, doc: str, text: str, day: str, studies: DataFrame, ident: str, name: str, abbreviation: str, diseases: str, modalities: str, as_of: Column, years: int = 3) -> DataFrame:
+    """(doc, ident) where a text meets what the search expression of version 1, 2 or 3 of a study asks for."""
+    return corpus_search(docs, doc, text, day, studies, ident, search_groups(version, *map(F.col, (name, abbreviation, diseases, modalities))), as_of, years)
 
 
 def search_groups(version: int, name: Column, abbreviation: Column, diseases: Column, modalities: Column) -> dict[str, Column]:

@@ -68,8 +68,8 @@ def graph_summary(statistics: DataFrame, degrees: DataFrame, details: DataFrame,
     """(section, row, value): the statistics, the nodes of most connections, the first edges by weight, and how many more there are."""
     line = lambda section, row, text: [F.lit(section).alias("section"), row.cast("int").alias("row"), text.alias("value")]
     figures = [
-        F.format_string("Nodes (Datasets): %d", "nodes"), F.format_string("Edges (Connections): %d", "edges"), F.format_string("Graph Density: %.4f", "density"),
-        F.format_string("Average Connections per Node: %.2f", "mean_degree"), F.format_string("Maximum Connections: %d", "max_degree"), F.format_string("Connected Components: %d", "components"),
+        F.format_string("Nodes (Datasets): %d", "nodes"), F.format_string("Edges (Connections): %d", "edges"), F.concat(F.lit("Graph Density: "), C.fixed(F.col("density"), 4)),
+        F.concat(F.lit("Average Connections per Node: "), C.fixed(F.col("mean_degree"), 2)), F.format_string("Maximum Connections: %d", "max_degree"), F.format_string("Connected Components: %d", "components"),
     ]
     stats = statistics.select(F.posexplode(F.array(*figures)).alias("row", "value")).select(*line(1, F.col("row"), F.col("value")))
     numbered = lambda df, keys, n: df.orderBy(*keys).limit(n).withColumn("row", F.row_number().over(W.orderBy(*keys)) - 1)
@@ -99,7 +99,7 @@ def wide_report(report: DataFrame, path: str) -> None:
 def text_report(report: DataFrame, title: str) -> DataFrame:
     """(section_no, row, value) lines: a banner, then each section's name and its statistics by count and name."""
     order = W.partitionBy("section_no").orderBy(F.desc("count"), "metric")
-    figure = F.when(F.col("value").isNotNull(), F.format_string("  %s: %.2f", "metric", "value")).when(F.col("pct").isNotNull(), F.format_string("  %s: %d (%.1f%%)", "metric", "count", "pct")).otherwise(F.format_string("  %s: %d", "metric", "count"))
+    figure = F.when(F.col("value").isNotNull(), F.format_string("  %s: %s", "metric", C.fixed(F.col("value"), 2))).when(F.col("pct").isNotNull(), F.format_string("  %s: %d (%s%%)", "metric", "count", C.fixed(F.col("pct"), 1))).otherwise(F.format_string("  %s: %d", "metric", "count"))
     lines = report.select("section_no", F.row_number().over(order).alias("row"), figure.alias("value"))
     heads = report.select("section_no", F.lit(0).alias("row"), F.concat(F.upper("section"), F.lit("\n" + "-" * 80)).alias("value")).distinct()
     top = report.sparkSession.createDataFrame([(-1, 0, banner(title))], "section_no int, row int, value string")
@@ -109,7 +109,7 @@ def text_report(report: DataFrame, title: str) -> DataFrame:
 def share_line(found: Column, total: Column, what: str) -> Column:
     """``Showing X of Y what (p%)``."""
     share = F.when(total > 0, found / total * 100).otherwise(0.0)
-    return F.format_string(f"Showing %d of %d {what} (%.1f%%)", found, total, share)
+    return F.format_string(f"Showing %d of %d {what} (%s%%)", found, total, C.fixed(share, 1))
 
 
 def envelope(df: DataFrame, order: str) -> DataFrame:

@@ -275,6 +275,51 @@ def corpus_search(spark, sf_dir):
     return harvest.corpus_search(docs, "doc_id", "text", "day", table(spark, sf_dir, "benchmark"), "item_id", groups, F.lit("2025-06-30").cast("date"))
 
 
+_TOPIC = "CASE doc_id % 5 WHEN 0 THEN ' Dementia care' WHEN 1 THEN ' PARKINSON' WHEN 2 THEN ' the brain' WHEN 3 THEN ' tremor' ELSE '' END"
+_COHORT = (
+    "item_id",
+    "w2 || ' ' || w3 || CASE WHEN item_id % 2 = 0 THEN ' (cohort)' ELSE '' END AS name",
+    "CASE item_id % 3 WHEN 0 THEN 'map' WHEN 1 THEN w5 ELSE '' END AS abbr",
+    "CASE WHEN item_id % 4 = 0 THEN w4 ELSE 'Dementia; ' || w4 || '; the BRAIN' END AS diseases",
+    "w6 || ', ' || w7 || ',x,y,z, ' || w8 AS modalities",
+)
+_CASES = {
+    "names1": "list_filter([name, CASE WHEN abbr <> name THEN abbr END], lambda x: x <> '')",
+    "names2": f"list_filter([trim(regexp_replace(name, '\\s*\\([^)]*\\)\\s*$', '')), CASE WHEN trim(abbr) <> name AND lower(trim(abbr)) NOT IN ({sql_list(values.NOISY_ABBREVIATIONS)}) THEN trim(abbr) END], lambda x: x <> '')",
+    "diseases": f"CASE WHEN len(list_filter(string_split(lower(diseases), '; '), lambda d: len(list_filter([{sql_list(values.DISEASE_KEYWORDS)}], lambda k: contains(d, k))) > 0)) > 0 THEN list_filter(string_split(lower(diseases), '; '), lambda d: len(list_filter([{sql_list(values.DISEASE_KEYWORDS)}], lambda k: contains(d, k))) > 0) ELSE [{sql_list(values.DISEASE_KEYWORDS[:5])}] END",
+    "modalities": "list_filter(list_transform(string_split(modalities, ','), lambda m: trim(m)), lambda m: m <> '')[1:5]",
+}
+
+
+def _criteria_sql(version):
+    asked = {1: ("names1", "diseases", "modalities"), 2: ("names2",), 3: ("names2", "diseases", "modalities")}[version]
+    words = ", ".join(f"string_split(translate(text, chr(10), ' '), ' ')[{i}] AS w{i}" for i in range(2, 9))
+    phrases = " UNION ".join(f"SELECT item_id, '{g}' AS grp, lower(unnest({_CASES[g]})) AS phrase FROM s" for g in asked)
+    return f"WITH d AS (SELECT doc_id, lower(text || {_TOPIC}) AS t, DATE '2022-01-01' + (doc_id * 7 % 1500)::INT AS day FROM documents), s AS (SELECT {', '.join(_COHORT)} FROM (SELECT item_id, {words} FROM benchmark)), p AS (SELECT * FROM ({phrases}) WHERE phrase <> ''), a AS (SELECT item_id, count(DISTINCT grp) AS asked FROM p GROUP BY 1) SELECT doc_id, p.item_id FROM d JOIN p ON contains(t, phrase) JOIN a ON a.item_id = p.item_id WHERE day BETWEEN DATE '2025-06-30' - 1095 AND DATE '2025-06-30' GROUP BY doc_id, p.item_id, asked HAVING count(DISTINCT grp) = asked"
+
+
+def _criteria(spark, sf_dir, version):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"text || {_TOPIC}").alias("text"), F.expr("date_add(DATE '2022-01-01', int(doc_id * 7 % 1500))").alias("day"))
+    words = [f"split(translate(text, chr(10), ' '), ' ')[{i - 1}] AS w{i}" for i in range(2, 9)]
+    studies = table(spark, sf_dir, "benchmark").selectExpr("item_id", *words).selectExpr(*_COHORT)
+    return harvest.criteria_search(version, docs, "doc_id", "text", "day", studies, "item_id", "name", "abbr", "diseases", "modalities", F.lit("2025-06-30").cast("date"))
+
+
+@HERE.add(_criteria_sql(1))
+def corpus_criteria_v1(spark, sf_dir):
+    return _criteria(spark, sf_dir, 1)
+
+
+@HERE.add(_criteria_sql(2))
+def corpus_criteria_v2(spark, sf_dir):
+    return _criteria(spark, sf_dir, 2)
+
+
+@HERE.add(_criteria_sql(3))
+def corpus_criteria_v3(spark, sf_dir):
+    return _criteria(spark, sf_dir, 3)
+
+
 @HERE.add("SELECT p_partkey, array_to_string(list_sort(list_distinct(['Fibrosis' || p_size, 'A1', p_brand || ' x', p_name || chr(39) || 's'])), ';') AS folded FROM part")
 def normalize_compatible(spark, sf_dir):
     text = F.concat(F.lit("\uFB01brosis"), F.col("p_size").cast("string"), F.lit("; Fibrosis"), F.col("p_size").cast("string"), F.lit("; \uFF21\uFF11;A1; "), F.col("p_brand"), F.lit("\u00A0x;"), F.col("p_name"), F.lit("\u2019s;"), F.col("p_name"), F.lit("'s"))
