@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.folders import shared_dir
+from shelfmark.folders import written
 
 
 def top_n_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -34,13 +32,11 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
 
     Rows are dealt by ranges of the order and numbered within their range; the
     ranges' sizes, one row a partition, give what stands before each. The dealt
-    rows are written to the shared folder once, so both steps see the same ranges.
+    rows are written when this is called, so both steps see the same ranges; they
+    go when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    dealt.withColumn("_within", F.row_number().over(W.partitionBy("_range").orderBy(*order))).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = written(dealt.withColumn("_within", F.row_number().over(W.partitionBy("_range").orderBy(*order))))
     sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_range", before.alias("_before"))

@@ -2,25 +2,23 @@
 
 Edges come from an equi-join on shared tokens, not from comparing all pairs; a
 token that very many nodes share makes as many pairs as it has, which is the
-result itself. ``max_token_nodes`` leaves such tokens out where the caller
-accepts fewer edges.
+result itself, and it is cut into blocks that meet as tiles, so no task holds
+it whole. ``max_token_nodes`` leaves such tokens out where the caller accepts
+fewer edges. Iterations keep their tables in the shared folder and drop each as
+soon as it is no longer read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.folders import shared_dir
+from shelfmark.folders import steps, written
 from shelfmark.functions import columns as C
 from shelfmark.functions import values
-
-
-def ready_checkpoints(df: DataFrame) -> None:
-    """Set the shared folder as the place of checkpoints where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
+from shelfmark.operators import dedup
 
 
 def nodes(df: DataFrame, name: str, order: str) -> DataFrame:
@@ -29,12 +27,14 @@ def nodes(df: DataFrame, name: str, order: str) -> DataFrame:
     return last.select(F.col(name).alias("node_id"), "node_idx", "row.*")
 
 
-def edges(node: DataFrame, features: list[str], delimiter: str = ";", least: int = 2, max_token_nodes: int | None = None, strict: bool = False) -> DataFrame:
+def edges(node: DataFrame, features: list[str], delimiter: str = ";", least: int = 2, max_token_nodes: int | None = None, strict: bool = False, block_rows: int = 4096, wide: int = 64) -> DataFrame:
     """(src, dst, weight, shared): pairs that share values in at least ``least`` features; weight counts features.
 
     Where two features are asked for, nodes meet on two values of different
     features at once, so a value that very many nodes have makes no pairs by
-    itself. That takes a row for each two values of a node; its values are few.
+    itself. That takes a row for each two values of a node; nodes of more than
+    ``wide`` values meet on single ones. ``block_rows``: a token of more nodes is
+    cut into blocks. The tokens are written once when this is called.
     Absent features are skipped; with ``strict`` they are an error.
     """
     if strict and (absent := [f for f in features if f not in node.columns]):
@@ -49,28 +49,66 @@ def edges(node: DataFrame, features: list[str], delimiter: str = ";", least: int
     if max_token_nodes is not None:
         few = token.groupBy("feature", "token").count().filter(F.col("count") <= max_token_nodes).select("feature", "token")
         token = token.join(few, ["feature", "token"], "left_semi")
+    token = written(token)
+    hot = hot_tokens(token, block_rows)
     if least >= 2:
-        return _edges_of_two(token, least)
-    a = token.select("feature", "token", F.col("node_id").alias("src"), F.col("node_idx").alias("i"))
-    b = token.select("feature", "token", F.col("node_id").alias("dst"), F.col("node_idx").alias("j"))
-    pairs = a.join(b, ["feature", "token"]).filter("i < j")
+        return _edges_of_two(token, least, hot, block_rows, wide)
+    pairs = _oriented(meeting(token, hot, block_rows))
     per_feature = pairs.groupBy("src", "dst", "feature").agg(F.array_sort(F.collect_list("token")).alias("shared_values"))
     per_pair = per_feature.groupBy("src", "dst").agg(F.count("*").cast("int").alias("weight"), F.array_sort(F.collect_list(F.struct("feature", "shared_values"))).alias("shared"))
     return per_pair.filter(F.col("weight") >= least)
 
 
-def _edges_of_two(token: DataFrame, least: int) -> DataFrame:
-    """The edges of nodes that share values in two features at least, from (node_id, node_idx, feature, token)."""
+def hot_tokens(token: DataFrame, block_rows: int) -> DataFrame:
+    """(feature, token, blocks) of the tokens that hold more than ``block_rows`` nodes and a thousandth of all rows: fewer than a thousand tokens."""
+    total = token.count()
+    counts = token.groupBy("feature", "token").agg(F.count("*").alias("n")).filter(F.col("n") > max(block_rows, total // 1000))
+    return written(counts.select("feature", "token", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
+
+
+def _dealt(token: DataFrame, hot: DataFrame) -> DataFrame:
+    """token with its number of blocks, 1 for all but hot tokens, and a node's block."""
+    with_blocks = token.join(F.broadcast(hot), ["feature", "token"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return with_blocks.withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int"))
+
+
+def meeting(token: DataFrame, hot: DataFrame, block_rows: int) -> DataFrame:
+    """(feature, token, a, i, b, j): each two nodes of a token once; the blocks of a hot token meet two by two, each two in a key of their own."""
+    dealt = _dealt(token, hot)
+    one = dealt.select("feature", "token", F.col("node_id").alias("a"), F.col("node_idx").alias("i"), F.col("block").alias("p"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("q"))
+    two = dealt.select("feature", "token", F.col("node_id").alias("b"), F.col("node_idx").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("p"), F.col("block").alias("q"))
+    return one.join(two, ["feature", "token", "p", "q"]).filter((F.col("p") < F.col("q")) & (F.col("i") != F.col("j")) | (F.col("i") < F.col("j"))).drop("p", "q")
+
+
+def _oriented(pairs: DataFrame) -> DataFrame:
+    """(src, dst, feature, token), the node of the lower place first."""
+    first = F.col("i") < F.col("j")
+    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("dst"), "feature", "token")
+
+
+def _edges_of_two(token: DataFrame, least: int, hot: DataFrame, block_rows: int, wide: int) -> DataFrame:
+    """The edges of nodes that share values in two features at least, from (node_id, node_idx, feature, token).
+
+    A node makes a row for each two of its values; one of more than ``wide``
+    values, whose rows would grow with their square, is instead met on each of its
+    values by all other nodes, and pairs of one feature go.
+    """
     held = token.groupBy("node_id", "node_idx").agg(F.array_sort(F.collect_set(F.struct("feature", "token"))).alias("items"))
+    large = written(held.filter(F.size("items") > wide).select("node_id", "node_idx", F.explode("items").alias("x")).select("node_id", "node_idx", "x.feature", "x.token"))
 
     def with_later(x: Column, i: Column) -> Column:
         later = F.filter(F.slice("items", i + 2, F.size("items")), lambda y: y["feature"] != x["feature"])
         return F.transform(later, lambda y: F.xxhash64(x["feature"], x["token"], y["feature"], y["token"]))
 
-    two = held.select("node_id", "node_idx", F.explode(F.flatten(F.transform("items", with_later))).alias("two"))
+    two = held.filter(F.size("items") <= wide).select("node_id", "node_idx", F.explode(F.flatten(F.transform("items", with_later))).alias("two"))
     a = two.select("two", F.col("node_id").alias("src"), F.col("node_idx").alias("i"))
     b = two.select("two", F.col("node_id").alias("dst"), F.col("node_idx").alias("j"))
     pairs = a.join(b, "two").filter("i < j").select("src", "dst").distinct()
+    if not large.isEmpty():
+        small = _dealt(token, hot).select("feature", "token", "block", F.col("node_id").alias("b"), F.col("node_idx").alias("j"))
+        all_blocks = _dealt(large, hot).select("feature", "token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node_id").alias("a"), F.col("node_idx").alias("i"))
+        met = _oriented(all_blocks.join(small, ["feature", "token", "block"]).filter("i <> j")).groupBy("src", "dst").agg(F.count_distinct("feature").alias("n"))
+        pairs = pairs.union(met.filter("n >= 2").select("src", "dst")).distinct()
     both = pairs.join(held.select(F.col("node_id").alias("src"), F.col("items").alias("left")), "src").join(held.select(F.col("node_id").alias("dst"), F.col("items").alias("right")), "dst")
     both = both.withColumn("same", F.array_sort(F.array_intersect("left", "right")))
     features = F.array_distinct(F.transform("same", lambda x: x["feature"]))
@@ -90,20 +128,43 @@ def min_degree(node: DataFrame, edge: DataFrame, least: int) -> tuple[DataFrame,
     return node.join(kept, "node_id", "left_semi"), inside
 
 
-def components(node: DataFrame, edge: DataFrame) -> DataFrame:
-    """(node_id, component): the smallest name reachable, by passing on minima and jumping along them."""
-    ready_checkpoints(node)
-    both = edge.select("src", "dst").union(edge.select("dst", "src")).cache()
-    label = node.select("node_id", F.col("node_id").alias("component"))
-    while True:
-        near = both.join(label.withColumnRenamed("node_id", "dst"), "dst").groupBy("src").agg(F.min("component").alias("near"))
-        step = label.join(near, label["node_id"] == near["src"], "left").select("node_id", F.least("component", F.coalesce("near", "component")).alias("low"), "component")
-        jump = step.select(F.col("node_id").alias("low"), F.col("low").alias("lower"))
-        new = step.join(jump, "low").select("node_id", F.col("lower").alias("next"), "component").checkpoint()
-        label = new.select("node_id", F.col("next").alias("component"))
-        if new.filter("next <> component").limit(1).count() == 0:
-            both.unpersist()
-            return label
+def components(node: DataFrame, edge: DataFrame, hub_rows: int = 10_000) -> DataFrame:
+    """(node_id, component): the smallest name reachable, by turning each component into a star around it.
+
+    Two steps alternate until nothing changes: the larger neighbours of every node
+    are linked to its smallest one, then its smaller neighbours and itself are. A
+    node of more than ``hub_rows`` edges and a thousandth of all, of which there
+    are fewer than two thousand, is looked up by broadcast, so no task gathers a hub's
+    edges. Runs when called; the rounds' tables are dropped.
+    """
+    with steps(node.sparkSession) as at:
+        link = at.write(edge.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
+        seen = None
+        while True:
+            state = link.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
+            if state == seen:
+                break
+            seen = state
+            both = link.union(link.select("v", "u"))
+            large = at.write(_to_smallest(at, both, hub_rows).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct())
+            low = _to_smallest(at, large, hub_rows)
+            ends = low.select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", "low"))
+            new = at.write(ends.filter("u <> v").distinct())
+            at.drop(link)
+            at.drop(large)
+            link = new
+        root = written(link.groupBy("u").agg(F.min("v").alias("component")))
+    named = node.select("node_id").join(root, node["node_id"] == root["u"], "left")
+    return named.select("node_id", F.coalesce("component", "node_id").alias("component"))
+
+
+def _to_smallest(at, link: DataFrame, hub_rows: int) -> DataFrame:
+    """(u, v, low): each link with the smallest of u and all v that u is linked to."""
+    low = at.write(link.groupBy("u").agg(F.count("*").alias("n"), F.least("u", F.min("v")).alias("low")))
+    limit = max(hub_rows, (low.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hubs = F.broadcast(low.filter(F.col("n") > limit).drop("n"))
+    rest = low.filter(F.col("n") <= limit).drop("n")
+    return link.join(hubs, "u").unionByName(link.join(hubs.select("u"), "u", "left_anti").join(rest, "u"))
 
 
 def statistics(node: DataFrame, edge: DataFrame) -> DataFrame:
@@ -155,35 +216,93 @@ def node_attributes(node: DataFrame, edge: DataFrame, note: str) -> DataFrame:
     return sized.join(node.select("node_id", C.grade(F.col(note)).alias("colour")), "node_id")
 
 
-def betweenness(node: DataFrame, edge: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(node_id, centrality) of the undirected graph, normalised, by level-synchronous searches from all sources at once.
+def pivots_for(nodes: int, error: float, confidence: float) -> int:
+    """How many sources of a random sample keep every node's centrality within ``error``, with that confidence.
 
-    Work grows with sources times edges; ``sources`` takes a sample of the nodes for large graphs.
+    A source lends a node a share between 0 and 1 of its pairs, so by Hoeffding's
+    bound, over all nodes, ln(2 nodes / (1 - confidence)) / (2 error^2) suffice.
+    """
+    return min(nodes, math.ceil(math.log(2 * max(1, nodes) / (1 - confidence)) / (2 * error**2)))
+
+
+def betweenness(node: DataFrame, edge: DataFrame, sources: DataFrame | None = None, exact_nodes: int = 2_000, error: float = 0.05, confidence: float = 0.9, state_rows: int = 50_000_000) -> DataFrame:
+    """(node_id, centrality) of the undirected graph, normalised, by level-synchronous searches from many sources at once.
+
+    Exact up to ``exact_nodes`` nodes; beyond, from ``pivots_for`` sources, taken
+    by a hash of their names and scaled up, so that every node is within ``error``
+    with that confidence; an ``error`` of 0 asks for all sources. ``sources`` takes
+    others. Sources go in batches, of which each holds about ``state_rows`` rows;
+    a level is compared with the two before it alone, and is written once on the
+    way out and once on the way back. Runs when called; what a batch wrote is dropped.
+    """
+    n = node.count()
+    if sources is not None:
+        start = sources.select(F.col("node_id").alias("s"))
+    else:
+        k = n if n <= exact_nodes or error <= 0 else pivots_for(n, error, confidence)
+        names = node.select(F.col("node_id").alias("s"))
+        start = names if k == n else names.orderBy(F.xxhash64("s"), "s").limit(k)
+    start = written(start)
+    count = max(1, start.count())
+    batches = -(-count * max(1, n) // state_rows)
+    both = written(edge.select(F.col("src").alias("v"), F.col("dst").alias("w")).union(edge.select("dst", "src")))
+    owed = [_owed_of(start.filter(F.pmod(F.xxhash64("s", F.lit(1)), F.lit(batches)) == i), both) for i in range(batches)]
+    total = owed[0]
+    for part in owed[1:]:
+        total = total.union(part)
+    total = total.groupBy("v").agg(F.sum("owed").alias("owed"))
+    scale = n / count / ((n - 1) * (n - 2) if n > 2 else 1)
+    joined = node.select("node_id").join(total, node["node_id"] == total["v"], "left")
+    return joined.select("node_id", (F.coalesce("owed", F.lit(0.0)) * scale).alias("centrality"))
+
+
+def _owed_of(start: DataFrame, both: DataFrame) -> DataFrame:
+    """(v, owed): what the shortest paths from these sources owe to each node, written."""
+    with steps(start.sparkSession) as at:
+        levels = [at.write(start.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")))]
+        while True:
+            reached = levels[-1].join(both, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
+            before = levels[-1].select("s", "v")
+            if len(levels) > 1:  # a neighbour of a level is in it, the one before or the next
+                before = before.union(levels[-2].select("s", "v"))
+            new = at.write(reached.join(before, ["s", "v"], "left_anti"))
+            if new.isEmpty():
+                break
+            levels.append(new)
+        here = levels[-1].withColumn("owed", F.lit(0.0))
+        sums = [here.select("v", "owed").limit(0)]
+        for above in levels[-2::-1]:
+            sums.append(here.groupBy("v").agg(F.sum("owed").alias("owed")))
+            if above is levels[0]:
+                break
+            unit = here.select("s", F.col("v").alias("w"), ((1 + F.col("owed")) / F.col("paths")).alias("unit"))
+            gained = unit.join(both, "w").groupBy("s", "v").agg(F.sum("unit").alias("unit"))
+            here = at.write(above.join(gained, ["s", "v"], "left").select("s", "v", "paths", (F.coalesce("unit", F.lit(0.0)) * F.col("paths")).alias("owed")))
+        total = sums[0]
+        for part in sums[1:]:
+            total = total.union(part)
+        return written(total.groupBy("v").agg(F.sum("owed").alias("owed")))
+
+
+def adjacency_blocks(node: DataFrame, edge: DataFrame, order: str = "node_idx", side: int = 1024) -> DataFrame:
+    """(row_block, col_block, rows, cols, weights): the symmetric matrix in blocks of ``side`` rows and columns, for any number of nodes.
+
+    Rows and columns are the places of the nodes in the order, from 0; a block
+    lists the entries that are not 0 by row, then column, as places within it, and
+    blocks without any are left out. ``numbered_nodes`` gives each place's node.
     """
-    ready_checkpoints(node)
-    both = edge.select(F.col("src").alias("v"), F.col("dst").alias("w")).union(edge.select("dst", "src")).cache()
-    start = (sources if sources is not None else node).select(F.col("node_id").alias("s"))
-    seen = start.select("s", F.col("s").alias("v"), F.lit(0).alias("level"), F.lit(1.0).alias("paths"))
-    level = 0
-    while True:
-        last = seen.filter(F.col("level") == level)
-        reached = last.join(both, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
-        new = reached.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(level + 1).alias("level"), "paths").checkpoint()
-        if new.limit(1).count() == 0:
-            break
-        seen = seen.union(new).checkpoint()
-        level += 1
-    share = seen.select("s", "v", "level", "paths", F.lit(0.0).alias("owed"))
-    for at in range(level, 0, -1):
-        here = share.filter(F.col("level") == at).select("s", F.col("v").alias("w"), ((1 + F.col("owed")) / F.col("paths")).alias("unit"))
-        above = share.filter(F.col("level") == at - 1)
-        gained = here.join(both, "w").join(above.select("s", "v", "paths"), ["s", "v"]).groupBy("s", "v").agg(F.sum(F.col("unit") * F.col("paths")).alias("gain"))
-        share = share.join(gained, ["s", "v"], "left").select("s", "v", "level", "paths", (F.col("owed") + F.when(F.col("level") == at - 1, F.coalesce("gain", F.lit(0.0))).otherwise(0.0)).alias("owed")).checkpoint()
-    both.unpersist()
-    total = share.filter("s <> v").groupBy(F.col("v").alias("node_id")).agg(F.sum("owed").alias("owed"))
-    count = node.agg(F.count("*").alias("n"))
-    scale = F.when(F.col("n") > 2, (F.col("n") - 1) * (F.col("n") - 2)).otherwise(1)
-    return node.select("node_id").join(total, "node_id", "left").crossJoin(F.broadcast(count)).select("node_id", (F.coalesce("owed", F.lit(0.0)) / scale).alias("centrality"))
+    place = numbered_nodes(node, order)
+    ends = adjacency(node, edge).join(place.select(F.col("node_id").alias("row"), F.col("place").alias("r")), "row").join(place.select(F.col("node_id").alias("col"), F.col("place").alias("c")), "col")
+    block = lambda x: F.floor(F.col(x) / side).cast("long")
+    entry = F.struct((F.col("r") % side).cast("int").alias("r"), (F.col("c") % side).cast("int").alias("c"), F.col("weight").cast("long").alias("w"))
+    grouped = ends.groupBy(block("r").alias("row_block"), block("c").alias("col_block")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return grouped.select("row_block", "col_block", F.col("entries.r").alias("rows"), F.col("entries.c").alias("cols"), F.col("entries.w").alias("weights"))
+
+
+def numbered_nodes(node: DataFrame, order: str = "node_idx") -> DataFrame:
+    """(node_id, place): each node's place in the order, from 0, written."""
+    found = dedup.numbered(node.select("node_id", order), [F.col(order), F.col("node_id")])
+    return found.select("node_id", (F.col("place") - 1).alias("place"))
 
 
 def adjacency_matrix(node: DataFrame, edge: DataFrame, most: int = 1_000) -> DataFrame:

@@ -110,6 +110,21 @@ def graph_betweenness(spark, sf_dir):
     return graph.betweenness(*_graph(spark, sf_dir)).withColumn("centrality", F.round("centrality", 6))
 
 
+@HERE.add(_edges_sql(1))
+def graph_edges_any(spark, sf_dir):
+    return graph.edge_details(_graph(spark, sf_dir, 1)[1])
+
+
+_PLACES = f"SELECT node_id, row_number() OVER (ORDER BY node_idx, node_id) - 1 AS place FROM ({_NODES})"
+
+
+@HERE.add(f"SELECT a.place // 16 AS row_block, b.place // 16 AS col_block, string_agg(a.place % 16 || ',' || b.place % 16 || ',' || weight, ';' ORDER BY a.place, b.place) AS entries FROM (SELECT src, dst, weight FROM ({_EDGES}) UNION ALL SELECT dst, src, weight FROM ({_EDGES})) JOIN ({_PLACES}) a ON src = a.node_id JOIN ({_PLACES}) b ON dst = b.node_id GROUP BY ALL")
+def graph_adjacency_blocks(spark, sf_dir):
+    blocks = graph.adjacency_blocks(*_graph(spark, sf_dir), side=16)
+    entries = F.transform(F.arrays_zip("rows", "cols", "weights"), lambda e: F.concat_ws(",", e["rows"].cast("string"), e["cols"].cast("string"), e["weights"].cast("string")))
+    return blocks.select("row_block", "col_block", F.array_join(entries, ";").alias("entries"))
+
+
 _SUMMARY = f"""
 WITH s AS ({_STATS}), e AS MATERIALIZED ({_EDGES}), d AS ({_DEGREES}),
 f AS (SELECT unnest(range(6)) AS "row", unnest(['Nodes (Datasets): ' || nodes, 'Edges (Connections): ' || edges, 'Graph Density: ' || format('{{:.4f}}', density), 'Average Connections per Node: ' || format('{{:.2f}}', mean_degree), 'Maximum Connections: ' || max_degree, 'Connected Components: ' || components]) AS value FROM s)

@@ -1,11 +1,15 @@
 """Operators that have to hold at size, against brute force on rows that strain them."""
 
+import itertools
+import math
 import random
+from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import columns as C
-from shelfmark.operators import harvest
+from shelfmark.operators import graph, harvest
 
 
 def plan(df):
@@ -43,3 +47,116 @@ def test_phrases_of_a_size(spark):
     found = harvest.corpus_match(docs, "doc", "text", items, "ident", "phrase", 50_000)
     assert sorted(map(tuple, found.collect())) == [(i, i) for i in range(2000)]
     assert "Join" not in plan(found)
+
+
+def graph_of(spark, pairs, nodes):
+    node = spark.createDataFrame([(f"n{i:06d}", i) for i in nodes], "node_id string, node_idx long")
+    edge = spark.createDataFrame([(f"n{a:06d}", f"n{b:06d}", 1) for a, b in pairs], "src string, dst string, weight int")
+    return node, edge
+
+
+def roots(pairs, nodes):
+    parent = {i: i for i in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    return {i: root(i) for i in nodes}
+
+
+@pytest.mark.parametrize("hub_rows", [5, 10_000])
+def test_components_of_hubs_paths_and_rings(spark, hub_rows):
+    random.seed(3)
+    pairs = [(900, i) for i in range(300)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2001), (2001, 2002), (2002, 2000), (2000, 2000)]
+    pairs += [(random.randint(3000, 3400), random.randint(3000, 3400)) for _ in range(180)] + [(17, 900), (900, 17)]
+    nodes = sorted({x for p in pairs for x in p} | {5000})
+    want = {f"n{i:06d}": f"n{r:06d}" for i, r in roots(pairs, nodes).items()}
+    assert {r.node_id: r.component for r in graph.components(*graph_of(spark, pairs, nodes), hub_rows).collect()} == want
+    alone = graph.components(*graph_of(spark, [(1, 1)], [1, 2])).collect()
+    assert sorted((r.node_id, r.component) for r in alone) == [("n000001", "n000001"), ("n000002", "n000002")]
+
+
+def test_a_hub_is_in_no_key(spark):
+    """A star whose centre has the largest name: its edges are looked up by broadcast, and the result is one component."""
+    pairs = [(99_999, i) for i in range(20_000)]
+    node, edge = graph_of(spark, pairs, [*range(20_000), 99_999])
+    found = graph.components(node, edge, 1000)
+    assert found.select("component").distinct().count() == 1 and found.count() == 20_001
+
+
+def paths_by_hand(pairs, nodes, sources=None):
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    total = dict.fromkeys(nodes, 0.0)
+    for s in sources or nodes:
+        level, paths, order, at = {s: 0}, {s: 1.0}, [s], 0
+        while at < len(order):
+            v = order[at]
+            at += 1
+            for w in near[v]:
+                if w not in level:
+                    level[w], paths[w] = level[v] + 1, 0.0
+                    order.append(w)
+                if level[w] == level[v] + 1:
+                    paths[w] += paths[v]
+        owed = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if level[v] == level[w] - 1:
+                    owed[v] += paths[v] / paths[w] * (1 + owed[w])
+            if w != s:
+                total[w] += owed[w]
+    n = len(nodes)
+    return {v: x * n / len(sources or nodes) / ((n - 1) * (n - 2)) for v, x in total.items()}
+
+
+def test_betweenness_exact_in_batches_and_sampled_within_its_error(spark):
+    random.seed(4)
+    nodes = list(range(120))
+    pairs = sorted({tuple(sorted(random.sample(nodes, 2))) for _ in range(150)} | {(0, i) for i in range(1, 40)})
+    want = paths_by_hand(pairs, nodes)
+    node, edge = graph_of(spark, pairs, nodes)
+    for options in ({}, {"state_rows": 5000}):
+        got = {int(r.node_id[1:]): r.centrality for r in graph.betweenness(node, edge, **options).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[v], want[v], abs_tol=1e-9) for v in nodes)
+    assert graph.pivots_for(120, 0.2, 0.9) < 120
+    sampled = {int(r.node_id[1:]): r.centrality for r in graph.betweenness(node, edge, exact_nodes=50, error=0.2).collect()}
+    errors = [abs(sampled[v] - want[v]) for v in nodes]
+    assert 0 < max(errors) <= 0.2, max(errors)
+    some = [3, 5, 9]
+    chosen = {int(r.node_id[1:]): r.centrality for r in graph.betweenness(node, edge, node.filter("node_idx in (3, 5, 9)")).collect()}
+    by_hand = paths_by_hand(pairs, nodes, some)
+    assert all(math.isclose(chosen[v], by_hand[v], abs_tol=1e-9) for v in nodes)
+
+
+def test_edges_of_hot_tokens_and_wide_nodes(spark):
+    random.seed(5)
+    rows = [(f"n{i:03d}", i, ";".join({"hot", *(f"a{random.randint(0, 30)}" for _ in range(random.randint(0, 9)))}), f"b{random.randint(0, 12)}; warm" if i % 2 else f"b{random.randint(0, 12)}") for i in range(90)]
+    node = spark.createDataFrame(rows, "node_id string, node_idx long, f string, g string")
+    tokens = {r[0]: {(k, t.strip()) for k, text in (("f", r[2]), ("g", r[3])) for t in text.split(";")} for r in rows}
+    for least in (1, 2):
+        want = {}
+        for a, b in itertools.combinations(sorted(tokens), 2):
+            same = sorted(tokens[a] & tokens[b])
+            if len({k for k, _ in same}) >= least:
+                want[a, b] = same
+        for options in ({}, {"block_rows": 7, "wide": 4}):
+            got = {(r.src, r.dst): sorted((x.feature, t) for x in r.shared for t in x.shared_values) for r in graph.edges(node, ["f", "g"], ";", least, **options).collect()}
+            assert got == want
+
+
+def test_matrix_in_blocks(spark):
+    random.seed(6)
+    nodes = list(range(50))
+    pairs = sorted({tuple(sorted(random.sample(nodes, 2))) for _ in range(80)})
+    node, edge = graph_of(spark, pairs, nodes)
+    for side in (1, 7, 1024):
+        got = [(r.row_block * side + i, r.col_block * side + j, w) for r in graph.adjacency_blocks(node, edge, side=side).collect() for i, j, w in zip(r.rows, r.cols, r.weights)]
+        assert sorted(got) == sorted([(a, b, 1) for a, b in pairs] + [(b, a, 1) for a, b in pairs])
