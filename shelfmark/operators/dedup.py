@@ -53,6 +53,28 @@ def carry_forward(df: DataFrame, value: str, keys: list[str], order: str) -> Col
     return F.last(value, ignorenulls=True).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
 
 
+def carried(df: DataFrame, value: str, order: list[str], keys: list[str] | None = None, name: str = "carried") -> DataFrame:
+    """df with the last value up to each row that is not null, within equal keys or over all rows, as a segmented prefix scan.
+
+    Rows are dealt by ranges of keys and order, so neither a long key nor a table
+    without keys is one task's. Each range is scanned by itself; what it leaves to
+    later ranges is one row, its last value with the key that has it, and reaches
+    the rows of that key at the start of the next range that needs it. The dealt
+    rows are written when this is called and go when the driver ends.
+    """
+    keys = keys or []
+    key = F.struct(F.lit(0).alias("_0"), *keys)
+    dealt = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    rows = written(dealt)
+    left = F.max(F.when(F.col(value).isNotNull(), F.struct(key.alias("key"), F.struct(*order).alias("at"), F.col(value).alias("value"))))
+    ends = rows.groupBy("_range").agg(F.min(key).alias("_first"), left.alias("_left"))
+    before = F.last("_left", ignorenulls=True).over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))  # a row a range
+    brought = ends.select("_range", "_first", before.alias("_before")).filter(F.col("_before.key") == F.col("_first")).select("_range", "_first", F.col("_before.value").alias("_brought"))
+    within = F.last(value, ignorenulls=True).over(W.partitionBy("_range", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    scanned = rows.withColumn("_within", within).join(F.broadcast(brought), "_range", "left")
+    return scanned.select(*df.columns, F.coalesce("_within", F.when(key == F.col("_first"), F.col("_brought"))).alias(name))
+
+
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, order: str, default: str = "") -> DataFrame:
     """df with the value that the last row of its key has in a lookup table."""
     last = table.groupBy(key).agg(F.max_by(value, order).alias(value))

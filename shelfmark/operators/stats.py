@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmark.folders import steps, written
 from shelfmark.functions import columns as C
 
 
@@ -46,12 +47,92 @@ def word_frequencies(df: DataFrame, doc: str, text: str, stopwords: list[str], l
 def numeric_summary(df: DataFrame, number: Column, accuracy: int | None = None) -> DataFrame:
     """n, mean, median, least, largest and population deviation.
 
-    The exact median holds every distinct value in one buffer; ``accuracy`` asks
-    for an approximate one (within a share of 1 / accuracy of the rows) in bounded memory.
+    The exact median comes from ``quantiles``, which runs when this is called;
+    ``accuracy`` asks for an approximate one instead, within a share of
+    1 / accuracy of the rows, in one pass.
     """
     x = df.select(number.alias("x")).filter("x is not null")
-    median = F.percentile("x", F.lit(0.5)) if accuracy is None else F.percentile_approx("x", F.lit(0.5), F.lit(accuracy))
-    return x.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), median.alias("median"), F.min("x").alias("min"), F.max("x").alias("max"), F.stddev_pop("x").alias("std"))
+    rest = [F.count("x").alias("n"), F.avg("x").alias("mean")], [F.min("x").alias("min"), F.max("x").alias("max"), F.stddev_pop("x").alias("std")]
+    if accuracy is not None:
+        return x.agg(*rest[0], F.percentile_approx("x", F.lit(0.5), F.lit(accuracy)).alias("median"), *rest[1])
+    median = quantiles(x, F.col("x"), [0.5]).select(F.get("quantiles", 0).alias("median"))
+    return x.agg(*rest[0], *rest[1]).crossJoin(F.broadcast(median)).select("n", "mean", "median", "min", "max", "std")
+
+
+def quantiles(df: DataFrame, value: Column, probabilities: list[float], by: list[str] | None = None, small: int = 100_000, bins: int = 1024, accuracy: int = 10_000) -> DataFrame:
+    """(by..., quantiles): exact quantiles of each group, interpolated between neighbours, NaN above all numbers, null left out.
+
+    A sketch says where each lies. Rows are counted in bins between the two values
+    it names, and below and above; the bin that holds the wanted rank gives the
+    next two values, until two neighbours or one value are left, or at most
+    ``small`` rows, which are then sorted. Nothing holds all distinct values, and
+    a bad sketch costs rounds and not the result. Runs when called; a table of at
+    most ``small`` rows takes one pass.
+    """
+    by = by or []
+    x = df.select(*by, value.cast("double").alias("_x")).filter("_x is not null")
+    if x.count() <= small:
+        return x.groupBy(*by).agg(F.percentile("_x", F.array(*map(F.lit, probabilities))).alias("quantiles"))
+    ends = [end for p in probabilities for end in (max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy))]
+    known = x.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("_x", F.array(*map(F.lit, ends)), F.lit(accuracy)).alias("ends"))
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(float(p)).alias("p"), F.get("ends", 2 * i).alias("low"), F.get("ends", 2 * i + 1).alias("high")) for i, p in enumerate(probabilities)]))
+    place = F.col("p") * (F.col("n") - 1)
+    state = known.withColumn("q", asked).select(*by, "n", "q.*").withColumns({"place": place, "first": F.floor(place), "last": F.ceil(place), "below": F.lit(0).cast("long"), "a": F.lit(None).cast("double"), "b": F.lit(None).cast("double"), "inside": F.col("n")})
+    with steps(df.sparkSession) as at:
+        state = at.write(state)
+        whole = True
+        while True:
+            state = at.write(_narrowed(x, state, by, bins, whole, small))
+            whole = False
+            if state.filter((F.col("inside") > small) & F.col("a").isNull()).isEmpty():
+                break
+        left = _with_state(x, state.filter("a is null"), by).filter("_x between low and high").groupBy(*by, "t").agg(F.array_sort(F.collect_list("_x")).alias("sorted"))
+        joined = state.join(left, [*by, "t"], "left") if not by else state.join(left.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("t").alias("_t"), "sorted"), _same(by) & (F.col("t") == F.col("_t")), "left")
+        at_rank = lambda r: F.get("sorted", (F.col(r) - F.col("below")).cast("int"))
+        a, b = F.coalesce("a", at_rank("first")), F.coalesce("b", at_rank("last"))
+        exact = F.when(F.col("first") == F.col("last"), a).otherwise((F.col("last") - F.col("place")) * a + (F.col("place") - F.col("first")) * b)
+        found = joined.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", exact.alias("v")))).alias("q"))
+        return written(found.select(*by, F.col("q.v").alias("quantiles")))
+
+
+def _same(by: list[str]) -> Column:
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return on
+
+
+def _with_state(x: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+    """x with each of the states of its group."""
+    if not by:
+        return x.crossJoin(F.broadcast(state))  # a row a quantile
+    return x.join(state.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in state.columns if c not in by]), _same(by))
+
+
+def _narrowed(x: DataFrame, state: DataFrame, by: list[str], bins: int, whole: bool, small: int) -> DataFrame:
+    """The states after counting rows in bins between low and high; with ``whole`` also what is below and above."""
+    open_states = state.filter("a is null") if whole else state.filter((F.col("inside") > small) & F.col("a").isNull())
+    largest = 1.7e308
+    low, high = F.greatest("low", F.lit(-largest)) / 2, F.least("high", F.lit(largest)) / 2
+    inner = F.least(F.floor((F.col("_x") / 2 - low) / (high - low) * bins), F.lit(bins - 1))
+    bin_of = F.when(F.col("_x") < F.col("low"), -1).when(F.col("_x") > F.col("high"), bins).when(F.col("_x") == F.col("low"), 0).when(F.col("_x") == F.col("high"), bins - 1).otherwise(F.greatest(inner, F.lit(0)))
+    rows = _with_state(x, open_states, by)
+    rows = rows if whole else rows.filter("_x between low and high")
+    counted = rows.groupBy(*by, "t", bin_of.cast("int").alias("bin")).agg(F.count("*").alias("m"), F.min("_x").alias("least"), F.max("_x").alias("most"), F.first("first").alias("first"), F.first("last").alias("last"), F.first("below").alias("below"))
+    before = F.coalesce(F.sum("m").over(W.partitionBy(*by, "t").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    here = counted.withColumn("before", before)
+    holds = lambda r: (F.col("before") <= F.col(r) - F.col("below")) & (F.col(r) - F.col("below") < F.col("before") + F.col("m"))
+    of = lambda c, r: F.max(F.when(holds(r), F.col(c)))
+    ends = here.groupBy(*by, "t").agg(of("least", "first").alias("_low"), of("most", "last").alias("_high"), of("most", "first").alias("_a"), of("least", "last").alias("_b"), of("before", "first").alias("_before"), of("bin", "first").alias("_bin"), of("bin", "last").alias("_bin2"), of("before", "last").alias("_before2"), of("m", "last").alias("_m2"))
+    named = ends.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("t").alias("_t"), *[c for c in ends.columns if c.startswith("_")])
+    joined = state.join(named, _same(by) & (F.col("t") == F.col("_t")), "left")
+    apart, one = F.col("_bin") != F.col("_bin2"), F.col("_low") == F.col("_high")
+    was = F.col("_bin").isNull()
+    pick = lambda new, old: F.when(was, F.col(old)).otherwise(new).alias(old)
+    return joined.select(
+        *by, "n", "t", "p", pick(F.col("_low"), "low"), pick(F.col("_high"), "high"), "place", "first", "last", pick(F.col("below") + F.col("_before"), "below"),
+        pick(F.when(apart, F.col("_a")).when(one, F.col("_low")), "a"), pick(F.when(apart, F.col("_b")).when(one, F.col("_low")), "b"), pick(F.col("_before2") + F.col("_m2") - F.col("_before"), "inside"),
+    )
 
 
 def histogram(df: DataFrame, number: Column, edges: list[float]) -> DataFrame:
@@ -79,8 +160,10 @@ def pivot_counts(df: DataFrame, row: Column, label: Column, labels: list[str]) -
 
 def method_metrics(df: DataFrame, method: str, study: str, ident: str) -> DataFrame:
     """Per method: records, unique ids, their share, studies hit, most and median records a study."""
-    per_study = df.groupBy(method, study).agg(F.count("*").alias("n"))
-    studies = per_study.groupBy(method).agg(F.count("*").alias("studies"), F.max("n").alias("most"), F.percentile("n", F.lit(0.5)).alias("median"), F.sum("n").alias("records"))
+    per_study = written(df.groupBy(method, study).agg(F.count("*").alias("n")))
+    median = quantiles(per_study, F.col("n"), [0.5], [method]).select(F.col(method).alias("_method"), F.get("quantiles", 0).alias("median"))
+    studies = per_study.groupBy(method).agg(F.count("*").alias("studies"), F.max("n").alias("most"), F.sum("n").alias("records"))
+    studies = studies.join(median, F.col(method).eqNullSafe(F.col("_method"))).drop("_method")
     unique = df.groupBy(method, ident).agg(F.lit(1).alias("one")).groupBy(method).agg(F.count("*").alias("unique_ids"))
     return studies.join(unique, method).withColumn("unique_pct", F.col("unique_ids") / F.col("records") * 100)
 
@@ -102,7 +185,8 @@ def divergence(a: DataFrame, b: DataFrame, key: str, quantile: float = 0.85) ->
     """Two count tables side by side: winner, difference, and whether it is among the largest or one-sided."""
     both = a.withColumnRenamed("n", "a").join(b.withColumnRenamed("n", "b"), key, "full_outer").na.fill(0, ["a", "b"])
     both = both.withColumn("diff", F.abs(F.col("a") - F.col("b"))).withColumn("winner", F.when(F.col("a") > F.col("b"), "a").when(F.col("a") < F.col("b"), "b").otherwise("tie"))
-    cutoff = both.agg(F.percentile(F.when(F.col("diff") > 0, F.col("diff")), F.lit(quantile)).alias("cutoff"))
+    both = written(both)
+    cutoff = quantiles(both, F.when(F.col("diff") > 0, F.col("diff")), [quantile]).select(F.get("quantiles", 0).alias("cutoff"))
     return both.crossJoin(F.broadcast(cutoff)).select(key, "a", "b", "diff", "winner", (F.col("diff") >= F.col("cutoff")).alias("top"), ((F.col("a") == 0) | (F.col("b") == 0)).alias("one_sided"))
 
 

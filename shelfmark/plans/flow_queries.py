@@ -168,10 +168,21 @@ _LINES = "SELECT user_id || '' AS file, event_id AS n, CASE WHEN event_type = 's
 _SKIPS = f"WITH l AS ({_LINES}), s AS (SELECT *, last_value(CASE WHEN line LIKE '[1/2]%' THEN regexp_extract(line, 'related to (.+?) \\((.+?)\\)\\.\\.\\.', ['study', 'abbreviation']) END IGNORE NULLS) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS found FROM l), k AS (SELECT *, regexp_extract(line, 'Skipping (https://github\\.com/\\S+) - insufficient content', 1) AS url FROM s) SELECT url, arg_max(found.study, struct_pack(f := file, n := n)) AS study, arg_max(found.abbreviation, struct_pack(f := file, n := n)) AS abbreviation FROM k WHERE url <> '' AND found IS NOT NULL GROUP BY url"
 
 
+_LOG_LINE = "CASE WHEN event_type = 'signup' THEN '[1/2] Searching GitHub for repositories related to Study ' || user_id || ' (S' || user_id || ')...' WHEN event_id % 11 = 0 THEN '  Skipping https://github.com/g/' || event_id % 500 || ' - no licence' WHEN event_id % 11 = 1 THEN '  Skipping https://example.org/g/1 - insufficient content' ELSE '  Skipping https://github.com/g/' || event_id % 500 || ' - insufficient content' END AS line"
+
+
+def _log_lines(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr("string(user_id) AS file", "event_id AS n", _LOG_LINE)
+
+
 @HERE.add(_SKIPS)
 def log_carry_forward(spark, sf_dir):
-    line = "CASE WHEN event_type = 'signup' THEN '[1/2] Searching GitHub for repositories related to Study ' || user_id || ' (S' || user_id || ')...' WHEN event_id % 11 = 0 THEN '  Skipping https://github.com/g/' || event_id % 500 || ' - no licence' WHEN event_id % 11 = 1 THEN '  Skipping https://example.org/g/1 - insufficient content' ELSE '  Skipping https://github.com/g/' || event_id % 500 || ' - insufficient content' END AS line"
-    return S.skipped_urls(table(spark, sf_dir, "events").selectExpr("string(user_id) AS file", "event_id AS n", line))
+    return S.skipped_urls(_log_lines(spark, sf_dir))
+
+
+@HERE.add(_SKIPS.replace("PARTITION BY file ORDER BY n", "ORDER BY file, n"))
+def log_carry_across(spark, sf_dir):
+    return S.skipped_urls(_log_lines(spark, sf_dir), across=True)
 
 
 @HERE.add("SELECT conv_id || '_' || turn AS key, 'YES a: b' AS biomedical_relevance, 's' || turn AS summary, 'MRI' AS data_types, 'Python ' || conv_id AS tools FROM conversations")

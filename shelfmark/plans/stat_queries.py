@@ -258,3 +258,27 @@ def first_n_joined(spark, sf_dir):
 def carry_forward(spark, sf_dir):
     marked = table(spark, sf_dir, "events").withColumn("mark", F.when(F.col("event_type") == "signup", F.col("props")))
     return marked.select("event_id", dedup.carry_forward(marked, "mark", ["user_id"], "event_id").alias("current"))
+
+
+@HERE.add("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN props END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current FROM events")
+def carry_over_all(spark, sf_dir):
+    marked = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "signup", F.col("props")).alias("mark"))
+    return dedup.carried(marked, "mark", ["event_id"], name="current").select("event_id", "current")
+
+
+@HERE.add("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current FROM events")
+def carry_by_ranges(spark, sf_dir):
+    marked = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_type") == "signup", F.col("props")).alias("mark"))
+    return dedup.carried(marked, "mark", ["event_id"], ["user_id"], "current").select("event_id", "current")
+
+
+_QUANTILES = "round(quantile_cont(l_extendedprice::DOUBLE, 0.5), 6) AS median, round(quantile_cont(l_extendedprice::DOUBLE, 0.85), 6) AS high"
+
+
+@HERE.add(f"SELECT 'all' AS flag, {_QUANTILES} FROM lineitem UNION ALL SELECT l_returnflag, {_QUANTILES} FROM lineitem GROUP BY 1")
+def exact_quantiles(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    price = F.col("l_extendedprice")
+    found = [stats.quantiles(lines.withColumn("flag", flag), price, [0.5, 0.85], ["flag"], small=500, accuracy=200) for flag in (F.lit("all"), F.col("l_returnflag"))]
+    at = lambda i: F.round(F.get("quantiles", i), 6)
+    return found[0].union(found[1]).select("flag", at(0).alias("median"), at(1).alias("high"))

@@ -113,21 +113,28 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, line) of text files; n orders a file's lines. Large files are split, so no file is one row or one task."""
+    order = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), order.alias("n"), F.col("value").alias("line"))
+
+
 def mine_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(url, study, abbreviation) of every skipped repository; its last mention counts."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    return skipped_urls(lines)
+    """(url, study, abbreviation) of every skipped repository in all logs; its last mention counts, and a study holds on into the next file."""
+    return skipped_urls(log_lines(spark, path), across=True)
 
 
-def skipped_urls(lines: DataFrame) -> DataFrame:
-    """The same from (file, n, line): the study named last above a ``Skipping`` line, within its file.
+def skipped_urls(lines: DataFrame, across: bool = False) -> DataFrame:
+    """The same from (file, n, line): the study named last above a ``Skipping`` line, within its file or, with ``across``, in any file before it, too.
 
     Only repositories on github.com skipped for insufficient content count.
     """
     head = r"Searching GitHub for repositories related to (.+?) \((.+?)\)\.\.\."
     study = F.when(F.col("line").rlike(head), F.struct(F.regexp_extract("line", head, 1).alias("study"), F.regexp_extract("line", head, 2).alias("abbreviation")))
-    known = F.last("study", ignorenulls=True).over(W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
-    skips = lines.withColumn("study", study).withColumn("study", known).withColumn("url", F.regexp_extract("line", r"Skipping (https://github\.com/[^\s]+) - insufficient content", 1)).filter("url <> '' and study is not null")
+    marked = lines.select("file", "n", study.alias("named"), F.regexp_extract("line", r"Skipping (https://github\.com/[^\s]+) - insufficient content", 1).alias("url"))
+    kept = marked.filter("url <> '' or named is not null")  # other lines name nothing and ask for nothing
+    known = dedup.carried(kept, "named", ["file", "n"] if across else ["n"], [] if across else ["file"], "study")
+    skips = known.filter("url <> '' and named is null and study is not null")
     last = skips.groupBy("url").agg(F.max_by("study", F.struct("file", "n")).alias("study"))
     return last.select("url", "study.study", "study.abbreviation")
 

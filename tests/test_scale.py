@@ -5,11 +5,13 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import columns as C
-from shelfmark.operators import graph, harvest
+from shelfmark.operators import dedup, graph, harvest, stats
+from shelfmark.sources import tables as S
 
 
 def plan(df):
@@ -160,3 +162,70 @@ def test_matrix_in_blocks(spark):
     for side in (1, 7, 1024):
         got = [(r.row_block * side + i, r.col_block * side + j, w) for r in graph.adjacency_blocks(node, edge, side=side).collect() for i, j, w in zip(r.rows, r.cols, r.weights)]
         assert sorted(got) == sorted([(a, b, 1) for a, b in pairs] + [(b, a, 1) for a, b in pairs])
+
+
+PROBABILITIES = [0.0, 0.31, 0.5, 0.85, 1.0]
+
+
+@pytest.mark.parametrize("kind", ["even", "tails", "ties", "one", "ends"])
+def test_quantiles_are_exact(spark, kind):
+    rng = np.random.default_rng(7)
+    made = {
+        "even": lambda n: rng.random(n),
+        "tails": lambda n: np.exp(rng.standard_normal(n) * 60),
+        "ties": lambda n: rng.integers(0, 4, n).astype(float),
+        "one": lambda n: np.full(n, 2.5),
+        "ends": lambda n: np.where(rng.random(n) < 0.2, rng.choice([-1.7e308, 1.7e308, np.inf, -np.inf], n), rng.random(n)),
+    }[kind]
+    groups = {"a": made(3000), "b": made(400), "c": made(1), None: made(77)}
+    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    want = {r.k: r.q for r in df.filter("x is not null").groupBy("k").agg(F.percentile("x", F.array(*map(F.lit, PROBABILITIES))).alias("q")).collect()}
+    for options in ({"small": 10, "accuracy": 5, "bins": 4}, {}):
+        got = {r.k: r.quantiles for r in stats.quantiles(df, F.col("x"), PROBABILITIES, ["k"], **options).collect()}
+        assert str(got) == str({k: want[k] for k in got}) and got.keys() == want.keys()
+    whole = stats.quantiles(df, F.col("x"), [0.5, 0.85], small=10, accuracy=50, bins=16).collect()
+    assert str([r.quantiles for r in whole]) == str([r.q for r in df.agg(F.percentile("x", F.array(F.lit(0.5), F.lit(0.85))).alias("q")).collect()])
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "k string, x double")
+    assert stats.quantiles(empty, F.col("x"), [0.5], ["k"]).count() == 0
+    assert stats.quantiles(empty, F.col("x"), [0.5]).first().quantiles is None
+
+
+def test_carried_over_ranges(spark):
+    random.seed(8)
+    rows = [(random.choice(["a", "b", "c", None]), i, f"v{i}" if random.random() < 0.02 else None) for i in range(800)]
+    rows += [("hot", 1000 + i, "first" if i == 0 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, n long, v string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        for keys in ([], ["k"]):
+            last, want = {}, {}
+            for k, n, v in sorted(rows, key=lambda r: r[1]):
+                at = k if keys else 0
+                last[at] = v if v is not None else last.get(at)
+                want[n] = last[at]
+            assert {r.n: r.c for r in dedup.carried(df, "v", ["n"], keys, "c").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dedup.carried(df.filter("false"), "v", ["n"]).count() == 0
+
+
+def test_a_study_holds_on_into_the_next_log(spark, tmp_path):
+    head = "Searching GitHub for repositories related to {} ({})...\n"
+    skip = "  Skipping https://github.com/g/{} - insufficient content\n"
+    (tmp_path / "batch1.log").write_text(skip.format(0) + "x\n" * 50 + head.format("A", "AA") + skip.format(1))
+    (tmp_path / "batch2.log").write_text(skip.format(2) + head.format("B", "BB") + "line\n" * 3000 + skip.format(3) + skip.format(1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2048)
+    try:
+        lines = S.log_lines(spark, str(tmp_path))
+        got = sorted(map(tuple, S.mine_logs(spark, str(tmp_path)).collect()))
+        parts = lines.select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert parts > 4
+    assert got == [("https://github.com/g/1", "B", "BB"), ("https://github.com/g/2", "A", "AA"), ("https://github.com/g/3", "B", "BB")]
