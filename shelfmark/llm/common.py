@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -28,6 +30,15 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what a finished task held to the system, as its worker is kept for others: Arrow's pool, then malloc's free pages where it can (glibc)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
     """The rows of a table, read twice, whose count reaches the least threshold that at most ``most`` rows reach.
 
@@ -81,7 +92,7 @@ def with_text(docs: DataFrame, text_col: str, change) -> DataFrame:
                 part = batch.slice(first, rows)
                 texts = pa.array(new(part.column(place).to_pylist()), part.schema.field(place).type)
                 yield pa.RecordBatch.from_arrays([texts if i == place else c for i, c in enumerate(part.columns)], schema=part.schema)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.mapInArrow(rewrite, docs.schema)
 
@@ -96,7 +107,7 @@ def where_texts(docs: DataFrame, text_col: str, keeps) -> DataFrame:
             for first, rows in spans_of(batch.column(place)):
                 part = batch.slice(first, rows)
                 yield part.filter(pa.array(kept(part.column(place).to_pylist()), pa.bool_()))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.mapInArrow(choose, docs.schema)
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import cut, frequent, stretches
+from shelfmark.llm.common import cut, frequent, give_back, stretches
 from shelfmark.llm.components import components
 from shelfmark.llm.shingles import mix, shingle_sets
 
@@ -87,7 +87,7 @@ def scan(docs: DataFrame, width: int, flush: int = 1 << 21) -> DataFrame:
                     held, size = [], 0
         if held:
             yield repeated()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.mapInArrow(look, SCAN)
 
@@ -125,7 +125,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, shingles: np.ndarray, se
                 if rows:
                     at, n, k1, k2, prefix, ranges = zip(*rows)
                     yield frame(PREFIXES, doc_id=ids.take(pa.array(at)), n=n, k1=k1, k2=k2, prefix=prefix, ranges=ranges)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.mapInArrow(look, PREFIXES)
 
@@ -177,7 +177,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, slots:
                     keep.append(100 * same >= percent * (len(left[x]) + len(right) - same) and same > 0)
                 mask = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([c.slice(first, len(texts)).filter(mask) for c in (a, b)], ["a", "b"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return both.mapInArrow(check, "a long, b long")
 

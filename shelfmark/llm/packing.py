@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfmark.llm.common import cut, stretches
+from shelfmark.llm.common import cut, give_back, stretches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
 
@@ -212,7 +212,7 @@ def encode_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, e
                         here = raw[4 * at : 4 * (at + size)]
                         rows.append((doc, at, len(here) // 4, n, [zlib.crc32(here[i : i + 4 * grain]) for i in range(0, len(here), 4 * grain)]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     names = [c.split()[0] for c in PIECES.split(", ")]
     types = [pa.int64()] * 4 + [pa.list_(pa.int64())]

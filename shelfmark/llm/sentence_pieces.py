@@ -37,7 +37,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import stretches
+from shelfmark.llm.common import give_back, stretches
 
 SPACE = "▁"
 
@@ -262,7 +262,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 if decoded:
                     columns.append(pa.array([enc.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return source.mapInArrow(run, shape.schema)
 
