@@ -36,6 +36,18 @@ def parse_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key).distinct().join(last, key, "left").select(key, *[C.clean_text(F.coalesce(c, F.lit(""))).alias(c) for c in values.SECTIONS])
 
 
+def write_requests(asked: DataFrame, path: str) -> None:
+    """The requests as JSON lines, one a row."""
+    asked.select("custom_id", "params").write.json(path)
+
+
+def parse_results(results: DataFrame, key: str = "custom_id", text: str = "response") -> DataFrame:
+    """The four sections of each result of a read results file; a failed one has its error as the first section and no others."""
+    failed = F.col(text).startswith("ERROR - ")
+    errors = results.filter(failed).select(key, *[(F.col(text) if c == next(iter(values.SECTIONS)) else F.lit("")).alias(c) for c in values.SECTIONS])
+    return parse_sections(results.filter(~failed), key, text).union(errors)
+
+
 def merge_results(df: DataFrame, results: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """df with the columns replaced in the rows that have a result."""
     new = results.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))

@@ -355,6 +355,19 @@ def annotation_pipeline(spark, sf_dir):
     return annotate.merge_results(rows.select("custom_id", "text", "summary"), parsed, "custom_id", ["summary"])
 
 
+@HERE.add(f"SELECT {_IDENT} AS custom_id, CASE WHEN length(trim(text)) < 50 THEN '' WHEN turn % 3 = 0 THEN 'YES ' || role WHEN turn % 3 = 1 THEN 'ERROR - errored: busy ' || turn ELSE 'ERROR - expired' END AS biomedical_relevance, CASE WHEN length(trim(text)) >= 50 AND turn % 3 = 0 THEN 'about ' || length('Repository ' || turn || ': ' || substr(text, 1, 8000)) ELSE '' END AS summary FROM conversations")
+def annotation_files(spark, sf_dir):
+    """The annotation run through its files: requests written, a service's results written for them, those read and merged back."""
+    rows = table(spark, sf_dir, "conversations").withColumn("custom_id", C.safe_id(F.expr("'repo_' || conv_id || '_' || turn"))).withColumns({"biomedical_relevance": F.lit(""), "summary": F.lit("")})
+    sent, received = scratch(spark), scratch(spark)
+    annotate.write_requests(annotate.requests(rows, "conv_id", F.col("turn").cast("string"), "text", "Repository %s: %s", "m"), sent)
+    asked = spark.read.schema("custom_id string, params struct<model:string, messages:array<struct<role:string, content:string>>>").json(sent).join(rows.select("custom_id", "turn", "role"), "custom_id")
+    answer = "named_struct('type', CASE turn % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'errored' ELSE 'expired' END, 'message', CASE WHEN turn % 3 = 0 THEN named_struct('content', array(named_struct('text', 'Biomedical Relevance: YES ' || role || '\\nCODE SUMMARY: about ' || length(params.messages[0].content)))) END, 'error', CASE WHEN turn % 3 = 1 THEN named_struct('type', 'x', 'message', 'busy ' || turn) END)"
+    asked.select("custom_id", F.expr(answer).alias("result")).write.json(received)
+    parsed = annotate.parse_results(S.batch_results(spark, received)).select("custom_id", "biomedical_relevance", "summary")
+    return annotate.merge_results(rows.select("custom_id", "biomedical_relevance", "summary"), parsed, "custom_id", ["biomedical_relevance", "summary"])
+
+
 _CONTENT = "SELECT 'https://github.com/g/' || page_id % 500 AS url, string_agg(regexp_extract(url, '[^/]+$'), ' ' ORDER BY page_id) AS content FROM pages WHERE page_id % 3 <> 0 GROUP BY 1"
 
 
@@ -378,6 +391,20 @@ def envelope_json(spark, sf_dir):
     return text.select("row", read.alias("x")).select("row", F.coalesce("x.c_name", first["column"]).alias("name"), first["row_count"].alias("n"))
 
 
+@HERE.add("SELECT 'total_records' AS field, count(*)::VARCHAR AS value FROM customer UNION ALL SELECT 'column_count', '3' UNION ALL SELECT 'null_counts', '{\"c_custkey\":0,\"c_name\":' || count(*) FILTER (c_custkey % 7 = 0) || ',\"c_acctbal\":0}' FROM customer UNION ALL SELECT c_custkey::VARCHAR, CASE WHEN c_custkey % 7 <> 0 THEN c_name END FROM customer UNION ALL SELECT 'braces', '[0, 0]'")
+def envelope_document(spark, sf_dir):
+    """The written envelope, read back as text: its metadata, every record, and how many braces and brackets stay open over the whole document."""
+    path = scratch(spark)
+    sinks.export_envelope(table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("c_name"), "c_acctbal"), path, "c_custkey")
+    lines = spark.read.text(path)
+    open_ = lambda a, b: (F.sum(F.length("value") - F.length(F.replace("value", F.lit(a), F.lit("")))) - F.sum(F.length("value") - F.length(F.replace("value", F.lit(b), F.lit(""))))).cast("string")
+    braces = lines.agg(F.concat(F.lit("["), open_("{", "}"), F.lit(", "), open_("[", "]"), F.lit("]")).alias("value")).select(F.lit("braces").alias("field"), "value")
+    head = lines.filter(F.col("value").startswith('{"metadata"')).select(F.get_json_object(F.concat("value", F.lit("]}")), "$.metadata").alias("m"))
+    meta = head.select(F.inline(F.array(*[F.struct(F.lit(k).alias("field"), F.get_json_object("m", f"$.{k}").alias("value")) for k in ("total_records", "column_count", "null_counts")])))
+    records = lines.filter(F.col("value").startswith('{"c_custkey"')).select(F.from_json(F.regexp_replace("value", ",$", ""), "c_custkey string, c_name string").alias("r")).select("r.c_custkey", "r.c_name")
+    return meta.union(records).union(braces)
+
+
 @HERE.add("SELECT c_custkey, c_name FROM customer")
 def export_json_array(spark, sf_dir):
     path = scratch(spark)

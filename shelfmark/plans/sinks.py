@@ -119,6 +119,25 @@ def envelope(df: DataFrame, order: str) -> DataFrame:
     return meta.union(df.select(F.col(order).cast("long"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
 
 
+def export_envelope(df: DataFrame, path: str, order: str) -> None:
+    """One JSON document with ``metadata`` (total_records, columns, column_count, data_types, null_counts) and ``data``, the records by a unique order.
+
+    It is written as text in parts, a line a record, by ranges of the order; the
+    parts in the order of their names make up the document.
+    """
+    names = F.array(*map(F.lit, df.columns))
+    counted = df.agg(F.count("*").alias("total_records"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n_{i}") for i, c in enumerate(df.columns)])
+    types = F.create_map(*[x for c, t in df.dtypes for x in (F.lit(c), F.lit(t))])
+    nulls = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.col(f"n_{i}"))])
+    meta = F.struct("total_records", names.alias("columns"), F.lit(len(df.columns)).alias("column_count"), types.alias("data_types"), nulls.alias("null_counts"))
+    head = counted.select(F.lit(0).alias("part"), F.lit(None).cast(df.schema[order].dataType).alias("at"), F.concat(F.lit('{"metadata":'), F.to_json(meta), F.lit(',"data":[')).alias("value"))
+    last = df.agg(F.max(order).alias("last"))
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    rows = df.select(F.lit(1).alias("part"), F.col(order).alias("at"), record.alias("value")).crossJoin(F.broadcast(last)).select("part", "at", F.concat("value", F.when(F.col("at") == F.col("last"), "").otherwise(",")).alias("value"))
+    tail = last.select(F.lit(2).alias("part"), F.lit(None).cast(df.schema[order].dataType).alias("at"), F.lit("]}").alias("value"))
+    head.union(rows).union(tail).sort("part", "at").select("value").write.text(path)
+
+
 def record_digest(fields: list[tuple[str, Column]]) -> Column:
     """Labelled lines of the filled fields."""
     return F.concat_ws("\n", *[F.when(C.filled(c), F.concat(F.lit(f"{label}: "), c)) for label, c in fields])

@@ -282,3 +282,22 @@ def exact_quantiles(spark, sf_dir):
     found = [stats.quantiles(lines.withColumn("flag", flag), price, [0.5, 0.85], ["flag"], small=500, accuracy=200) for flag in (F.lit("all"), F.col("l_returnflag"))]
     at = lambda i: F.round(F.get("quantiles", i), 6)
     return found[0].union(found[1]).select("flag", at(0).alias("median"), at(1).alias("high"))
+
+
+@HERE.add("SELECT l_suppkey AS value, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def heavy_values(spark, sf_dir):
+    return stats.heavy_top_k(table(spark, sf_dir, "lineitem"), F.col("l_suppkey"), 10, 2000)
+
+
+@HERE.add("SELECT event_type, count(DISTINCT user_id) AS exact, true AS near FROM events GROUP BY 1")
+def distinct_by_sketches(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    by_day = stats.distinct_sketches(events.withColumn("day", F.to_date("ts")), ["event_type", "day"], F.col("user_id"))
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
+    return stats.distinct_from(by_day, ["event_type"]).join(exact, "event_type").select("event_type", "exact", (F.abs(F.col("distinct") - F.col("exact")) <= 0.08 * F.col("exact") + 1).alias("near"))
+
+
+@HERE.add("WITH l AS (SELECT l_returnflag AS grp, log10(l_extendedprice::DOUBLE) AS v FROM lineitem), s AS (SELECT grp, count(*) AS n, stddev_samp(v) AS sd FROM l GROUP BY grp), e AS (SELECT min(v) AS lo, max(v) AS hi FROM l) SELECT grp, point::INT AS point, round(sum(exp(-0.5 * power((lo + (hi - lo) * point / 39 - v) / (sd * power(n, -0.2)), 2)) / (n * sd * power(n, -0.2) * sqrt(2 * pi()))), 4) AS density FROM l JOIN s USING (grp), e, range(40) r(point) GROUP BY grp, point")
+def density_binned(spark, sf_dir):
+    d = stats.binned_density(table(spark, sf_dir, "lineitem"), F.col("l_returnflag"), F.col("l_extendedprice").cast("double"), 40)
+    return d.select("grp", "point", F.round("density", 4).alias("density"))

@@ -1,6 +1,7 @@
 """Operators that have to hold at size, against brute force on rows that strain them."""
 
 import itertools
+import json
 import math
 import random
 from collections import defaultdict
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import columns as C
 from shelfmark.operators import dedup, graph, harvest, stats
+from shelfmark.plans import sinks
 from shelfmark.sources import tables as S
 
 
@@ -229,3 +231,43 @@ def test_a_study_holds_on_into_the_next_log(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert parts > 4
     assert got == [("https://github.com/g/1", "B", "BB"), ("https://github.com/g/2", "A", "AA"), ("https://github.com/g/3", "B", "BB")]
+
+
+def test_heavy_values_with_and_without_proof(spark):
+    random.seed(9)
+    frequent = [random.choice("abcdef") for _ in range(3000)] + [f"v{i}" for i in range(2000)]
+    rare = [f"v{i % 1700}" for i in range(3000)]
+    for values in (frequent, rare, ["x"], []):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v string").repartition(4)
+        for tracked in (64, 1000):
+            want = [tuple(r) for r in stats.top_k(df, F.col("v"), 4).collect()]
+            assert [tuple(r) for r in stats.heavy_top_k(df, F.col("v"), 4, tracked).collect()] == want
+
+
+def test_merged_sketches_count_distinct_values(spark):
+    df = spark.range(200_000).selectExpr("id % 10 AS day", "id % 2 AS k", "id % 30000 AS v")
+    sketches = stats.distinct_sketches(df, ["day", "k"], F.col("v"))
+    got = {r.k: r.distinct for r in stats.distinct_from(sketches, ["k"]).collect()}
+    assert all(abs(got[k] - 15000) <= 0.06 * 15000 for k in (0, 1)), got
+
+
+def test_binned_density_is_the_density(spark):
+    rng = np.random.default_rng(11)
+    rows = [("a", float(x)) for x in 10 ** rng.standard_normal(2000)] + [("b", float(x)) for x in rng.integers(1, 9, 500)] + [("c", 5.0)] * 9 + [("d", 1.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    exact = {(r.grp, r.point): (r.x, r.density) for r in stats.density(df, F.col("g"), F.col("x")).collect()}
+    for fineness, most in ((4096, 1e-6), (64, 1e-3)):
+        got = {(r.grp, r.point): (r.x, r.density) for r in stats.binned_density(df, F.col("g"), F.col("x"), fineness=fineness).collect()}
+        assert got.keys() == exact.keys()
+        assert max(abs(got[k][1] - exact[k][1]) for k in exact) <= most and max(abs(got[k][0] - exact[k][0]) for k in exact) < 1e-9
+
+
+def test_envelope_is_one_document(spark, tmp_path):
+    rows = [(i, None if i % 3 else f'say "{i}"\n{{[', i / 4) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, text string, x double").repartition(4)
+    sinks.export_envelope(df, str(tmp_path / "e"), "id")
+    whole = json.loads("".join(p.read_text() for p in sorted((tmp_path / "e").glob("part-*"))))
+    assert whole["data"] == [{"id": i, "text": t, "x": x} for i, t, x in rows]
+    assert whole["metadata"] == {"total_records": 50, "columns": ["id", "text", "x"], "column_count": 3, "data_types": {"id": "bigint", "text": "string", "x": "double"}, "null_counts": {"id": 0, "text": 33, "x": 0}}
+    sinks.export_envelope(df.filter("false"), str(tmp_path / "none"), "id")
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*"))))["data"] == []
