@@ -11,6 +11,7 @@ from shelfmark.plans import sinks
 from shelfmark.plans.book import Book, scratch, table
 from shelfmark.plans.flow_queries import _code, _CODE, _papers, _PAPERS, _resources, _RESOURCES
 from shelfmark.plans.stat_queries import sql_list
+from shelfmark.plans.text_queries import _LEVEL, _NOTE
 from shelfmark.sources import tables as S
 
 HERE = Book()
@@ -82,7 +83,7 @@ def report_resources_full(spark, sf_dir):
 _SCORED_PAPERS = f"SELECT *, (1 + (keywords <> '')::INT + 2 + 1) / 5.0::DOUBLE * 100 AS done FROM ({_PAPERS})"
 
 
-@HERE.add(_sections_sql([
+_PAPER_BLOCKS = [
     ("total", "SELECT 'publications' AS metric, NULL AS value, count(*) AS count, NULL AS pct FROM documents"),
     ("studies", _top_sql(_PAPERS, "study", 5)),
     ("authors", _top_sql("SELECT source || ' A; ' || lang || ' B' AS authors FROM documents", "authors", 5)),
@@ -90,7 +91,10 @@ _SCORED_PAPERS = f"SELECT *, (1 + (keywords <> '')::INT + 2 + 1) / 5.0::DOUBLE *
     ("keywords", _words_sql("SELECT doc_id, lang || 'words; ' || source AS k FROM documents", "doc_id", "k", values.STOPWORDS)),
     ("completeness", _figures_sql(_SCORED_PAPERS, "done", ("mean", "median", "std"))),
     ("distribution", f"SELECT bin::VARCHAR AS metric, NULL AS value, (SELECT count(*) FROM ({_SCORED_PAPERS}) WHERE least(floor(done / 25), 3) = bin) AS count, NULL AS pct FROM (SELECT unnest(range(4)) AS bin)"),
-]))
+]
+
+
+@HERE.add(_sections_sql(_PAPER_BLOCKS))
 def report_publications_full(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = _papers(spark, sf_dir)
@@ -112,7 +116,7 @@ _REPOS = f"SELECT c_custkey, languages, tools || ' pipeline for ' || lower(disea
 _PARTS = ("click", "error", "purchase", "signup", "view")
 
 
-@HERE.add(_sections_sql([
+_REPO_BLOCKS = [
     ("total", f"SELECT 'repositories' AS metric, NULL AS value, count(*) AS count, NULL AS pct FROM ({_REPOS})"),
     ("languages", _top_sql(_REPOS, "languages", 10, ";,")),
     ("tooling", _words_sql(_REPOS, "c_custkey", "tooling", values.CODE_STOPWORDS)),
@@ -120,7 +124,10 @@ _PARTS = ("click", "error", "purchase", "signup", "view")
     ("summaries", _words_sql(_REPOS, "c_custkey", "summary", values.CODE_STOPWORDS, 4)),
     ("components", f"SELECT kind AS metric, NULL AS value, 0 AS count, round(avg(CASE WHEN contains(found, kind) THEN 0.0 ELSE 1.0 END) * 100, 6) AS pct FROM ({_REPOS}), (SELECT unnest({list(_PARTS)}) AS kind) GROUP BY kind"),
     ("scores by language", f"SELECT languages AS metric, round(avg(rated), 6) AS value, count(*) AS count, NULL AS pct FROM ({_REPOS}) WHERE languages IN ('L0', 'L1', 'L2') GROUP BY languages"),
-]))
+]
+
+
+@HERE.add(_sections_sql(_REPO_BLOCKS))
 def report_code_full(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"), "event_type")
     # one row a repository and issue first, so the list and the score come from one small aggregate
@@ -140,13 +147,16 @@ def report_code_full(spark, sf_dir):
 _LINES = "SELECT c_custkey, c_nationkey::VARCHAR AS condition, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment || '; G1' ELSE c_mktsegment END AS gene, 'Encodes a ' || lower(c_mktsegment) || ' kinase protein' AS about_gene, 'Known ' || lower(c_mktsegment) || ' missense change' AS about_variant FROM customer"
 
 
-@HERE.add(_sections_sql([
+_LINE_BLOCKS = [
     ("total", f"SELECT 'cell lines' AS metric, NULL AS value, count(*) AS count, NULL AS pct FROM ({_LINES})"),
     ("conditions", f"(SELECT condition AS metric, NULL AS value, count(*) AS count, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM customer), 6) AS pct FROM ({_LINES}) WHERE condition <> '0' GROUP BY condition ORDER BY count(*) DESC, condition LIMIT 10)"),
     ("genes", _top_sql(_LINES, "gene", 10)),
     ("gene themes", _words_sql(_LINES, "c_custkey", "about_gene", values.CELL_STOPWORDS, 4)),
     ("variant themes", _words_sql(_LINES, "c_custkey", "about_variant", values.CELL_STOPWORDS, 4)),
-]))
+]
+
+
+@HERE.add(_sections_sql(_LINE_BLOCKS))
 def report_cell_lines_full(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "string(c_nationkey) AS condition", "CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment || '; G1' ELSE c_mktsegment END AS gene", "'Encodes a ' || lower(c_mktsegment) || ' kinase protein' AS about_gene", "'Known ' || lower(c_mktsegment) || ' missense change' AS about_variant")
     total = rows.agg(F.count("*").alias("n"))
@@ -234,3 +244,57 @@ def harvest_written(spark, sf_dir):
     rows = dedup.keep_first(S.conform(attached, ["o_orderkey", "c_name", "Keywords"]), ["o_orderkey", "c_name"], [F.col("o_orderkey")])
     sinks.export(rows, path, "tsv")
     return S.read_table(spark, path, multi_line=False).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
+_LEVELS = ["Excellent", "Strong", "Good"]
+_LEVEL_BLOCK = ("levels", f"SELECT l AS metric, NULL AS value, count(part.l2) AS count, round(coalesce(count(part.l2) * 100.0::DOUBLE / nullif(sum(count(part.l2)) OVER (), 0), 0), 6) AS pct FROM (SELECT unnest({_LEVELS}) AS l) LEFT JOIN (SELECT {_LEVEL} AS l2 FROM part) part ON part.l2 = l GROUP BY l")
+
+
+def _levels(spark, sf_dir):
+    """Counts and shares of the compliance levels, those without a resource too."""
+    known = spark.createDataFrame([(x,) for x in _LEVELS], "value string")
+    counted = table(spark, sf_dir, "part").select(C.level(F.expr(_NOTE)).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    rows = known.join(counted, "value", "left").na.fill(0, ["n"])
+    total = rows.agg(F.sum("n").alias("total"))
+    return _counted(rows.crossJoin(F.broadcast(total)), pct=F.when(F.col("total") > 0, F.col("n") * 100.0 / F.col("total")).otherwise(0.0))
+
+
+@HERE.add(_sections_sql([_LEVEL_BLOCK]))
+def report_levels(spark, sf_dir):
+    return sinks.report([("levels", _levels(spark, sf_dir))])
+
+
+#: Heading, report, and for each block its section, title, style and order: fixed texts of the catalog's text report.
+_CATALOG = [
+    ("DATASETS", report_resources_full, _RESOURCE_BLOCKS, [("total", "Total Number of Datasets", "count", None), ("types", "Resource Types Distribution", "of_records", None), ("coarse", "Coarse Data Types", "of_entries", None), ("sizes", "Sample Size Statistics", "whole", ["mean", "median", "min", "max", "std", "n"])]),
+    ("COMPLIANCE", report_levels, [_LEVEL_BLOCK], [("levels", "FAIR Compliance Levels", "share", _LEVELS)]),
+    ("PUBLICATIONS", report_publications_full, _PAPER_BLOCKS, [("total", "Total Publications", "count", None), ("studies", "Five Most Prolific Studies", "count", None), ("authors", "Five Most Occurring Authors", "count", None), ("affiliations", "Five Most Occurring Affiliations", "count", None), ("keywords", "Top 10 Keywords", "share", None), ("completeness", "Data Completeness Distribution from PubMed API", "percent", ["mean", "median", "std"]), ("distribution", "Distribution", "count", ["0", "1", "2", "3"])]),
+    ("CODE REPOSITORIES", report_code_full, _REPO_BLOCKS, [("total", "Total Repositories", "count", None), ("languages", "Top Programming Languages", "of_records", None), ("tooling", "Top 10 Keywords from Tooling", "share", None), ("data types", "Top 10 Keywords from Data Types", "share", None), ("summaries", "Top 10 Keywords from Code Summary", "share", None), ("components", "FAIR Component Completeness (% with component)", "pct", None), ("scores by language", "Mean FAIR Score by Language (0-10 scale)", "rated", ["L0", "L1", "L2"])]),
+    ("HUMAN CELLULAR MODELS", report_cell_lines_full, _LINE_BLOCKS, [("total", "Total Cell Models", "count", None), ("conditions", "Cell Models per Condition", "share", None), ("genes", "Most Common Genes", "count", None), ("gene themes", "Top Themes from Gene Descriptions", "share", None), ("variant themes", "Top Themes from Variant Descriptions", "share", None)]),
+]
+
+
+def _catalog_sql():
+    style = {
+        "count": "count", "share": "count || ' (' || format('{:.1f}', pct) || '%)'", "pct": "format('{:.1f}', pct) || '%'",
+        "whole": "format('{:.0f}', value)", "percent": "format('{:.1f}', value) || '%'", "rated": "format('{:.2f}', value) || '/10 (n=' || count || ' repos)'",
+    }
+    parts, at = ["SELECT 0 AS block, unnest(range(4))::INT AS \"row\", unnest([repeat('=', 80), 'Statistics', repeat('=', 80), '']) AS value"], 0
+    for heading, _, sections, blocks in _CATALOG:
+        at += 1
+        parts.append(f"SELECT {at}, unnest([0, 1])::INT, unnest(['{heading}', repeat('-', 80)])")
+        for section, name, kind, names in blocks:
+            at += 1
+            given = f"list_position({names}, metric), " if names else ""
+            parts.append(f"SELECT {at}, 0, '{name}:'")
+            rows = f"SELECT metric, value::DOUBLE AS value, coalesce(count, 0)::BIGINT AS count, pct::DOUBLE AS pct FROM ({dict(sections)[section]})"
+            if kind.startswith("of_"):
+                whole = f"(SELECT max(count) FROM ({dict(sections)['total']}))" if kind == "of_records" else "sum(count) OVER ()"
+                rows = f"SELECT metric, value, count, count::DOUBLE / {whole} * 100 AS pct FROM ({rows})"
+            parts.append(f"SELECT {at}, (row_number() OVER (ORDER BY {given}{'pct' if kind == 'pct' else 'count'} DESC, metric))::INT, '  ' || metric || ': ' || {style.get(kind, style['share'])} FROM ({rows})")
+    return " UNION ALL ".join(parts)
+
+
+@HERE.add(_catalog_sql())
+def report_catalog_text(spark, sf_dir):
+    return sinks.catalog_text([(heading, report(spark, sf_dir), blocks) for heading, report, _, blocks in _CATALOG], "Statistics")

@@ -106,6 +106,49 @@ def text_report(report: DataFrame, title: str) -> DataFrame:
     return top.union(heads).union(lines)
 
 
+#: How a statistic is written in the catalog's text report, by style.
+_STYLES = {
+    "count": lambda: F.format_string("  %s: %d", "metric", "count"),
+    "share": lambda: F.format_string("  %s: %d (%s%%)", "metric", "count", C.fixed(F.col("pct"), 1)),
+    "pct": lambda: F.format_string("  %s: %s%%", "metric", C.fixed(F.col("pct"), 1)),
+    "whole": lambda: F.format_string("  %s: %s", "metric", C.fixed(F.col("value"), 0)),
+    "percent": lambda: F.format_string("  %s: %s%%", "metric", C.fixed(F.col("value"), 1)),
+    "rated": lambda: F.format_string("  %s: %s/10 (n=%d repos)", "metric", C.fixed(F.col("value"), 2), "count"),
+}
+
+
+def catalog_text(groups: list[tuple[str, DataFrame, list[tuple[str, str, str, list[str] | None]]]], title: str) -> DataFrame:
+    """(block, row, value): the lines of a text report; ``block`` and ``row`` give their order.
+
+    A group is a heading, a report and its blocks: (section, title, style, names).
+    The shares of ``of_records`` are of the report's section total, those of
+    ``of_entries`` of the block's counts. A block's lines follow ``names``, else counts from the largest, then names, or
+    for shares without a count the shares. Sections without rows leave their title.
+    """
+    lines = [(0, i, line) for i, line in enumerate(["=" * 80, title, "=" * 80, ""])]
+    parts, at = [], 0
+    for heading, rows, blocks in groups:
+        at += 1
+        lines += [(at, 0, heading), (at, 1, "-" * 80)]
+        for section, name, style, names in blocks:
+            at += 1
+            lines.append((at, 0, f"{name}:"))
+            given = [F.array_position(F.array(*map(F.lit, names)), F.col("metric"))] if names else []
+            largest = F.desc("pct") if style == "pct" else F.desc("count")
+            row = F.row_number().over(W.partitionBy("section_no").orderBy(*given, largest, "metric"))  # a section has few rows
+            some = rows.filter(F.col("section") == section)
+            if style == "of_entries":
+                some = some.withColumn("pct", F.col("count") / F.sum("count").over(W.partitionBy("section_no")) * 100)
+            elif style == "of_records":
+                whole = rows.filter(F.col("section") == "total").agg(F.max("count").alias("whole"))
+                some = some.crossJoin(F.broadcast(whole)).withColumn("pct", F.when(F.col("whole") > 0, F.col("count") / F.col("whole") * 100).otherwise(0.0))
+            parts.append(some.select(F.lit(at).alias("block"), row.alias("row"), _STYLES[style if style in _STYLES else "share"]().alias("value")))
+    out = parts[0].sparkSession.createDataFrame(lines, "block int, row int, value string")
+    for part in parts:
+        out = out.union(part)
+    return out
+
+
 def share_line(found: Column, total: Column, what: str) -> Column:
     """``Showing X of Y what (p%)``."""
     share = F.when(total > 0, found / total * 100).otherwise(0.0)
