@@ -136,7 +136,7 @@ def words_before(before: Column) -> tuple[Column, Column]:
 
     def word(rest: str) -> Column:
         close = F.regexp_extract(near, rf"{_APART}({_WORD}++){rest}{_APART}*+$", 1)
-        return F.lower(F.when(close != "", close).otherwise(F.regexp_extract(before, rf"({_WORD}++){rest}{_APART}*+$", 1)))
+        return F.lower(F.when(close != "", close).otherwise(F.regexp_extract(before, rf"(?<!{_WORD})({_WORD}++){rest}{_APART}*+$", 1)))
 
     return word(""), word(rf"{_APART}++{_WORD}++")
 
