@@ -169,8 +169,8 @@ def test_matrix_in_blocks(spark):
 PROBABILITIES = [0.0, 0.31, 0.5, 0.85, 1.0]
 
 
-@pytest.mark.parametrize("kind", ["even", "tails", "ties", "one", "ends"])
-def test_quantiles_are_exact(spark, kind):
+def test_quantiles_are_exact(spark):
+    """Groups of several shapes and sizes side by side, a null one too: even, long tails, ties, one value, values at the ends of doubles."""
     rng = np.random.default_rng(7)
     made = {
         "even": lambda n: rng.random(n),
@@ -178,16 +178,16 @@ def test_quantiles_are_exact(spark, kind):
         "ties": lambda n: rng.integers(0, 4, n).astype(float),
         "one": lambda n: np.full(n, 2.5),
         "ends": lambda n: np.where(rng.random(n) < 0.2, rng.choice([-1.7e308, 1.7e308, np.inf, -np.inf], n), rng.random(n)),
-    }[kind]
-    groups = {"a": made(3000), "b": made(400), "c": made(1), None: made(77)}
-    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("a", None), ("d", None)]
-    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    }
+    rows = [(f"{kind}{n}" if n != 77 or kind != "ties" else None, float(x)) for kind, make in made.items() for n in (2000, 77, 1) for x in make(n)]
+    df = spark.createDataFrame([*rows, ("even1", None), ("none", None)], "k string, x double").repartition(5)
     want = {r.k: r.q for r in df.filter("x is not null").groupBy("k").agg(F.percentile("x", F.array(*map(F.lit, PROBABILITIES))).alias("q")).collect()}
     for options in ({"small": 10, "accuracy": 5, "bins": 4}, {}):
         got = {r.k: r.quantiles for r in stats.quantiles(df, F.col("x"), PROBABILITIES, ["k"], **options).collect()}
         assert str(got) == str({k: want[k] for k in got}) and got.keys() == want.keys()
-    whole = stats.quantiles(df, F.col("x"), [0.5, 0.85], small=10, accuracy=50, bins=16).collect()
-    assert str([r.quantiles for r in whole]) == str([r.q for r in df.agg(F.percentile("x", F.array(F.lit(0.5), F.lit(0.85))).alias("q")).collect()])
+    some = df.filter("k = 'tails2000'")
+    whole = stats.quantiles(some, F.col("x"), [0.5, 0.85], small=10, accuracy=50, bins=16).collect()
+    assert str([r.quantiles for r in whole]) == str([r.q for r in some.agg(F.percentile("x", F.array(F.lit(0.5), F.lit(0.85))).alias("q")).collect()])
 
 
 def test_quantiles_of_nothing(spark):
