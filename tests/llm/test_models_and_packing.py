@@ -117,18 +117,49 @@ def test_shares_in_classes_add_up(spark):
         assert abs(np.exp(m.attention.base[m.row[before]]).sum() - 1) < 1e-3
 
 
-def test_model_beats_subword_unigram(spark):
-    """On held-out texts, whole; the unigram of the same subwords is what the model would be without any context."""
+def test_model_beats_subword_unigram_and_counts(spark, monkeypatch):
+    """On held-out texts, whole; the unigram of the same subwords is what the model would be without any context, the counts what it would be without attention."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = language_model.score_documents(docs, train_share=4).toPandas()
-    held = found[found["held_out"]]
+    held = language_model.score_documents(docs).filter("held_out").toPandas()
     enc, counts = language_model.subwords(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), np.zeros(language_model.IDS)
     rows = [(r.held, language_model.encoded((r.text or "").encode(), enc)) for r in docs.select("text", language_model.held_out(F.col("doc_id")).alias("held")).collect()]
     for out, ids in rows:
         counts += 0 if out else np.bincount(ids, minlength=language_model.IDS)
     unigram = np.log10((counts + 1) / (counts.sum() + language_model.IDS))
     plain = sum(unigram[ids].sum() for out, ids in rows if out)
-    assert held["score"].sum() > 0.8 * plain  # log10, so less is worse: a fifth of the loss must go
+    assert held["score"].sum() > 0.75 * plain  # log10, so less is worse: a quarter of the loss must go
+
+    def silent(texts, model, rounds):
+        model.attention.weights["out"][:] = 0
+        return model
+
+    monkeypatch.setattr(language_model, "train", silent)
+    by_counts = language_model.score_documents(docs).filter("held_out").toPandas()
+    assert held["score"].sum() > 0.985 * by_counts["score"].sum()
+    both = held.merge(by_counts, on="doc_id")
+    assert (both["score_x"] > both["score_y"]).mean() > 0.8
+
+
+def test_every_training_text_is_learned_from_once(spark, monkeypatch):
+    """Over tasks and rounds; a subword that no task met keeps a vector of zeros."""
+    rng = np.random.default_rng(8)
+    texts = [(i, rng.integers(0, 60, rng.integers(1, 200)).astype("<u2").tobytes()) for i in range(300)]
+    df = spark.createDataFrame(texts, "row long, ids binary").repartition(6)
+    group = np.minimum(np.arange(language_model.IDS), 8)
+    m = language_model.Model(group, group, np.log(np.full((9, 9), 1 / 9)), np.zeros(language_model.IDS, np.float32), np.zeros((9, 9), np.float32), np.full(64, 0xFFFFFFFF, np.uint32), np.zeros(64, np.float32), 64)
+    seen = []
+
+    class Counted(language_model.Learned):
+        def __init__(self, *args):
+            super().__init__(*args)
+            seen.append(self)
+
+    monkeypatch.setattr(language_model, "Learned", Counted)
+    language_model.train(df, m, 3, task_tokens=1000)
+    before = [np.concatenate([[language_model.END], np.frombuffer(raw, "<u2")[:-1]]) for _, raw in texts]
+    assert (sum(x.uses for x in seen) == np.bincount(np.concatenate(before), minlength=language_model.IDS)).all()
+    assert sum(x.windows[0] for x in seen) == sum(-(-len(b) // 64) for b in before)
+    assert np.abs(m.attention.own[:60]).max(axis=1).all() and not m.attention.own[60 : language_model.END].any()
 
 
 def test_packing_round_trip(spark, documents):
@@ -161,13 +192,16 @@ def test_encoder_on_odd_texts():
 
 def test_attention_gradients():
     rng = np.random.default_rng(0)
-    m = Attention(np.log(rng.dirichlet(np.ones(7), 7)), width=4, window=6)
+    m = Attention(np.log(rng.dirichlet(np.ones(7), 7)), np.array([0, 1, 2, 3, 4, 5, 6, 6, 5]), width=4, window=6)
     m.weights = {k: w.astype(np.float64) * 3 for k, w in m.weights.items()}
-    x, y, rows = (rng.integers(0, 7, (3, 6)) for _ in range(3))
+    m.own = rng.standard_normal((9, 4))
+    x, y, rows = (rng.integers(0, n, (3, 6)) for n in (9, 7, 7))
     real = np.ones((3, 6), bool)
-    grads = m.gradients(x, rows, y, real)[1]
-    for name, w in m.weights.items():
-        i = (x[0, 0], 0) if name == "embed" else (0,) * w.ndim
+    _, grads, some, own = m.gradients(x, rows, y, real)
+    grads["own"] = np.zeros_like(m.own)
+    grads["own"][some] = own
+    for name, w in [*m.weights.items(), ("own", m.own)]:
+        i = (m.group[x[0, 0]], 0) if name == "embed" else (x[0, 0], 0) if name == "own" else (0,) * w.ndim
         w[i] += 1e-4
         up = m.gradients(x, rows, y, real)[0]
         w[i] -= 2e-4
@@ -191,7 +225,7 @@ def test_windows_score_each_token_once():
         place = i - 1 - begin
         inputs, real = np.zeros((1, 64), np.int64), np.zeros((1, 64), bool)
         start = max(0, begin)
-        inputs[0, start - begin : place + 1] = group[line[start:i]]
+        inputs[0, start - begin : place + 1] = line[start:i]
         real[0, start - begin : place + 1] = True
         want += m.attention.log_probs(inputs, np.full((1, 64 - place), row[line[i - 1]]), real, np.full((1, 64 - place), group[line[i]]), place)[0, 0]
         want += share[line[i]] + off[row[line[i - 1]], group[line[i]]]
