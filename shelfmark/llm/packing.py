@@ -1,7 +1,7 @@
 """Cost-balanced packing of documents into token sequences.
 
 Documents are encoded, cut into pieces of at most a sequence's length, and the
-pieces are dealt by hash into groups of a bounded number of tokens. Within a
+pieces are dealt by hash into groups of a bounded number of tokens and of pieces. Within a
 group, in descending length, each piece goes to the sequence of lowest cost
 that still has room; the cost of a piece of n tokens is ``n + n * n / length``,
 the linear and the quadratic part of attention within a document. A group opens
@@ -228,16 +228,18 @@ def pack_documents(
     size: int = 2048,
     grain: int = 64,
     group_tokens: int = 1 << 24,
+    group_pieces: int = 1 << 17,
 ) -> DataFrame:
     """Every piece of every document and its place in a sequence.
 
-    ``grain``: pieces are cut only at multiples of it. ``group_tokens``: about
-    as many tokens are packed together in one task, whatever the input's size.
+    ``grain``: pieces are cut only at multiples of it. ``group_tokens``
+    and ``group_pieces``: about as many tokens, and no more than about as many
+    pieces, are packed together in one task, whatever the input's size.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     pieces = cut(encode_pieces(docs, id_col, text_col, path, end_id, size, grain), "pieces")
-    total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    groups = max(1, -(-total // group_tokens))
+    total, count = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    groups = max(1, -(-total // group_tokens), -(-count // group_pieces))
 
     def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
         group = int(key[0])

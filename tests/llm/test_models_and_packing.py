@@ -272,6 +272,9 @@ def test_repeated_rows_spread_over_groups(spark):
     assert groups["n"].sum() >= 120_000 and len(groups) > 40 and groups["n"].max() <= 1.5 * groups["n"].mean()
     tokens = len(packing.word_encoder(public_tokenizers.path("word_bpe_49k.json")).batch(["alpha beta gamma"])[0]) // 4 + 1
     assert groups["tokens"].sum() == 100_000 * tokens + 20_000
+    few = packing.pack_documents(nameless, group_pieces=1 << 10).select("length", F.shiftright("sequence_id", 32).alias("g"))
+    groups = few.groupBy("g").count().toPandas()  # pieces of one token: far fewer than a group's tokens
+    assert len(groups) == 20 and groups["count"].sum() == 20_000 and groups["count"].max() < 1.5 * (1 << 10)
 
 
 def test_odd_input_of_models(spark, documents):
