@@ -10,7 +10,8 @@ Equal vectors are compared once, for all of them.
 The deeper the trees, the likelier each parts a near pair, so their number
 follows from the depth: pairs planted at the threshold around sampled vectors
 are sent through the trees, and trees are added until at least ``recall`` of the
-pairs meet in a leaf. Each length of vectors has a sample and a forest of its own.
+pairs meet in a leaf. Where ``most_trees`` do not reach that, trees of one level
+less are grown, and so on down to a single leaf, in which all vectors meet. Each length of vectors has a sample and a forest of its own.
 
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing; vectors of different lengths do not link. Repeated ids are
@@ -84,14 +85,20 @@ def planted(sample: np.ndarray, threshold: float, pairs: int, seed: int) -> tupl
 
 
 def forest(sample: np.ndarray, depth: int, threshold: float, recall: float, least: int, most: int, seed: int, pairs: int = 2000) -> list[Tree]:
-    """At least ``least`` trees, and as many more, up to ``most``, as it takes for the share ``recall`` of planted pairs to meet in a leaf."""
+    """At least ``least`` trees, and as many more, up to ``most``, as it takes for the share ``recall`` of planted pairs to meet in a leaf.
+
+    Where that many do not reach it, a forest of one level less is tried; without levels there is one tree of one leaf.
+    """
     a, b = planted(sample, threshold, pairs, seed)
-    met = np.zeros(pairs, dtype=bool)
-    trees: list[Tree] = []
-    while len(trees) < least or met.mean() < recall and len(trees) < most:
-        trees.append(Tree(sample, depth, seed + 1000 * len(trees)))
-        met |= (trees[-1].leaves(a)[:, :, None] == trees[-1].leaves(b)[:, None, :]).any(axis=(1, 2))
-    return trees
+    for levels in range(depth, 0, -1):
+        met = np.zeros(pairs, dtype=bool)
+        trees: list[Tree] = []
+        while len(trees) < least or met.mean() < recall and len(trees) < most:
+            trees.append(Tree(sample, levels, seed + 1000 * len(trees)))
+            met |= (trees[-1].leaves(a)[:, :, None] == trees[-1].leaves(b)[:, None, :]).any(axis=(1, 2))
+        if met.mean() >= recall:
+            return trees
+    return [Tree(sample, 0, seed)]
 
 
 def first_shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +177,7 @@ def near_duplicates(
     ``sample_rows`` bounds the sample from which thresholds are taken (for each
     of several lengths its share, eight rows at least); every vector is put into
     the trees. ``trees`` and ``most_trees`` bound their number, ``recall`` is what
-    they must reach on pairs planted at the threshold. ``tile_rows`` bounds what one task compares at
+    they must reach on pairs planted at the threshold, else they get shallower. ``tile_rows`` bounds what one task compares at
     once: larger leaves are cut into blocks, and each pair of blocks is a tile.
     """
     everything = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))

@@ -119,6 +119,23 @@ def test_deep_trees_keep_near_pairs_together():
     assert all(r >= 0.94 for r, _ in recalls.values()) and recalls[7][1] == 8 < recalls[22][1] < 64, recalls
 
 
+def test_too_few_trees_get_shallower(spark):
+    """Where the trees that are allowed do not reach the recall, fewer levels do, down to one leaf, which finds every link."""
+    rng = np.random.default_rng(21)
+    sample = vectors.unit(rng.standard_normal((2000, 64)))
+    trees = vector_dedup.forest(sample, 12, 0.9, recall=0.97, least=1, most=4, seed=1)
+    a, b = vector_dedup.planted(sample, 0.9, 1000, 99)
+    met = [(t.leaves(a)[:, :, None] == t.leaves(b)[:, None, :]).any(axis=(1, 2)) for t in trees]
+    assert len(trees) <= 4 and len(trees[0].directions) < 12 and np.any(met, axis=0).mean() >= 0.94
+    a, b = vector_dedup.planted(sample[:150], 0.9001, 150, 5)
+    rows = np.concatenate([a, b])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    exact = vectors.unit(rows.astype(np.float32).astype(np.float64))
+    links = (exact @ exact.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in near_duplicates(df, trees=1, most_trees=1, leaf_rows=2, recall=1.0).collect()}
+    assert got == dict(enumerate(links.tolist()))
+
+
 def test_vectors_of_several_lengths(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.standard_normal(3 + i % 3)]) for i in range(60)]
