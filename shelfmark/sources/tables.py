@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,10 +87,23 @@ def load_compliance_log(df: DataFrame) -> DataFrame:
     return dedup.keep_latest(df, keys, "Timestamp", [F.col("Details")])
 
 
+def read_present(spark: SparkSession, paths: list[str], **options) -> dict[int, DataFrame]:
+    """The tables at those paths that exist, by their place in the list; a path that does not is passed over, but one must."""
+    found = {}
+    for i, path in enumerate(paths):
+        try:
+            found[i] = read_table(spark, path, **options)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if not found:
+        raise FileNotFoundError(f"none of {paths}")
+    return found
+
+
 def load_repo_batches(spark: SparkSession, paths: list[str], **options) -> tuple[DataFrame, DataFrame]:
-    """The repositories of several batches, the first batch's row of each link, and a row with the counts before and after."""
-    tables = [read_table(spark, p, **options).withColumn("batch", F.lit(i)) for i, p in enumerate(paths)]
-    return merge_batches(union_all(tables))
+    """The repositories of several batches, the first batch's row of each link, and a row with the counts before and after; absent batches are passed over."""
+    return merge_batches(union_all([t.withColumn("batch", F.lit(i)) for i, t in read_present(spark, paths, **options).items()]))
 
 
 def merge_batches(rows: DataFrame, link: str = "Repository Link", batch: str = "batch") -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 """Hand rows that pin down each semantic trap."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import columns as C
@@ -162,6 +163,18 @@ def test_compliance_logs_and_batches_keep_the_first(spark):
     assert sorted(map(tuple, kept.collect())) == [("u", "first"), ("v", "w")] and tuple(counts.first()) == (3, 2, 1)
 
 
+def test_absent_batches_are_passed_over(spark, tmp_path):
+    for name, rows in (("one", "u\tfirst\nv\tw\n"), ("three", "u\tlate\nx\ty\n")):
+        (tmp_path / f"{name}.tsv").write_text("Repository Link\tname\n" + rows)
+    paths = [str(tmp_path / f"{n}.tsv") for n in ("one", "two", "three")]
+    kept, counts = S.load_repo_batches(spark, paths)
+    assert sorted(map(tuple, kept.collect())) == [("u", "first"), ("v", "w"), ("x", "y")]
+    assert counts.first()[:2] == (4, 3)
+    assert list(S.read_present(spark, paths)) == [0, 2]
+    with pytest.raises(FileNotFoundError):
+        S.load_repo_batches(spark, paths[1:2])
+
+
 def test_text_reports(spark):
     rows = spark.createDataFrame([(0, "levels", "Good", None, 3, 75.0), (0, "levels", "Bad", None, 1, 25.0), (1, "sizes", "mean", 2.5, 0, None)], "section_no int, section string, metric string, value double, count long, pct double")
     lines = [r.value for r in sinks.text_report(rows, "T").orderBy("section_no", "row").collect()]
