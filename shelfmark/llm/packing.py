@@ -35,9 +35,13 @@ from shelfmark.llm.common import cut, give_back, stretches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
 
-#: A full stop or comma after a letter and before white space: it is a token of its own, so the word before it can be looked up alone.
-_MARK = re.compile(r"([.,])(?<=[a-z\xdf-\xf6\xf8-\xff].)(?=[ \n])")
-_PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
+_LETTERS = r"a-z\xdf-\xf6\xf8-\xff"
+#: Punctuation between a letter and white space is a token of its own, so the word before it can be looked up alone (a bar may end a special token and stays).
+_MARK = re.compile(rf"([!-/:-@\[-`{{}}~])(?<=[{_LETTERS}].)([!-/:-@\[-`{{}}~]*)(?=[ \n])")
+#: What the vocabulary's rules cut into runs of letters, single digits and runs of other characters, as none can begin a contraction or a special token.
+_PLAIN = re.compile(rf"[{_LETTERS}]+")
+_SIMPLE = re.compile(rf"[{_LETTERS}0-9!-&(-/:;=-@\[-`{{-~]+")
+_RUN = re.compile(rf"[{_LETTERS}]+|[0-9]|[!-/:-@\[-`{{-~]+")
 
 
 class WordEncoder:
@@ -45,7 +49,8 @@ class WordEncoder:
 
     The vocabulary ends every word with a mark, so pieces between blanks are
     encoded on their own, and many plain words in one call. Of the words' ids
-    about ``most`` bytes are kept.
+    about ``most`` bytes are kept, in two halves: when the newer one is full it
+    becomes the older one, and words met again move from there to the newer.
     """
 
     def __init__(self, path: str, most: int = 64 << 20):
@@ -55,19 +60,27 @@ class WordEncoder:
         self.most = most
         self.held = 0
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         size = sum(map(len, words)) * 2 + 150 * len(words)
-        if self.held + size > self.most:
-            self.known, self.held = {"": b""}, 0
+        if self.held + size > self.most // 2:
+            self.known, self.older, self.held = {"": b""}, self.known, 0
         self.held += size
+        self.known.update((w, ids) for w, ids in zip(words, map(self.older.get, words)) if ids is not None)
+        words = [w for w in words if w not in self.known]
         plain = [w for w in words if _PLAIN.fullmatch(w)]
+        last = np.full(len(plain), 1)
+        if simple := [w for w in words if not _PLAIN.fullmatch(w) and _SIMPLE.fullmatch(w)]:
+            last = np.concatenate([last, [len(_RUN.findall(w)) for w in simple]])
+            plain += simple
         ids = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast([" ".join(plain[i : i + 4096]) for i in range(0, len(plain), 4096)], add_special_tokens=False)]
         ids = np.concatenate([*ids, np.zeros(0, "<u4")])
-        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         raw = ids.tobytes()
-        if len(ends) != len(plain):
+        if len(ends) != last.sum():
             raise ValueError("the vocabulary does not end every word with a mark")
+        ends = ends[np.cumsum(last) - 1].tolist()
         self.known.update(zip(plain, map(raw.__getitem__, map(slice, [0, *ends], ends))))
         rest = [w for w in words if w not in self.known]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
@@ -79,7 +92,7 @@ class WordEncoder:
         for text in texts:
             raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
             low = raw.lower().decode("utf-8", "surrogatepass")
-            split.append(_MARK.sub(r" \1", low).replace("\n", " ").split(" "))
+            split.append(_MARK.sub(r" \1\2", low).replace("\n", " ").split(" "))
         found = [list(map(self.known.get, words)) for words in split]
         new = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
         if new:

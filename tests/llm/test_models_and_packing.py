@@ -190,6 +190,21 @@ def test_encoder_on_odd_texts():
         assert np.frombuffer(raw, "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_with_few_words_kept():
+    """Words that move between the halves of the cache, and marks, digits and special tokens in any order, are encoded as the tokenizer does."""
+    import random
+
+    draw = random.Random(3)
+    bits = [*"abzß÷×éÉ'<>|.,!? \n\t\u0338\u030109-_&*#", "<|endoftext|>", "'s", "'re", "</w>", " ", "a.", "don't", "|> ", "word, ", "word**"]
+    texts = ["".join(draw.choices(bits, k=draw.randint(0, 30))) for _ in range(6000)]
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), most=1 << 18)
+    for first in range(0, len(texts), 300):
+        part = texts[first : first + 300]
+        told = enc.tokenizer.encode_batch(part, add_special_tokens=False)
+        assert enc.batch(part) == [np.array(x.ids, dtype="<u4").tobytes() for x in told]
+    assert len(enc.known) + len(enc.older) < 2000
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     m = Attention(np.log(rng.dirichlet(np.ones(7), 7)), np.array([0, 1, 2, 3, 4, 5, 6, 6, 5]), width=4, window=6)
