@@ -1,11 +1,12 @@
 """Hand rows that pin down each semantic trap."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import columns as C
 from shelfmark.operators import annotate, compliance, dedup, filters, graph, harvest, stats
-from shelfmark.plans import sinks
+from shelfmark.plans import registry, sinks
 from shelfmark.sources import tables as S
 
 
@@ -189,3 +190,26 @@ def test_corpus_search_needs_every_group_and_the_day(spark):
         groups = harvest.search_groups(version, F.col("name"), F.col("short"), F.col("diseases"), F.col("modalities"))
         found[version] = sorted(r.doc for r in harvest.corpus_search(docs, "doc", "text", "day", studies, "id", groups, F.lit("2025-01-01").cast("date")).collect())
     assert found == {1: [1], 2: [1, 2], 3: [1]}
+
+
+def odd_documents(spark, tmp_path):
+    """A folder with texts that begin or end in the letter v and in all kinds of white space, some fields without anything."""
+    blanks = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, 0x2007, 0x2029, 0x3000)))
+    texts = ["vequez au " * 30, "v", f"{blanks}vin{blanks}de v{blanks}", f"{blanks}{'é' * 200}{blanks}", "é" * 201, blanks, "", None]
+    rows = [(i, t, ["en", None, " "][i % 3], ["s", "", None, "v"][i % 4]) for i, t in enumerate(texts * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def both_ways(spark, folder, name):
+    """The rows of a query and those of its SQL, over a folder's documents."""
+    got = registry.QUERIES[name](spark, folder)
+    sql = registry.ORACLES[name]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    return sorted(map(repr, map(tuple, got.collect()))), sorted(map(repr, con.sql(sql).fetchall()))
+
+
+def test_truncated_texts_equal_sql_on_odd_ends(spark, tmp_path):
+    got, wanted = both_ways(spark, odd_documents(spark, tmp_path), "truncate")
+    assert got == wanted
