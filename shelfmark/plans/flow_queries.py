@@ -10,7 +10,7 @@ from shelfmark.plans import sinks
 from shelfmark.plans.book import Book, scratch, table
 from shelfmark.plans.graph_queries import _EDGES, _graph
 from shelfmark.plans.stat_queries import _APP, _app_scores
-from shelfmark.plans.text_queries import _LEVEL, _NOTE
+from shelfmark.plans.text_queries import _LEVEL, _NOTE, SQL_BLANKS
 from shelfmark.sources import tables as S
 
 HERE = Book()
@@ -419,7 +419,10 @@ def digest_head(spark, sf_dir):
     return sinks.digest_head(table(spark, sf_dir, "customer"), digest, "c_custkey", 10)
 
 
-@HERE.add("SELECT doc_id, 'Study: ' || source || E'\\nAuthors: ' || source || ', ' || lang || ', x et al.' || E'\\nAbstract: ' || CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END AS digest FROM (SELECT *, trim(text, E' \\t\\n\\r\\f\\v') AS t FROM documents)")
+@HERE.add(
+    f"SELECT doc_id, concat_ws(E'\\n', CASE WHEN trim(source, {SQL_BLANKS}) <> '' THEN 'Study: ' || source END, 'Authors: ' || concat_ws(', ', source, lang, 'x') || ' et al.', "
+    f"CASE WHEN t <> '' THEN 'Abstract: ' || CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END END) AS digest FROM (SELECT *, trim(text, {SQL_BLANKS}) AS t FROM documents)"
+)
 def record_digests(spark, sf_dir):
     authors = sinks.short_list(F.array("source", "lang", F.lit("x"), F.lit("y")))
     return table(spark, sf_dir, "documents").select("doc_id", sinks.record_digest([("Study", F.col("source")), ("Authors", authors), ("Abstract", C.truncate(F.col("text"), 200))]).alias("digest"))

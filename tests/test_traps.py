@@ -213,3 +213,8 @@ def both_ways(spark, folder, name):
 def test_truncated_texts_equal_sql_on_odd_ends(spark, tmp_path):
     got, wanted = both_ways(spark, odd_documents(spark, tmp_path), "truncate")
     assert got == wanted
+
+
+def test_record_digests_equal_sql_on_odd_ends(spark, tmp_path):
+    got, wanted = both_ways(spark, odd_documents(spark, tmp_path), "record_digests")
+    assert got == wanted
