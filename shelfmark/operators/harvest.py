@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from shelfmark.folders import written
 from shelfmark.functions import columns as C
@@ -117,22 +118,115 @@ class PhraseSet:
         return [*self.always, *(row for number in sorted(numbers) for row in self.rows[number])]
 
 
-def corpus_search(docs: DataFrame, doc: str, text: str, day: str, studies: DataFrame, ident: str, groups: dict[str, Column], as_of: Column, years: int = 3) -> DataFrame:
+def found_phrases(texts: DataFrame, phrases: DataFrame, most_chars: int = 2_000_000) -> DataFrame:
+    """(doc, numbers) for (doc, text) and (number, phrase), each phrase once: what a text contains, a row for each text and automaton that finds something."""
+    size = phrases.agg(F.sum(F.length("phrase") + 16)).first()[0] or 0
+    parts = max(1, -(-size // most_chars))
+    lower = texts.select("doc", F.lower("text").alias("text")).filter("text is not null")
+    shape = StructType([texts.schema["doc"], StructField("numbers", ArrayType(LongType()))])
+
+    def hits(some: DataFrame) -> DataFrame:
+        sent = texts.sparkSession.sparkContext.broadcast(some.select("number", "phrase").toArrow())
+
+        def run(batches):
+            numbers, held = sent.value.column("number").to_numpy(), PhraseSet(sent.value.column("phrase").to_pylist())
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    found = [held.rows_in(t) for t in part.column(1).to_pylist()]
+                    place = pa.array([i for i, rows in enumerate(found) if rows], pa.int32())
+                    if len(place):
+                        lists = pa.array([numbers[rows] for rows in found if rows], pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(place), lists], ["doc", "numbers"])
+
+        return lower.mapInArrow(run, shape)
+
+    return reduce(DataFrame.union, [hits(phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == i)) for i in range(parts)])
+
+
+class Searches:
+    """Studies by the clause of theirs that the fewest texts meet; those that ask for the same are looked at once."""
+
+    def __init__(self, clauses: list[list[list[int]]]):
+        same: dict[tuple, list[int]] = {}
+        for row, found in enumerate(clauses):
+            same.setdefault(tuple(map(tuple, found)), []).append(row)
+        self.rows = [np.array(rows) for rows in same.values()]
+        self.others = [[frozenset(c) for c in found[1:]] for found in same]
+        self.by_number: dict[int, list[int]] = {}
+        for search, (first, *_) in enumerate(same):
+            for number in first:
+                self.by_number.setdefault(number, []).append(search)
+
+    def met(self, numbers: list[int]) -> list[np.ndarray]:
+        """The rows of the studies all of whose clauses hold one of the numbers."""
+        some = {search for n in numbers for search in self.by_number.get(n, ())}
+        return [self.rows[search] for search in sorted(some) if not any(c.isdisjoint(numbers) for c in self.others[search])]
+
+
+def studies_met(found: DataFrame, asked: DataFrame, most_pairs: int = 1 << 16) -> DataFrame:
+    """(doc, ident) for (doc, numbers), each doc once, and (ident, clauses), few enough of these to be sent to every task."""
+    sent = found.sparkSession.sparkContext.broadcast(asked.select("ident", "clauses").toArrow().combine_chunks())
+    shape = StructType([found.schema["doc"], asked.schema["ident"]])
+
+    def run(batches):
+        if not sent.value.num_rows:
+            return
+        idents, held = sent.value.column("ident").chunk(0), Searches(sent.value.column("clauses").to_pylist())
+
+        def batch_of(docs, places, rows):
+            place = np.repeat(places, [len(r) for r in rows])
+            return pa.RecordBatch.from_arrays([docs.take(pa.array(place)), idents.take(pa.array(np.concatenate(rows)))], ["doc", "ident"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                places, rows, size = [], [], 0
+                for place, numbers in enumerate(part.column(1).to_pylist()):
+                    for some in held.met(numbers):
+                        places.append(place)
+                        rows.append(some)
+                        size += len(some)
+                        if size >= most_pairs:
+                            yield batch_of(part.column(0), places, rows)
+                            places, rows, size = [], [], 0
+                if rows:
+                    yield batch_of(part.column(0), places, rows)
+
+    return found.mapInArrow(run, shape)
+
+
+def corpus_search(docs: DataFrame, doc: str, text: str, day: str, studies: DataFrame, ident: str, groups: dict[str, Column], as_of: Column, years: int = 3, most_asked: int = 1 << 20) -> DataFrame:
     """(doc, ident) where a text passes a study's search: one phrase at least of each of its groups, and a day within the last years.
 
     ``groups``: arrays of phrases (names, diseases, modalities, ...); an empty
-    group asks for nothing, and a study without any group is left out. A phrase
-    stands for its study, its group and how many groups the study has, so what
-    the texts contain is only counted; nothing is joined with them.
+    group asks for nothing, and a study without any group is left out. Texts of
+    one doc count together.
+
+    The phrases that a text contains, each once and numbered, stay one row a
+    text. The searches are looked up from them in the same place, each by the
+    group that the fewest texts meet, so no row is made for a study of which
+    only a part is met, and nothing but the result grows with texts times
+    studies. ``most_asked`` bounds the phrases of the studies that are sent to a
+    task; the rows pass once for each part of more of them.
     """
     parts = [studies.select(F.col(ident).alias("ident"), F.lit(name).alias("grp"), F.explode(phrases).alias("phrase")) for name, phrases in groups.items()]
-    wanted = written(reduce(DataFrame.union, parts).select("ident", "grp", F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct())
-    asked = wanted.groupBy("ident").agg(F.count_distinct("grp").alias("asked"))
-    keyed = wanted.join(asked, "ident").select("phrase", F.struct("ident", "grp", "asked").alias("key"))
+    wanted = written(reduce(DataFrame.union, parts).select("ident", "grp", F.lower("phrase").alias("phrase")).filter("phrase <> '' and ident is not null").distinct())
+    numbered = written(wanted.select("phrase").distinct().withColumn("number", F.monotonically_increasing_id()))
     recent = docs.filter(F.col(day).between(F.date_sub(as_of, 365 * years), as_of)).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    hits = corpus_match(recent, "doc", "text", keyed, "key", "phrase").select("doc", "key.ident", "key.asked")
-    met = hits.groupBy("doc", "ident", "asked").agg(F.count("*").alias("met"))
-    return met.filter("met = asked").select(F.col("doc").alias(doc), F.col("ident").alias(ident))
+    found = written(found_phrases(recent, numbered))
+    again = written(found.groupBy("doc").count().filter("count > 1").select(F.col("doc").alias("again")))
+    if not again.isEmpty():
+        same = F.col("doc").eqNullSafe(F.col("again"))
+        joined = found.join(again, same, "left_semi").select("doc", F.explode("numbers").alias("number")).distinct().groupBy("doc").agg(F.collect_list("number").alias("numbers"))
+        found = found.join(again, same, "left_anti").union(joined)
+    spread = found.select(F.explode("numbers").alias("number")).groupBy("number").agg(F.count("*").alias("texts"))
+    clauses = wanted.join(numbered, "phrase").join(spread, "number", "left").groupBy("ident", "grp").agg(F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"), F.sort_array(F.collect_list("number")).alias("numbers"))
+    asked = clauses.groupBy("ident").agg(F.sort_array(F.collect_list(F.struct("texts", "numbers"))).alias("found"), F.sum(F.size("numbers")).alias("size"))
+    asked = written(asked.filter(F.col("found")[0]["texts"] > 0).select("ident", F.col("found")["numbers"].alias("clauses"), "size"))
+    turns = max(1, -(-(asked.agg(F.sum("size")).first()[0] or 0) // most_asked))
+    met = reduce(DataFrame.union, [studies_met(found, asked.filter(F.pmod(F.xxhash64("ident"), F.lit(turns)) == i)) for i in range(turns)])
+    return met.select(F.col("doc").alias(doc), F.col("ident").alias(ident))
 
 
 def criteria_search(version: int, docs: DataFrame, doc: str, text: str, day: str, studies: DataFrame, ident: str, name: str, abbreviation: str, diseases: str, modalities: str, as_of: Column, years: int = 3) -> DataFrame:

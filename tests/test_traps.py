@@ -218,3 +218,22 @@ def test_truncated_texts_equal_sql_on_odd_ends(spark, tmp_path):
 def test_record_digests_equal_sql_on_odd_ends(spark, tmp_path):
     got, wanted = both_ways(spark, odd_documents(spark, tmp_path), "record_digests")
     assert got == wanted
+
+
+def test_corpus_search_of_repeated_docs_and_searches(spark, monkeypatch):
+    rows = [(1, "alpha"), (1, "Beta"), (2, "alpha beta"), (3, "beta gamma"), (None, "alpha"), (None, "gamma beta"), (4, "gamma"), (5, None), (6, "alpha only")]
+    docs = spark.createDataFrame(rows, "doc long, text string").withColumn("day", F.lit("2025-01-01").cast("date"))
+    studies = spark.createDataFrame([(i, ["Alpha", "gamma"][: 1 + i // 8], ["beta"]) for i in range(10)] + [(90, ["alpha"], []), (91, ["nowhere"], ["beta"]), (92, [], []), (None, ["alpha"], [])], "id long, names array<string>, others array<string>")
+    wanted = sorted([(d, i) for d in (1, 2, None) for i in range(10)] + [(3, 8), (3, 9)] + [(d, 90) for d in (1, 2, 6, None)], key=str)
+    arrays = {"names": F.col("names"), "others": F.col("others")}
+    sizes = []
+    real = harvest.written
+    monkeypatch.setattr(harvest, "written", lambda df: sizes.append((out := real(df)).count()) or out)
+    for most in (1 << 20, 3):  # studies sent at once, and in several turns
+        got = harvest.corpus_search(docs, "doc", "text", "day", studies, "id", arrays, F.lit("2025-01-01").cast("date"), most_asked=most)
+        assert sorted(map(tuple, got.collect()), key=str) == wanted
+    assert max(sizes) <= 25  # what is written between the steps is no product of texts and studies (before: nothing was written, and a row was made for each text and group that it meets)
+    texts = docs.select("doc", "text")
+    phrases = spark.createDataFrame([(i, p) for i, p in enumerate(["alpha", "beta", "gamma"])], "number long, phrase string")
+    for most in (1000, 20):  # one automaton, or several
+        assert sorted((str(r.doc), n) for r in harvest.found_phrases(texts, phrases, most).collect() for n in r.numbers) == sorted((str(d), n) for d, t in rows for n, p in enumerate(["alpha", "beta", "gamma"]) if t and p in t.lower())
