@@ -237,3 +237,10 @@ def test_corpus_search_of_repeated_docs_and_searches(spark, monkeypatch):
     phrases = spark.createDataFrame([(i, p) for i, p in enumerate(["alpha", "beta", "gamma"])], "number long, phrase string")
     for most in (1000, 20):  # one automaton, or several
         assert sorted((str(r.doc), n) for r in harvest.found_phrases(texts, phrases, most).collect() for n in r.numbers) == sorted((str(d), n) for d, t in rows for n, p in enumerate(["alpha", "beta", "gamma"]) if t and p in t.lower())
+
+
+def test_searches_look_at_a_study_by_its_first_clause_and_at_equal_ones_once():
+    held = harvest.Searches([[[1], [2, 3]]] * 1000 + [[[4, 5], [2]], [[6]]])
+    assert len(held.rows) == 3 and sum(map(len, held.by_number.values())) == 4
+    assert [x.tolist() for x in held.met([1, 3])] == [list(range(1000))]
+    assert held.met([2, 3]) == [] and [x.tolist() for x in held.met([5, 2, 6])] == [[1000], [1001]]
