@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,6 +31,23 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """What runs within the block sends its Python tasks at most so many rows at once.
+
+    Spark builds a batch in buffers outside the heap that double as they fill, and
+    the worker holds it again, so with batches of 10,000 texts every core needs
+    several times their size.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def give_back() -> None:
     """Return what a finished task held to the system, as its worker is kept for others: Arrow's pool, then malloc's free pages where it can (glibc)."""
     gc.collect()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfmark.llm.common import cut, give_back, stretches
+from shelfmark.llm.common import cut, give_back, small_batches, stretches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
 
@@ -250,7 +250,8 @@ def pack_documents(
     pieces, are packed together in one task, whatever the input's size.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    pieces = cut(encode_pieces(docs, id_col, text_col, path, end_id, size, grain), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = cut(encode_pieces(docs, id_col, text_col, path, end_id, size, grain), "pieces")
     total, count = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
     groups = max(1, -(-total // group_tokens), -(-count // group_pieces))
 

@@ -307,3 +307,12 @@ def test_odd_input_of_models(spark, documents):
     none, unlabelled = docs.limit(0), labels.limit(0)
     for found in (packing.pack_documents(none), toxicity.score_documents(none, labels), toxicity.score_documents(none, unlabelled), mixing.mix_documents(none), language_model.score_documents(none)):
         assert found.count() == 0
+
+
+def test_packing_sends_small_batches_and_restores_the_setting(spark, documents, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    real = packing.cut
+    monkeypatch.setattr(packing, "cut", lambda df, tag: seen.append(spark.conf.get(key)) or real(df, tag))
+    packing.pack_documents(documents.limit(5))
+    assert seen == ["1024"] and spark.conf.get(key) == before
