@@ -19,6 +19,7 @@ not read. An empty table gives an empty table.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -27,9 +28,10 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from shelfmark.llm.common import cut, give_back, small_batches, stretches
 
@@ -44,63 +46,110 @@ _SIMPLE = re.compile(rf"[{_LETTERS}0-9!-&(-/:;=-@\[-`{{-~]+")
 _RUN = re.compile(rf"[{_LETTERS}]+|[0-9]|[!-/:-@\[-`{{-~]+")
 
 
+def byte_letters() -> dict[int, str]:
+    """What byte-level vocabularies write for each byte, blanks unchanged: itself where it can be printed, else a letter from 256 on."""
+    printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(others)} | {0x20: " "}
+
+
+_LETTER_OF = byte_letters()
+
+
+def byte_level(text: str) -> str:
+    """A text as byte-level vocabularies write it, words still between blanks."""
+    return text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(_LETTER_OF)
+
+
 class WordEncoder:
     """Ids of whole texts, from the ids of their words, which are kept.
 
     The vocabulary ends every word with a mark, so pieces between blanks are
-    encoded on their own, and many plain words in one call. Of the words' ids
-    about ``most`` bytes are kept, in two halves: when the newer one is full it
-    becomes the older one, and words met again move from there to the newer.
+    encoded on their own, and many plain words in one call; its rules leave
+    these words as they are, so its merges are applied to them without the rules.
+    Of the words' ids about ``most`` bytes are kept, in two halves: when the
+    newer one is full it becomes the older one, and words met again move from
+    there to the newer.
     """
 
     def __init__(self, path: str, most: int = 64 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
         self.ends = np.array([t.endswith("</w>") for t, _ in vocabulary])
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        letters = [c for c in map(chr, range(0x21, 0x100)) if _RUN.fullmatch(c)]
+        every = " ".join([*letters, *(a + b for a in letters for b in letters if _PLAIN.fullmatch(a + b))])
+        self.bare = self.merges.encode(byte_level(every)).ids == self.tokenizer.encode(every, add_special_tokens=False).ids
         self.most = most
         self.held = 0
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        size = sum(map(len, words)) * 2 + 150 * len(words)
-        if self.held + size > self.most // 2:
-            self.known, self.older, self.held = {"": b""}, self.known, 0
-        self.held += size
-        self.known.update((w, ids) for w, ids in zip(words, map(self.older.get, words)) if ids is not None)
-        words = [w for w in words if w not in self.known]
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        last = np.full(len(plain), 1)
-        if simple := [w for w in words if not _PLAIN.fullmatch(w) and _SIMPLE.fullmatch(w)]:
-            last = np.concatenate([last, [len(_RUN.findall(w)) for w in simple]])
-            plain += simple
-        ids = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast([" ".join(plain[i : i + 4096]) for i in range(0, len(plain), 4096)], add_special_tokens=False)]
-        ids = np.concatenate([*ids, np.zeros(0, "<u4")])
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
+
+    def encode_all(self, words: list[str]) -> np.ndarray:
+        """Ids of plain words and of runs of other ones, one after the other."""
+        texts = [" ".join(words[i : i + 4096]) for i in range(0, len(words), 4096)]
+        found = self.merges.encode_batch_fast(list(map(byte_level, texts))) if self.bare else self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, dtype="<u4") for e in found)])
+
+    def learn(self, words: list[bytes]) -> None:
+        """Keep the ids of distinct words that are not among the newer ones."""
+        self.held += sum(map(len, words)) * 2 + 150 * len(words)
+        plain, simple, runs, rest = [], [], [], []
+        for raw in words:
+            if (ids := self.older.get(raw)) is not None:
+                self.known[raw] = ids
+            elif _PLAIN.fullmatch(word := raw.decode("utf-8", "surrogatepass")):
+                plain.append((raw, word))
+            elif _SIMPLE.fullmatch(word):
+                simple.append(raw)
+                runs.append(_RUN.findall(word))
+            else:
+                rest.append((raw, word))
+        plain, said = map(list, zip(*plain)) if plain else ([], [])
+        last = np.array([1] * len(plain) + [len(r) for r in runs], np.int64)
+        ids = self.encode_all([*said, *itertools.chain.from_iterable(runs)])
         ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         raw = ids.tobytes()
         if len(ends) != last.sum():
             raise ValueError("the vocabulary does not end every word with a mark")
         ends = ends[np.cumsum(last) - 1].tolist()
-        self.known.update(zip(plain, map(raw.__getitem__, map(slice, [0, *ends], ends))))
-        rest = [w for w in words if w not in self.known]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self.known.update(zip([*plain, *simple], map(raw.__getitem__, map(slice, [0, *ends], ends))))
+        for (raw, _), e in zip(rest, self.tokenizer.encode_batch_fast([w for _, w in rest], add_special_tokens=False)):
+            self.known[raw] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = [w for w, x in zip(words, found) if x is None]
+            if self.held + sum(map(len, new)) * 2 + 150 * len(new) > self.most // 2:
+                self.known, self.older, self.held = {b"": b""}, self.known, 0
+            self.learn(new)
+            get = self.known.get
+            found = [get(w) if x is None else x for w, x in zip(words, found)]
+        return found
 
     def batch(self, texts) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, in UTF-8 or a string; null is empty."""
-        split = []
+        marked = []
         for text in texts:
             raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
             low = raw.lower().decode("utf-8", "surrogatepass")
-            split.append(_MARK.sub(r" \1\2", low).replace("\n", " ").split(" "))
-        found = [list(map(self.known.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
-        if new:
-            self.learn(new)
-            for i, ids in enumerate(found):
-                if None in ids:
-                    found[i] = [self.known[w] if x is None else x for w, x in zip(split[i], ids)]
-        return [b"".join(ids) for ids in found]
+            marked.append(_MARK.sub(r" \1\2", low).replace("\n", " ").encode("utf-8", "surrogatepass"))
+        split = pc.split_pattern(pa.array(marked, pa.large_binary()), " ")
+        words = split.flatten().dictionary_encode()
+        ids = self.ids_of(words.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        word = words.indices.to_numpy()
+        lengths = sizes[word]
+        done = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        place = np.repeat((np.cumsum(sizes) - sizes)[word] - done[:-1], lengths)
+        place += np.arange(len(place))
+        line = flat[place].tobytes()
+        stops = (4 * done[split.offsets.to_numpy()]).tolist()
+        return [line[i:j] for i, j in zip(stops, stops[1:])]
 
 
 @functools.cache

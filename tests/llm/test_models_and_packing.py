@@ -205,6 +205,17 @@ def test_encoder_with_few_words_kept():
     assert len(enc.known) + len(enc.older) < 2000
 
 
+def test_plain_words_are_encoded_without_rules():
+    """Words of letters, digits and marks get the tokenizer's ids from its merges alone."""
+    from types import SimpleNamespace
+
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "hello naïve straße ÿä achßung a1b2-- 4047054433953522 ägeö;x Hello"
+    told = enc.tokenizer.encode(text, add_special_tokens=False).ids
+    enc.tokenizer = SimpleNamespace(encode_batch_fast=lambda texts, **_: [] if not texts else 1 / 0)
+    assert np.frombuffer(enc.batch([text])[0], "<u4").tolist() == told
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     m = Attention(np.log(rng.dirichlet(np.ones(7), 7)), np.array([0, 1, 2, 3, 4, 5, 6, 6, 5]), width=4, window=6)
