@@ -57,6 +57,24 @@ def give_back() -> None:
         trim(0)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(make, *args):
+    """make(*args), kept by this process for its next tasks; what another operator kept goes first, as workers outlive operators."""
+    if (make, args) not in _kept:
+        release()
+        _kept[make, args] = make(*args)
+    return _kept[make, args]
+
+
+def release() -> None:
+    """Drop what another operator's tasks kept in this process."""
+    if _kept:
+        _kept.clear()
+        give_back()
+
+
 def frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
     """The rows of a table, read twice, whose count reaches the least threshold that at most ``most`` rows reach.
 
@@ -120,11 +138,12 @@ def where_texts(docs: DataFrame, text_col: str, keeps) -> DataFrame:
     place = docs.columns.index(text_col)
 
     def choose(batches):
-        kept = keeps()
+        release()
+        chosen = keeps()
         for batch in batches:
             for first, rows in spans_of(batch.column(place)):
                 part = batch.slice(first, rows)
-                yield part.filter(pa.array(kept(part.column(place).to_pylist()), pa.bool_()))
+                yield part.filter(pa.array(chosen(part.column(place).to_pylist()), pa.bool_()))
         give_back()
 
     return docs.mapInArrow(choose, docs.schema)

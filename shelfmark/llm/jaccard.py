@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import cut, frequent, give_back, stretches
+from shelfmark.llm.common import cut, frequent, give_back, release, stretches
 from shelfmark.llm.components import components
 from shelfmark.llm.shingles import mix, shingle_sets
 
@@ -67,6 +67,7 @@ def scan(docs: DataFrame, width: int, flush: int = 1 << 21) -> DataFrame:
     """Two kinds of rows: each document's set size and key, and the shingles that come again within a stretch of a partition, with their counts."""
 
     def look(batches):
+        release()
         held, size = [], 0
 
         def repeated():
@@ -111,6 +112,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, shingles: np.ndarray, se
     """Each document's prefix in the rare-first order, and its shingle counts by hash range. shingles: frequent ones, sorted; seen: their counts."""
 
     def look(batches):
+        release()
         for batch in batches:
             ids = batch.column("doc_id")
             for first, texts in stretches(batch.column("text")):
@@ -163,6 +165,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, slots:
     both = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def check(batches):
+        release()
         for batch in batches:
             a, b, lefts = (batch.column(c) for c in ("a", "b", "text_a"))
             for first, texts in stretches(batch.column("text_b")):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from shelfmark.llm.common import cut, give_back, small_batches, stretches
+from shelfmark.llm.common import cut, give_back, kept, small_batches, stretches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
 
@@ -152,9 +152,8 @@ class WordEncoder:
         return [line[i:j] for i, j in zip(stops, stops[1:])]
 
 
-@functools.cache
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return kept(WordEncoder, path)
 
 
 def pack(lengths: list[int], size: int, grain: int = 1) -> tuple[list[tuple[int, int, int, int, int]], int]:

@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import with_text
+from shelfmark.llm.common import kept, with_text
 
 #: In the order in which spans with one start are listed; the last is the token-efficiency test's.
 KINDS = ("assign", "access", "hex", "random")
@@ -50,8 +50,11 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _NUMBER = re.compile(r"[0-9_+/=-]+")
 
 
-@functools.cache
 def encoder(path: str) -> tiktoken.Encoding:
+    return kept(_encoding, path)
+
+
+def _encoding(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("shelfmark", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

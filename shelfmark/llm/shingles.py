@@ -23,7 +23,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0, 1, ... n - 1, modulo 2 ** 64."""
     kept = _powers.get(int(base))
     if kept is None or len(kept) < n:
-        kept = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 20), base, np.uint64)]))
+        kept = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 19), base, np.uint64)]))
         _powers[int(base)] = kept
     return kept[:n]
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.boosting import BoostedTrees, Isotonic
-from shelfmark.llm.common import where_texts
+from shelfmark.llm.common import release, where_texts
 from shelfmark.llm.shingles import shingle_sets
 
 _WORD = re.compile(r"\w+")
@@ -52,6 +52,7 @@ def terms(text: str) -> set[str]:
 def smallest_shingle(text: Column) -> Column:
     @F.pandas_udf("long")
     def smallest(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series([int(s[0].astype(np.int64)) if len(s) else 0 for s in shingle_sets(texts.tolist())])
 
     return smallest(text)

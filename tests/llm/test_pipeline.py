@@ -112,3 +112,24 @@ def test_stages_on_no_rows(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR)
         assert docs.count() == 0
+
+
+def test_a_worker_keeps_one_operators_tokenizer():
+    """Workers outlive stages: what one stage loads goes when the next one loads its own or asks for room."""
+    import gc
+    import weakref
+
+    import public_tokenizers
+
+    from shelfmark.llm import common, packing, secrets
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packing_encoder = weakref.ref(packing.word_encoder(path))
+    assert packing.word_encoder(path) is packing_encoder()
+    secrets.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    gc.collect()
+    assert packing_encoder() is None
+    packing_encoder = weakref.ref(packing.word_encoder(path))
+    common.release()
+    gc.collect()
+    assert packing_encoder() is None
